@@ -1,0 +1 @@
+"""Nothing here: the audited workloads have no stream source, watermark or state."""
