@@ -73,14 +73,14 @@ def shingle_hashes(words: np.ndarray, begins: np.ndarray, width: int) -> tuple[n
     sizes = full + short
     out_begins = np.concatenate(([0], np.cumsum(sizes)))
     out = np.empty(out_begins[-1], np.uint64)
-    inside = np.ones(len(words), bool)
     owner = np.repeat(np.arange(len(counts)), counts)
-    inside = np.arange(len(words)) < (begins[1:] - width + 1)[owner] if len(words) else inside
-    place = np.arange(len(words)) - begins[:-1][owner] + out_begins[:-1][owner] if len(words) else np.zeros(0, int)
+    at = np.arange(len(words))
+    inside = at < (begins[1:] - width + 1)[owner]
+    place = at - begins[:-1][owner] + out_begins[:-1][owner]
     out[place[inside]] = grams[np.flatnonzero(inside)]
     for i in np.flatnonzero(short):
-        h = np.uint64(counts[i])
-        for w in words[begins[i] : begins[i + 1]]:
-            h = mixed((h ^ w) * ODD)
-        out[out_begins[i]] = h
+        h = np.array([counts[i]], np.uint64)
+        for j in range(begins[i], begins[i + 1]):
+            h = mixed((h ^ words[j : j + 1]) * ODD)
+        out[out_begins[i]] = h[0]
     return out, out_begins
