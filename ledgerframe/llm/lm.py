@@ -35,7 +35,9 @@ STATES = 40_000
 END = 0xFF  # no byte of UTF-8
 SEGMENT = 256
 #: Distinct runs or words that a task holds before it passes them on.
-HELD = 3_000_000
+HELD = 1_500_000
+#: Words whose bytes are worked on together; a longer text is worked on alone.
+PORTION = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,6 +51,17 @@ def _stream(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
 
 
+def _portions(docs: list[list[bytes]]) -> list[tuple[int, int]]:
+    """Ranges of texts of about PORTION words."""
+    ends, held = [0], 0
+    for i, x in enumerate(docs):
+        held += len(x) + 1
+        if held >= PORTION or i == len(docs) - 1:
+            ends.append(i + 1)
+            held = 0
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
 def runs(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct runs of ORDER bytes of texts, as numbers, and their counts."""
     flat, begins = _stream(docs)
@@ -148,7 +161,8 @@ def count_runs(docs: DataFrame) -> DataFrame:
             return keys, np.bincount(at, np.concatenate([n for _, n in held] or [np.zeros(0)]), len(keys)).astype(np.int64)
 
         for b in batches:
-            held.append(runs([words_of(t) for t in b.column(0).to_pylist()]))
+            words = [words_of(t) for t in b.column(0).to_pylist()]
+            held += [runs(words[i:j]) for i, j in _portions(words)]
             if sum(len(k) for k, _ in held) > HELD:
                 held = [merged()]
                 if len(held[0][0]) > HELD // 2:
@@ -263,7 +277,7 @@ def scored(docs: DataFrame, *, states: int = STATES) -> DataFrame:
                 tokens = np.array([len(c) for c in counts], np.int64)
                 base = np.array([np.log10(c + 1.0).sum() for c in counts]) - tokens * norm
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].combine_chunks(), part["held_out"].combine_chunks(), pa.array(tokens), pa.array([int((c > 0).sum()) for c in counts], pa.int64()), pa.array(np.full(len(words), n, np.int64)), pa.array(base), pa.array(model.value.scores(words))],
+                    [part["doc_id"].combine_chunks(), part["held_out"].combine_chunks(), pa.array(tokens), pa.array([int((c > 0).sum()) for c in counts], pa.int64()), pa.array(np.full(len(words), n, np.int64)), pa.array(base), pa.array(np.concatenate([model.value.scores(words[x:y]) for x, y in _portions(words)]))],
                     names,
                 )
 
