@@ -1,4 +1,419 @@
-"""All queries of the library, with their DuckDB oracles."""
+"""All queries of the library over the driver's tables, with their DuckDB oracles.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Predictions to evaluate are the documents that have labels: the label is quality, the predictor is a
+threshold of length. Fingerprints are median bits of embeddings.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerframe.functions import scores, text
+from ledgerframe.operators import compare, dedupe, expect, graph, metrics, sampling, similarity
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function of a table reader; sql is its oracle."""
+
+    def register(f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def both(name: str, sql: str, tables: str) -> None:
+    """Registers a query that is the same text in Spark SQL and in DuckDB."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql.replace("[", "{").replace("]", "}"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables.split()})
+
+    QUERIES[name] = run
+    ORACLE[name] = sql.replace("[", "").replace("]", "")
+
+
+PRED = """p AS (SELECT d.doc_id AS item_id, d.lang, d.source, d.n_chars, l.quality AS label, l.toxic,
+  CASE WHEN d.n_chars >= 1000 THEN 1 ELSE 0 END AS predicted, CASE WHEN d.n_chars >= 2000 THEN 1 ELSE 0 END AS predicted_b,
+  round(least(d.n_chars / 2000.0::DOUBLE, 1), 6) AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def predictions(t: Callable[[str], DataFrame]) -> DataFrame:
+    n = F.col("n_chars")
+    out = t("documents").select("doc_id", "lang", "source", "n_chars").join(t("labels"), "doc_id")
+    return out.select(F.col("doc_id").alias("item_id"), "lang", "source", "n_chars", F.col("quality").alias("label"), "toxic", (n >= 1000).cast("int").alias("predicted"), (n >= 2000).cast("int").alias("predicted_b"), F.round(F.least(n / 2000.0, F.lit(1.0)), 6).alias("score"))
+
+
+def _counted(by: str, predicted: str = "predicted") -> str:
+    keys = f"{by}, " if by else ""
+    cell = lambda a, b: f"count(*) FILTER (WHERE label = {a} AND {predicted} = {b})"
+    return f"SELECT {keys}{cell(1, 1)} AS tp, {cell(1, 0)} AS fn, {cell(0, 0)} AS tn, {cell(0, 1)} AS fp FROM p" + (f" GROUP BY {by}" if by else "")
+
+
+_D = lambda a, b: f"coalesce(({a})::DOUBLE / nullif(({b})::DOUBLE, 0), 0)"
+_SQL_METRICS = {
+    "accuracy": _D("tp + tn", "tp + tn + fp + fn"),
+    "balanced_accuracy": f"({_D('tp', 'tp + fn')} + {_D('tn', 'tn + fp')}) / 2",
+    "precision_macro": f"({_D('tp', 'tp + fp')} + {_D('tn', 'tn + fn')}) / 2",
+    "recall_macro": f"({_D('tp', 'tp + fn')} + {_D('tn', 'tn + fp')}) / 2",
+    "f1_macro": f"({_D('2 * tp', '2 * tp + fp + fn')} + {_D('2 * tn', '2 * tn + fn + fp')}) / 2",
+    "mcc": _D("tp::DOUBLE * tn - fp::DOUBLE * fn", "sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn))"),
+    "recall_positive": _D("tp", "tp + fn"),
+    "recall_negative": _D("tn", "tn + fp"),
+}
+_SQL_ALL = ", ".join(f"round({v}, 12) AS {k}" for k, v in _SQL_METRICS.items())
+
+
+def _evaluated(by: str, predicted: str = "predicted") -> str:
+    return f"WITH {PRED}, c AS ({_counted(by, predicted)}) SELECT *, {_SQL_ALL} FROM c"
+
+
+@query(_evaluated("lang"))
+def a17_metrics(t):
+    return metrics.evaluate(predictions(t), ["lang"])
+
+
+@query(_evaluated(""))
+def a17_metrics_overall(t):
+    return metrics.evaluate(predictions(t), [])
+
+
+@query(_evaluated("source", "predicted_b"))
+def m23_metrics_by_source(t):
+    return metrics.evaluate(predictions(t).drop("predicted").withColumnRenamed("predicted_b", "predicted"), ["source"])
+
+
+@query(f"""WITH {PRED}, c AS ({_counted("lang")})
+SELECT lang, 0 AS label, 0 AS predicted, tn AS n FROM c UNION ALL SELECT lang, 0, 1, fp FROM c UNION ALL SELECT lang, 1, 0, fn FROM c UNION ALL SELECT lang, 1, 1, tp FROM c""")
+def a16_confusion(t):
+    return metrics.confusion(predictions(t), ["lang"])
+
+
+@query(f"""WITH {PRED}, c AS ({_counted("lang")}), u AS (SELECT lang, 0 AS class, tn AS t, fp AS miss, fn AS wrong FROM c UNION ALL SELECT lang, 1, tp, fn, fp FROM c)
+SELECT lang, class, round({_D("t", "t + wrong")}, 12) AS precision, round({_D("t", "t + miss")}, 12) AS recall, round({_D("2 * t", "2 * t + wrong + miss")}, 12) AS f1, t + miss AS support FROM u""")
+def a18_per_class(t):
+    return metrics.per_class(predictions(t), ["lang"])
+
+
+@query(f"""WITH {PRED}, r AS (SELECT lang, label, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE AS rk FROM p),
+s AS (SELECT lang, sum(rk) FILTER (WHERE label = 1) AS rs, (count(*) FILTER (WHERE label = 1))::DOUBLE AS a, (count(*) FILTER (WHERE label = 0))::DOUBLE AS b FROM r GROUP BY lang),
+u AS (SELECT lang, (rs - a * (a + 1) / 2) / (a * b) AS auc FROM s)
+SELECT lang, round(auc, 12) AS auc, round(greatest(auc, 1 - auc), 12) AS separation FROM u""")
+def a15_roc_auc(t):
+    return metrics.roc_auc(predictions(t), "label", "n_chars", ["lang"])
+
+
+@query(f"""WITH {PRED}, s AS (SELECT lang, avg(n_chars) FILTER (WHERE label = 1) AS m1, avg(n_chars) FILTER (WHERE label = 0) AS m0, var_samp(n_chars) FILTER (WHERE label = 1) AS s1, var_samp(n_chars) FILTER (WHERE label = 0) AS s0,
+count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0 FROM p GROUP BY lang)
+SELECT lang, round(coalesce((m1 - m0) / nullif(sqrt(((n1 - 1) * s1 + (n0 - 1) * s0) / nullif(n1 + n0 - 2, 0)), 0), 0), 9) AS cohen_d FROM s""")
+def a14_cohen_d(t):
+    return metrics.cohen_d(predictions(t), "label", "n_chars", ["lang"])
+
+
+@query(f"""WITH {PRED} SELECT item_id, CASE WHEN label = predicted THEN 'correct' WHEN label = 1 THEN 'false_negative' ELSE 'false_positive' END AS error_type,
+CASE WHEN predicted = 1 THEN score ELSE 1 - score END AS confidence, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END = predicted AS agrees, label = predicted AS correct FROM p""")
+def p12_prediction_columns(t):
+    p = predictions(t)
+    c = {x: F.col(x) for x in ("label", "predicted", "score")}
+    return p.select("item_id", scores.error_type(c["label"], c["predicted"]).alias("error_type"), scores.confidence(c["score"], c["predicted"]).alias("confidence"), scores.agrees(c["score"], c["predicted"]).alias("agrees"), (c["label"] == c["predicted"]).alias("correct"))
+
+
+@query(f"""WITH {PRED} SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE label = predicted) AS n_correct, round(count(*) FILTER (WHERE label = predicted) / count(*)::DOUBLE, 12) AS accuracy FROM p GROUP BY lang, source""")
+def a02_error_slices(t):
+    correct = F.count_if(F.col("label") == F.col("predicted"))
+    return predictions(t).groupBy("lang", "source").agg(F.count("*").alias("n"), correct.alias("n_correct"), F.round(correct / F.count("*"), 12).alias("accuracy"))
+
+
+@query(f"""WITH {PRED} SELECT 'highest' AS side, * FROM (SELECT item_id, score FROM p WHERE label = 0 AND predicted = 1 ORDER BY score DESC, item_id LIMIT 5)
+UNION ALL SELECT 'lowest', * FROM (SELECT item_id, score FROM p WHERE label = 1 AND predicted = 0 ORDER BY score, item_id LIMIT 5)""")
+def r16_extreme_errors(t):
+    p = predictions(t).select("item_id", "score", "label", "predicted")
+    high = p.where("label = 0 AND predicted = 1").orderBy(F.desc("score"), "item_id").limit(5).select(F.lit("highest").alias("side"), "item_id", "score")
+    low = p.where("label = 1 AND predicted = 0").orderBy("score", "item_id").limit(5).select(F.lit("lowest").alias("side"), "item_id", "score")
+    return high.unionByName(low)
+
+
+@query(f"""WITH {PRED} SELECT lang, count(*) FILTER (WHERE predicted <> predicted_b) AS flips, count(*) FILTER (WHERE predicted <> label AND predicted_b = label) AS wrong_to_right, count(*) FILTER (WHERE predicted = label AND predicted_b <> label) AS right_to_wrong FROM p GROUP BY lang""")
+def m22_flips(t):
+    a, b, y = F.col("predicted"), F.col("predicted_b"), F.col("label")
+    return predictions(t).groupBy("lang").agg(F.count_if(a != b).alias("flips"), F.count_if((a != y) & (b == y)).alias("wrong_to_right"), F.count_if((a == y) & (b != y)).alias("right_to_wrong"))
+
+
+ITEMS = "i AS (SELECT doc_id AS path, sha256(text) AS digest, source AS source_set, lang AS class FROM documents)"
+
+
+def _items(t):
+    return t("documents").select(F.col("doc_id").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.col("source").alias("source_set"), F.col("lang").alias("class"))
+
+
+@query(f"""WITH {ITEMS}, g AS (SELECT digest, count(*) AS group_size, min(source_set) <> max(source_set) AS cross_set, min(class) <> max(class) AS cross_class FROM i GROUP BY digest HAVING count(*) > 1)
+SELECT i.path, i.digest, i.source_set, i.class, g.group_size, g.cross_set, g.cross_class FROM i JOIN g USING (digest)""")
+def r17_duplicate_report(t):
+    return dedupe.duplicate_report(_items(t))
+
+
+@query(f"""WITH {ITEMS}, dev AS (SELECT path, digest FROM i WHERE source_set <> 'src1'), ext AS (SELECT DISTINCT digest FROM i WHERE source_set = 'src1'),
+m AS (SELECT dev.*, ext.digest IS NOT NULL AS outside FROM dev LEFT JOIN ext ON dev.digest = ext.digest), f AS (SELECT digest, min(path) AS first_path FROM m WHERE NOT outside GROUP BY digest)
+SELECT m.path, m.digest, CASE WHEN outside THEN 'overlap_with_external' WHEN m.path <> first_path THEN 'duplicate_within_development' END AS reason FROM m LEFT JOIN f ON m.digest = f.digest""")
+def r18_exclusion_ledger(t):
+    i = _items(t)
+    return dedupe.exclusion_ledger(i.where("source_set <> 'src1'").select("path", "digest"), i.where("source_set = 'src1'").select("path", "digest"))
+
+
+@query(f"WITH {ITEMS} SELECT path, digest FROM i WHERE source_set <> 'src1' AND digest IN (SELECT digest FROM i WHERE source_set = 'src1')")
+def j11_cross_set_overlap(t):
+    i = _items(t).select("path", "digest", "source_set")
+    return i.where("source_set <> 'src1'").join(i.where("source_set = 'src1'").select("digest"), "digest", "left_semi").select("path", "digest")
+
+
+@query("SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1")
+def w01_keep_first(t):
+    return dedupe.keep_first(t("documents").select("doc_id", "source", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("digest")), ["digest"], ["doc_id"]).drop("digest")
+
+
+@query("""WITH d(s_suppkey, s_name, decision) AS (VALUES (1, 'Supplier#000000001', 'exclude'), (2, 'wrong name', 'exclude'), (999999999, 'nobody', 'exclude'))
+SELECT d.*, CASE WHEN s.s_suppkey IS NULL THEN 'missing' WHEN s.s_name IS NOT DISTINCT FROM d.s_name THEN 'ok' ELSE 'mismatch' END AS status FROM d LEFT JOIN supplier s ON s.s_suppkey = d.s_suppkey""")
+def j09_evidence_join(t):
+    supplier = t("supplier")
+    return dedupe.evidence_check(_decisions(supplier), supplier, "s_suppkey", ["s_name"])
+
+
+def _decisions(supplier: DataFrame) -> DataFrame:
+    return supplier.sparkSession.createDataFrame([(1, "Supplier#000000001", "exclude"), (2, "wrong name", "exclude"), (999999999, "nobody", "exclude")], "s_suppkey int, s_name string, decision string")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE s_suppkey <> 1")
+def j10_apply_exclusions(t):
+    supplier = t("supplier").select("s_suppkey", "s_name", "s_nationkey")
+    return dedupe.apply_decisions(supplier, dedupe.evidence_check(_decisions(supplier), supplier, "s_suppkey", ["s_name"]), "s_suppkey")
+
+
+BITS = """bits AS (SELECT vec_id, label, list_sum([CASE WHEN embedding[k] > list_sort(embedding[2:64])[32] THEN (1::HUGEINT << (k - 1)::INTEGER) ELSE 0 END FOR k IN range(1, 65)])::HUGEINT AS u FROM embeddings)"""
+
+
+def _bits(t):
+    return t("embeddings").select("vec_id", "label", similarity.median_bits(F.col("embedding")).alias("bits"))
+
+
+@query(f"""WITH {BITS}, h AS (SELECT *, bit_count(u::UBIGINT) AS n FROM bits) SELECT vec_id, n::INTEGER AS set_bits FROM h""")
+def k15_median_bits(t):
+    return _bits(t).select("vec_id", F.bit_count("bits").alias("set_bits"))
+
+
+HAMMING = f"{BITS}, pr AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, bit_count(xor(a.u::UBIGINT, b.u::UBIGINT))::INTEGER AS distance FROM bits a JOIN bits b ON a.vec_id < b.vec_id)"
+
+
+@query(f"WITH {HAMMING} SELECT * FROM pr WHERE distance <= 20")
+def j15_hamming_pairs(t):
+    return similarity.hamming_pairs(_bits(t), "vec_id", "bits", 20)
+
+
+@query(f"WITH {HAMMING} SELECT * FROM pr WHERE distance <= 10")
+def j15_hamming_pairs_banded(t):
+    return similarity.hamming_pairs(_bits(t), "vec_id", "bits", 10)
+
+
+@query(f"""WITH {HAMMING} SELECT r.threshold::INTEGER AS threshold, count(*) FILTER (WHERE distance <= threshold) AS by_first, count(*) FILTER (WHERE abs(left_id - right_id) <= threshold) AS by_second,
+count(*) FILTER (WHERE distance <= threshold OR abs(left_id - right_id) <= threshold) AS by_either, count(*) FILTER (WHERE distance <= threshold AND abs(left_id - right_id) <= threshold) AS by_both
+FROM (SELECT * FROM pr WHERE distance <= 20) CROSS JOIN (SELECT unnest(range(0, 17)) AS threshold) r GROUP BY r.threshold""")
+def a25_threshold_sweep(t):
+    pairs = similarity.hamming_pairs(_bits(t), "vec_id", "bits", 20).withColumn("gap", F.abs(F.col("left_id") - F.col("right_id")))
+    return similarity.threshold_sweep(pairs, "distance", "gap", range(17))
+
+
+_LABELS = "e AS (SELECT left_id AS a, right_id AS b FROM pr WHERE distance <= 20 UNION SELECT right_id, left_id FROM pr WHERE distance <= 20), reach(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.n, e.b FROM reach r JOIN e ON e.a = r.m), comp AS (SELECT n AS id, min(m) AS component FROM reach GROUP BY n)"
+
+
+def _components(t):
+    pairs = similarity.hamming_pairs(_bits(t), "vec_id", "bits", 20)
+    return graph.components(t("embeddings").select(F.col("vec_id").alias("id")), pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+
+
+@query(f"WITH RECURSIVE {HAMMING}, {_LABELS} SELECT id, component FROM comp")
+def g01_components(t):
+    return _components(t)
+
+
+@query(f"""WITH RECURSIVE {HAMMING}, {_LABELS}, s AS (SELECT component, count(*) AS group_size FROM comp GROUP BY component)
+SELECT id, component, CASE WHEN group_size > 1 THEN 'grp_' || component ELSE component::VARCHAR END AS group_key, group_size FROM comp JOIN s USING (component)""")
+def g03_group_keys(t):
+    return graph.group_keys(_components(t))
+
+
+@query(f"WITH {HAMMING}, s AS (SELECT left_id AS id, distance FROM pr WHERE distance <= 20 UNION ALL SELECT right_id, distance FROM pr WHERE distance <= 20) SELECT id, min(distance) AS least, max(distance) AS greatest FROM s GROUP BY id")
+def g04_evidence_fold(t):
+    pairs = similarity.hamming_pairs(_bits(t), "vec_id", "bits", 20)
+    return graph.evidence_fold(pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "distance"), "distance")
+
+
+@query("""WITH v AS (SELECT conv_id, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS label, count(*) AS n FROM conversations GROUP BY ALL), m AS (SELECT conv_id, arg_max(label, n * 2 + label) AS stratum FROM v GROUP BY conv_id)
+SELECT conv_id, stratum, ((row_number() OVER (PARTITION BY stratum ORDER BY sha256('42:' || conv_id), conv_id) - 1) % 5)::INTEGER AS fold FROM m""")
+def m01_grouped_folds(t):
+    return sampling.grouped_folds(t("conversations").select("conv_id", (F.col("role") == "user").cast("int").alias("label")), "conv_id", "label", 5, 42)
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY sha256('42:' || o_orderkey), o_orderkey) <= 200")
+def w06_sample_per_class(t):
+    return sampling.sample_per(t("orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"], "o_orderkey", 200, 42)
+
+
+@query("SELECT doc_id, quality FROM labels QUALIFY row_number() OVER (PARTITION BY quality ORDER BY sha256('7:' || doc_id), doc_id) <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality))")
+def m05_down_sampled(t):
+    return sampling.down_sampled(t("labels").select("doc_id", "quality"), "quality", "doc_id", 7)
+
+
+@query("SELECT quality, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*))::DOUBLE, 12) AS weight FROM labels GROUP BY quality")
+def m04_class_weights(t):
+    return sampling.class_weights(t("labels"), "quality")
+
+
+@query(f"""WITH {PRED}, s AS (SELECT lang, source, least(count(*) FILTER (WHERE label = 0), count(*) FILTER (WHERE label = 1)) AS per_class FROM p GROUP BY ALL)
+SELECT p.lang, p.source, item_id, label, per_class FROM p JOIN s USING (lang, source) QUALIFY row_number() OVER (PARTITION BY p.lang, p.source, label ORDER BY item_id) <= per_class""")
+def w05_balanced_match(t):
+    return sampling.balanced_match(predictions(t).select("lang", "source", "item_id", "label"), ["lang", "source"], "label", "item_id")
+
+
+@query("""WITH r AS (SELECT doc_id, lang, source, (row_number() OVER (PARTITION BY lang, source ORDER BY sha256('42:' || doc_id), doc_id) > 1)::INTEGER AS later FROM documents)
+SELECT doc_id, lang, source FROM r QUALIFY row_number() OVER (PARTITION BY lang ORDER BY later, sha256('42:' || doc_id), doc_id) <= 30""")
+def w04_diverse_sample(t):
+    return sampling.diverse(t("documents").select("doc_id", "lang", "source"), "lang", "source", "doc_id", 30, 42)
+
+
+@query("""WITH r AS (SELECT quality, doc_id, row_number() OVER (PARTITION BY quality ORDER BY sha256('42:' || doc_id), doc_id) - 1 AS i, count(*) OVER (PARTITION BY quality) AS n FROM labels),
+s AS (SELECT quality, n, unnest(range(0, 3000 - n)) AS slot FROM (SELECT quality, count(*) AS n FROM labels GROUP BY quality) WHERE n < 3000)
+SELECT s.quality, r.doc_id, s.slot, s.slot % 9 AS transform FROM s JOIN r ON r.quality = s.quality AND r.i = s.slot % s.n""")
+def w08_top_up(t):
+    return sampling.top_up(t("labels").select("quality", "doc_id"), "quality", "doc_id", 3000, 42)
+
+
+DRAWS = f"""{PRED}, nb AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY item_id) - 1 AS idx, count(*) OVER (PARTITION BY label) AS nc FROM p),
+sl AS (SELECT label, n, r.replicate, unnest(range(0, n)) AS slot FROM (SELECT label, count(*) AS n FROM p GROUP BY label) CROSS JOIN (SELECT unnest(range(0, 40)) AS replicate) r),
+dr AS (SELECT sl.replicate, sl.label, sl.slot, nb.item_id, nb.predicted, nb.predicted_b FROM sl JOIN nb ON nb.label = sl.label AND nb.idx = ('0x' || substr(sha256('42:' || sl.replicate || ':' || sl.label || ':' || sl.slot), 1, 15))::BIGINT % sl.n)"""
+
+
+def _replicates(t):
+    p = predictions(t).select("item_id", "label", "predicted", "predicted_b")
+    draws = sampling.bootstrap_draws(p, "label", "item_id", 40, 42)
+    drawn = draws.join(p.drop("label"), "item_id")
+    long = drawn.select("replicate", "label", F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.col(c).alias("predicted")) for m, c in (("a", "predicted"), ("b", "predicted_b"))))))
+    return metrics.with_metrics(long.groupBy("model", "replicate").agg(*metrics.counts()), None)
+
+
+_REPL = f"{DRAWS}, lg AS (SELECT replicate, label, 'a' AS model, predicted FROM dr UNION ALL SELECT replicate, label, 'b', predicted_b FROM dr), c AS (SELECT model, replicate, count(*) FILTER (WHERE label = 1 AND predicted = 1) AS tp, count(*) FILTER (WHERE label = 1 AND predicted = 0) AS fn, count(*) FILTER (WHERE label = 0 AND predicted = 0) AS tn, count(*) FILTER (WHERE label = 0 AND predicted = 1) AS fp FROM lg GROUP BY ALL), mt AS (SELECT model, replicate, {', '.join(f'{v} AS {k}' for k, v in _SQL_METRICS.items())} FROM c)"
+
+
+@query(f"WITH {_REPL} SELECT model, round(quantile_cont(f1_macro, 0.025), 9) AS f1_low, round(quantile_cont(f1_macro, 0.975), 9) AS f1_high, round(quantile_cont(mcc, 0.025), 9) AS mcc_low, round(quantile_cont(mcc, 0.975), 9) AS mcc_high, round(avg(accuracy), 9) AS accuracy_mean FROM mt GROUP BY model")
+def m20_bootstrap_intervals(t):
+    at = lambda c, q: F.round(F.percentile(c, q), 9)
+    return _replicates(t).groupBy("model").agg(at("f1_macro", 0.025).alias("f1_low"), at("f1_macro", 0.975).alias("f1_high"), at("mcc", 0.025).alias("mcc_low"), at("mcc", 0.975).alias("mcc_high"), F.round(F.avg("accuracy"), 9).alias("accuracy_mean"))
+
+
+@query(f"WITH {_REPL}, d AS (SELECT b.f1_macro - a.f1_macro AS x FROM mt a JOIN mt b ON a.replicate = b.replicate AND a.model = 'a' AND b.model = 'b') SELECT round(avg(x), 9) AS mean, round(quantile_cont(x, 0.025), 9) AS low, round(quantile_cont(x, 0.975), 9) AS high, count(*) FILTER (WHERE x > 0) AS above FROM d")
+def m21_paired_bootstrap(t):
+    d = compare.paired(_replicates(t), "model", "a", "b", ["replicate"], "f1_macro")
+    x = F.col("difference")
+    return d.agg(F.round(F.avg(x), 9).alias("mean"), F.round(F.percentile(x, 0.025), 9).alias("low"), F.round(F.percentile(x, 0.975), 9).alias("high"), F.count_if(x > 0).alias("above"))
+
+
+ARMS = "arms AS (SELECT event_type AS arm, strftime(ts, '%Y-%m-%d') AS fold, round(avg(value), 6) AS v FROM events GROUP BY ALL)"
+
+
+def _arms(t):
+    return t("events").groupBy(F.col("event_type").alias("arm"), F.date_format("ts", "yyyy-MM-dd").alias("fold")).agg(F.round(F.avg("value"), 6).alias("v"))
+
+
+@query(f"WITH {ARMS}, d AS (SELECT b.v - a.v AS x FROM arms a JOIN arms b ON a.fold = b.fold AND a.arm = 'click' AND b.arm = 'error') SELECT round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, count(*) AS n, count(*) FILTER (WHERE x > 0) AS better, count(*) FILTER (WHERE x < 0) AS worse, count(*) FILTER (WHERE x = 0) AS tied, round(min(x), 6) AS least, round(max(x), 6) AS greatest FROM d")
+def a08_paired_differences(t):
+    return compare.difference_summary(compare.paired(_arms(t), "arm", "click", "error", ["fold"], "v"), digits=6)
+
+
+@query(f"WITH {ARMS}, b AS (SELECT fold, arm FROM arms QUALIFY row_number() OVER (PARTITION BY fold ORDER BY v DESC, arm) = 1) SELECT arm, count(*) AS n, (sum(count(*)) OVER ())::BIGINT AS of FROM b GROUP BY arm")
+def a12_selection_frequency(t):
+    return compare.frequency(compare.best_per(_arms(t), ["fold"], "v", ["arm"]), "arm")
+
+
+@query(f"WITH {ARMS}, s AS (SELECT arm, round(avg(v), 9) AS m, round(stddev_samp(v), 9) AS sd FROM arms GROUP BY arm), r AS (SELECT *, row_number() OVER (ORDER BY m DESC, arm) AS rn FROM s), x AS (SELECT max(arm) FILTER (WHERE rn = 1) AS best, max(arm) FILTER (WHERE rn = 2) AS second, max(m) FILTER (WHERE rn = 1) - max(m) FILTER (WHERE rn = 2) AS gap, avg(sd) FILTER (WHERE rn <= 2) / sqrt(25.0::DOUBLE) AS se FROM r) SELECT best, second, round(gap, 7) AS margin, round(se, 7) AS standard_error, round(gap / se, 7) AS margin_in_se FROM x")
+def a22_selection_margin(t):
+    s = _arms(t).groupBy("arm").agg(F.round(F.avg("v"), 9).alias("m"), F.round(F.stddev_samp("v"), 9).alias("sd"))
+    return compare.margin(s, "arm", "m", "sd", 25, digits=7)
+
+
+@query("""SELECT 'document ids are unique' AS name, (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)) AS violations, (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)) = 0 AS passed
+UNION ALL SELECT 'labels are 0 or 1', (SELECT count(*) FROM labels WHERE quality NOT IN (0, 1)), (SELECT count(*) FROM labels WHERE quality NOT IN (0, 1)) = 0
+UNION ALL SELECT 'labels have documents', (SELECT count(*) FROM labels ANTI JOIN documents USING (doc_id)), (SELECT count(*) FROM labels ANTI JOIN documents USING (doc_id)) = 0
+UNION ALL SELECT 'texts are unique', (SELECT count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)), (SELECT count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)) = 0""")
+def e01_expectations(t):
+    docs, labels = t("documents"), t("labels")
+    return expect.audit([
+        expect.Expectation("document ids are unique", expect.unique(docs, ["doc_id"])),
+        expect.Expectation("labels are 0 or 1", labels.where(~F.col("quality").isin(0, 1))),
+        expect.Expectation("labels have documents", labels.join(docs.select("doc_id"), "doc_id", "left_anti")),
+        expect.Expectation("texts are unique", expect.unique(docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("text")), ["text"])),
+    ])
+
+
+NAMES = "SELECT p_partkey, p_name, p_type, p_name || ' (' || p_size || ')' AS n FROM part"
+
+
+@query("""SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_type)), '[- ]', '_', 'g'), '_+', '_', 'g') AS class_name, substr(sha1(p_name), 1, 12) AS stable_id,
+coalesce(nullif(regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'image') AS safe_stem, translate(lower(p_brand || ' (x)'), ' ()', '_') AS slug,
+coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower('batik ' || p_name || ' (' || p_size || ')'), '\\s*\\(\\d+\\)\\s*$', ''), '[0-9]+$', ''), '[^a-z0-9]+', '_', 'g'), '^_+|_+$|^batik_', '', 'g'), ''), 'tidak_diketahui') AS subtype,
+lpad(p_size::VARCHAR, 4, '0') AS padded, lower(p_size::VARCHAR) IN ('1', 'true', 'yes', 'y') AS lenient FROM part""")
+def p01_names(t):
+    c = F.col
+    return t("part").select(
+        "p_partkey", text.class_name(c("p_type")).alias("class_name"), text.stable_id(c("p_name")).alias("stable_id"), text.safe_stem(c("p_name")).alias("safe_stem"), text.slug(F.concat("p_brand", F.lit(" (x)"))).alias("slug"),
+        text.subtype(F.concat(F.lit("batik "), "p_name", F.lit(" ("), c("p_size").cast("string"), F.lit(")"))).alias("subtype"), F.lpad(c("p_size").cast("string"), 4, "0").alias("padded"), text.lenient_bool(c("p_size").cast("string")).alias("lenient"),
+    )
+
+
+@query("""SELECT page_id, split_part(url, '/', 3) AS host, list_extract(string_split(url, '/'), -2) AS parent, list_extract(string_split(url, '/'), -1) AS file FROM pages""")
+def p30_path_parts(t):
+    return t("pages").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), text.parent_name(F.col("url")).alias("parent"), text.file_name(F.col("url")).alias("file"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_retailprice <= 1000 THEN 'small' WHEN p_retailprice <= 1500 THEN 'medium' ELSE 'large' END AS price_bin, round(1 / (1 + exp(-greatest(-50, least(50, (p_retailprice - 1200) / 100)))), 12) AS logistic,
+round(ln(1 + p_retailprice), 12) AS log_price, p_size::DOUBLE / greatest(p_size - 10, 1) AS aspect FROM part""")
+def p16_numeric_columns(t):
+    price = F.col("p_retailprice")
+    return t("part").select("p_partkey", scores.right_closed(price, [1000, 1500], ["small", "medium", "large"]).alias("price_bin"), F.round(scores.logistic((price - 1200) / 100), 12).alias("logistic"), F.round(F.log1p(price), 12).alias("log_price"), (F.col("p_size") / F.greatest(F.col("p_size") - 10, F.lit(1))).alias("aspect"))
+
+
+# What reads alike in Spark SQL and DuckDB; names in brackets are tables.
+both("a01_counts", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM [lineitem] GROUP BY l_returnflag, l_linestatus", "lineitem")
+both("a03_mean_std", "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean_quantity, round(stddev_samp(l_quantity), 6) AS std_quantity, round(avg(l_discount), 6) AS mean_discount, round(stddev_samp(l_discount), 6) AS std_discount FROM [lineitem] GROUP BY l_returnflag", "lineitem")
+both("a04_descriptives", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, median(value) AS median, min(value) AS least, max(value) AS greatest FROM [events] GROUP BY event_type", "events")
+both("a10_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(*) AS n FROM [orders] GROUP BY o_orderstatus", "orders")
+both("a11_value_counts", "SELECT p_brand, count(*) AS n FROM [part] GROUP BY p_brand ORDER BY n DESC, p_brand", "part")
+both("a13_correlation", "SELECT round(corr(l_quantity, l_extendedprice), 8) AS quantity_price, round(corr(l_quantity, l_discount), 8) AS quantity_discount, round(corr(l_extendedprice, l_tax), 8) AS price_tax FROM [lineitem]", "lineitem")
+both("a19_counts_of_counts", "SELECT n AS orders_each, count(*) AS customers FROM (SELECT o_custkey, count(*) AS n FROM [orders] GROUP BY o_custkey) c GROUP BY n", "orders")
+both("a20_zero_filled", "SELECT c.c_custkey, coalesce(o.n, 0) AS n FROM [customer] c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM [orders] GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey", "customer orders")
+both("a23_largest_deviation", "SELECT max(abs(a.v - b.v)) AS largest FROM (SELECT l_returnflag, round(avg(l_tax), 9) AS v FROM [lineitem] GROUP BY l_returnflag) a JOIN (SELECT l_returnflag, round(sum(l_tax) / count(*), 9) AS v FROM [lineitem] GROUP BY l_returnflag) b ON a.l_returnflag = b.l_returnflag", "lineitem")
+both("a24_entropy", "SELECT round(-sum(p * log2(p)), 9) AS entropy FROM (SELECT CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM [events]) AS p FROM [events] GROUP BY event_type) h", "events")
+both("a26_counts_by_class", "SELECT source, count(*) AS total, count(CASE WHEN lang = 'en' THEN 1 END) AS en, count(CASE WHEN lang = 'de' THEN 1 END) AS de, count(CASE WHEN lang = 'fr' THEN 1 END) AS fr, count(CASE WHEN lang = 'es' THEN 1 END) AS es FROM [documents] GROUP BY source", "documents")
+both("j01_inner", "SELECT n.n_name, r.r_name, count(*) AS customers, round(sum(c.c_acctbal), 2) AS balance FROM [customer] c JOIN [nation] n ON c.c_nationkey = n.n_nationkey JOIN [region] r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name, r.r_name", "customer nation region")
+both("j02_left", "SELECT d.doc_id, l.quality, l.toxic FROM [documents] d LEFT JOIN [labels] l ON d.doc_id = l.doc_id", "documents labels")
+both("j03_reconcile", "SELECT count(*) AS n, round(max(abs(o.o_totalprice - s.v)), 2) AS largest FROM [orders] o JOIN (SELECT l_orderkey, sum(l_extendedprice) AS v FROM [lineitem] GROUP BY l_orderkey) s ON o.o_orderkey = s.l_orderkey", "orders lineitem")
+both("j12_lineage_semi", "SELECT l_orderkey, l_linenumber FROM [lineitem] WHERE l_orderkey IN (SELECT o_orderkey FROM [orders] WHERE o_orderstatus = 'F')", "lineitem orders")
+both("j14_cross_grid", "SELECT r.r_name, s.o_orderstatus FROM [region] r CROSS JOIN (SELECT DISTINCT o_orderstatus FROM [orders]) s", "region orders")
+both("j17_composite_key", "SELECT a.conv_id, a.turn, a.role, b.role AS next_role FROM [conversations] a JOIN [conversations] b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1", "conversations")
+both("w02_group_size", "SELECT doc_id, lang, count(*) OVER (PARTITION BY lang, source) AS group_size FROM [documents]", "documents")
+both("w03_group_flags", "SELECT o_orderkey, min(o_orderstatus) OVER (PARTITION BY o_custkey) <> max(o_orderstatus) OVER (PARTITION BY o_custkey) AS mixed FROM [orders]", "orders")
+both("w11_top", "SELECT o_orderkey, o_totalprice FROM [orders] ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "orders")
+both("w13_sequence_ids", "SELECT vec_id, concat('X', lpad(CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS VARCHAR(20)), 4, '0')) AS sequence_id FROM [embeddings]", "embeddings")
+both("g07_group_purity", "SELECT o_custkey FROM [orders] GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1", "orders")
+both("s08_union_all", "SELECT s_suppkey AS id, s_nationkey AS nation, 'supplier' AS kind FROM [supplier] UNION ALL SELECT c_custkey, c_nationkey, 'customer' FROM [customer]", "supplier customer")
+both("s09_set_difference", "SELECT c_nationkey FROM [customer] EXCEPT SELECT s_nationkey FROM [supplier]", "customer supplier")
+both("p20_filters", "SELECT l_orderkey, l_linenumber FROM [lineitem] WHERE l_discount BETWEEN 0.02 AND 0.05 AND NOT l_returnflag = 'A' AND l_quantity IS NOT NULL", "lineitem")
+both("p26_text_tests", "SELECT p_partkey, contains(p_name, 'ring') AS has_ring, p_type LIKE 'ECO%' AS economy FROM [part]", "part")
+both("r12_by_arm", "SELECT 'all' AS arm, event_type, round(avg(value), 6) AS mean FROM [events] GROUP BY event_type UNION ALL SELECT 'high', event_type, round(avg(value), 6) FROM [events] WHERE value > 50 GROUP BY event_type", "events")
+both("a05_unpivoted", "SELECT metric, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS least, max(v) AS greatest FROM (SELECT 'tax' AS metric, l_tax AS v FROM [lineitem] UNION ALL SELECT 'discount', l_discount FROM [lineitem]) u GROUP BY metric", "lineitem")
+both("a29_complete_groups", "SELECT conv_id, count(*) AS n, count(DISTINCT turn) AS turns, count(*) = count(DISTINCT turn) AS complete FROM [conversations] GROUP BY conv_id", "conversations")
+both("r15_top_slices", "SELECT source, count(*) AS n, sum(n_chars) AS characters FROM [documents] GROUP BY source ORDER BY n DESC, source LIMIT 4", "documents")
