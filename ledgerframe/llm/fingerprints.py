@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), "n_chars", "fingerprint")
 
 
-def exact_classes(docs: DataFrame) -> DataFrame:
+def exact_classes(docs: DataFrame, digest_of: Callable[[bytes], str] = digest) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, fingerprint, class_id (the least doc_id with the same
     canonical bytes), class_size.
 
@@ -71,7 +71,7 @@ def exact_classes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             forms = [canonical(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(x) for x in forms], pa.string()), pa.array(forms, pa.binary())], ["doc_id", "fingerprint", "form"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest_of(x) for x in forms], pa.string()), pa.array(forms, pa.binary())], ["doc_id", "fingerprint", "form"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, fingerprint string, form binary")

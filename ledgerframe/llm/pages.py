@@ -150,7 +150,7 @@ def suffix_classes(tokens: np.ndarray, run: int) -> np.ndarray:
     while reach < run:
         step = min(reach, run - reach)
         ahead = np.full(len(rank), -1, np.int64)
-        ahead[: len(rank) - step] = rank[step:]
+        ahead[: max(len(rank) - step, 0)] = rank[step:]
         rank = np.unique(rank * (len(rank) + 2) + ahead + 1, return_inverse=True)[1].astype(np.int64)
         reach += step
     return rank

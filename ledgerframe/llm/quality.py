@@ -172,9 +172,11 @@ def fit_texts(texts: list[str | None], labels: list[int]) -> Model:
         found.append(f.astype(np.int32))
         begins.append(b[1:] + begins[-1][-1])
     f, b = np.concatenate(found), np.concatenate(begins)
-    owner_label = np.repeat(y, np.diff(b))
+    del found, raw
+    owner_label = np.repeat(y.astype(np.int8), np.diff(b))
     p = SMOOTHING + np.bincount(f[owner_label == 1], minlength=DIMENSIONS)
     q = SMOOTHING + np.bincount(f[owner_label == 0], minlength=DIMENSIONS)
+    del owner_label
     ratios = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
     # a feature that one row in the sample has says nothing about others
     ratios[p + q < 2 + 2 * SMOOTHING] = 0.0
@@ -201,8 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, most_
     words = F.length("text") / F.lit(4)
     # whole texts, first by hash, up to the driver's bound
     texts = texts.withColumn("_sum", F.sum(F.coalesce(words, F.lit(0.0))).over(_running())).where(F.col("_sum") <= most_words)
-    sample = texts.orderBy("_at", "doc_id").select("text", "quality").collect()
-    return fit_texts([r[0] for r in sample], [int(r[1]) for r in sample])
+    sample = texts.orderBy("_at", "doc_id").select("text", "quality").toArrow()
+    return fit_texts(sample["text"].to_pylist(), sample["quality"].to_pylist())
 
 
 def _running():
