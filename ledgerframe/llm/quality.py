@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,29 +160,37 @@ def _curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(max(at[0], 0.1)), float(at[1])
 
 
-def fit_texts(texts: list[str | None], labels: list[int]) -> Model:
-    """The model of a sample in memory."""
+def fit_texts(texts: list[str | None] | pa.ChunkedArray, labels: list[int]) -> Model:
+    """The model of a sample in memory; texts are worked on a portion at a time, and the rows' features are held once."""
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         share = float(np.clip(y.mean() if len(y) else 1.0, 1e-6, 1 - 1e-6))
         return Model(np.zeros(DIMENSIONS, np.float32), np.zeros(DIMENSIONS, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
+    column = texts if isinstance(texts, pa.ChunkedArray) else pa.chunked_array([pa.array(texts, pa.string())])
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64) + 1)
+    cuts = [0, *np.searchsorted(ends, np.arange(kernels.CHUNK, ends[-1], kernels.CHUNK)).tolist(), len(y)]
     found, begins = [], [np.zeros(1, np.int64)]
-    raw = [(t or "").encode("utf-8", "replace") for t in texts]
-    for i, j in kernels.chunks(raw):
-        f, b = features(texts[i:j])
+    seen = np.full((2, DIMENSIONS), SMOOTHING)
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        f, b = features(column.slice(i, j - i).to_pylist())
+        own = np.repeat(y[i:j], np.diff(b))
+        for k in (0, 1):
+            seen[k] += np.bincount(f[own == k], minlength=DIMENSIONS)
         found.append(f.astype(np.int32))
         begins.append(b[1:] + begins[-1][-1])
     f, b = np.concatenate(found), np.concatenate(begins)
-    del found, raw
-    owner_label = np.repeat(y.astype(np.int8), np.diff(b))
-    p = SMOOTHING + np.bincount(f[owner_label == 1], minlength=DIMENSIONS)
-    q = SMOOTHING + np.bincount(f[owner_label == 0], minlength=DIMENSIONS)
-    del owner_label
+    del found
+    q, p = seen
     ratios = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
     # a feature that one row in the sample has says nothing about others
     ratios[p + q < 2 + 2 * SMOOTHING] = 0.0
-    rows = [f[b[i] : b[i + 1]] for i in range(len(y))]
-    values = [ratios[x] / max(1e-6, float(np.sqrt((ratios[x] ** 2).sum()))) for x in rows]
+    del seen, p, q
+    scaled = ratios[f]
+    rows, values = [], []
+    for i, j in zip(b[:-1], b[1:], strict=True):
+        scaled[i:j] /= max(1e-6, float(np.sqrt((scaled[i:j] ** 2).sum())))
+        rows.append(f[i:j])
+        values.append(scaled[i:j])
     set_aside = np.arange(len(y)) % CALIBRATION == 0
     if min(len(set(y[set_aside])), len(set(y[~set_aside]))) < 2:
         set_aside = np.zeros(len(y), bool)
@@ -204,7 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, most_
     # whole texts, first by hash, up to the driver's bound
     texts = texts.withColumn("_sum", F.sum(F.coalesce(words, F.lit(0.0))).over(_running())).where(F.col("_sum") <= most_words)
     sample = texts.orderBy("_at", "doc_id").select("text", "quality").toArrow()
-    return fit_texts(sample["text"].to_pylist(), sample["quality"].to_pylist())
+    model = fit_texts(sample["text"], sample["quality"].to_pylist())
+    del sample
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _running():
