@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,19 +84,35 @@ def exact_classes(docs: DataFrame, digest_of: Callable[[bytes], str] = digest) -
     return whole.unionByName(split).select("doc_id", "fingerprint", "class_id", "class_size")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs (an integer doc_id and `columns`, text among them) with _next: a struct of `columns` of the
-    next row by descending doc_id; after the last row comes the first.
+def packed(docs: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, tie (a hash of the text) and body, the text compressed, so that a shuffle moves less."""
+    tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+            ties = pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in raw], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), ties, pa.array(map(press.compress, raw), pa.binary())], ["doc_id", "tie", "body"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, tie long, body binary")
+
+
+def with_next(ids: DataFrame, docs: DataFrame, columns: list[str], ties: list[str]) -> DataFrame:
+    """docs (an integer doc_id and `columns`) with _next: a struct of `columns` of the next row by descending
+    doc_id, rows of a doc_id in the order of `ties`; after the last row comes the first. ids are the same
+    rows' doc_id, from a plan that is cheap to run.
 
     doc_id's range is cut into buckets, each sorted in one task; a bucket also gets a copy of the first
     row of the one after it. Only numbers, a few a bucket, reach the driver or are broadcast.
     """
-    docs = docs.select("doc_id", *columns)
     wanted = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_EACH
     n = min(wanted, MOST_CUTS)
-    cuts = sorted(set(docs.select(F.percentile_approx("doc_id", [i / n for i in range(n + 1)], 20 * n)).head()[0] or []))
-    docs = docs.withColumn("_bucket", _bucket(cuts, -(-wanted // n)))
-    tops = docs.groupBy("_bucket").agg(F.max("doc_id").alias("_top"))
+    cuts = sorted(set(ids.select(F.percentile_approx("doc_id", [i / n for i in range(n + 1)], 20 * n)).head()[0] or []))
+    bucket = _bucket(cuts, -(-wanted // n))
+    docs = docs.withColumn("_bucket", bucket)
+    tops = ids.withColumn("_bucket", bucket).groupBy("_bucket").agg(F.max("doc_id").alias("_top"))
     order = Window.orderBy("_bucket")
     last = F.max("_bucket").over(Window.partitionBy())
     tops = tops.select(F.col("_bucket").alias("_of"), "_top", F.coalesce(F.lag("_bucket").over(order), last).alias("_to"))
@@ -103,7 +120,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     docs = docs.join(F.broadcast(tops), F.expr("_bucket = _of AND doc_id <=> _top"), "left")
     home, away = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("_to").alias("b"), F.lit(1).alias("guest"))
     docs = docs.withColumn("_home", F.explode(F.when(F.col("_to").isNull(), F.array(home)).otherwise(F.array(home, away))))
-    inside = Window.partitionBy("_home.b").orderBy("_home.guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    inside = Window.partitionBy("_home.b").orderBy("_home.guest", F.col("doc_id").desc_nulls_last(), *ties)
     docs = docs.withColumn("_next", F.lead(F.struct(*columns)).over(inside))
     return docs.where("_home.guest = 0").select("doc_id", *columns, "_next")
 
@@ -130,13 +147,14 @@ def digests(docs: DataFrame) -> DataFrame:
     Likeness of two exact digests is 1 where the digests and then the canonical bytes are equal, else 0.
     """
     tune(docs.sparkSession)
-    rows = with_next(docs, ["text"]).select("doc_id", F.col("text"), F.col("_next.text").alias("next"))
+    rows = with_next(docs.select("doc_id"), packed(docs), ["body"], ["tie", "body"]).select("doc_id", "body", F.col("_next.body").alias("next"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
         for b in batches:
             out: list[list] = [[] for _ in names[1:]]
-            for text, after in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                text, after = text or "", after or ""
+            for bodies in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                text, after = (unpress.decompress(x).decode("utf-8", "surrogatepass") for x in bodies)
                 k = len(text) // 3
                 edited = text[: len(text) - k] + after[:k]
                 form = canonical(text)
