@@ -56,7 +56,7 @@ def per_class(predictions: DataFrame, by: list[str]) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str, value: str, by: list[str]) -> DataFrame:
-    """Per slice the area under the ROC curve of value, and separation, the better of it and its reverse.
+    """Per slice the area under the ROC curve of value, and separation, the better of it and its reverse; null where one label is missing.
 
     Equal values are counted first; over the distinct values, a running count of negatives gives the
     pairs that are in order, ties as halves. No window holds single rows.
@@ -64,7 +64,7 @@ def roc_auc(df: DataFrame, label: str, value: str, by: list[str]) -> DataFrame:
     at = df.groupBy(*by, F.col(value).alias("v")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("q"))
     below = F.coalesce(F.sum("q").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     won = at.withColumn("won", F.col("p") * (below + F.col("q") / F.lit(2.0)))
-    auc = ratio(F.sum("won"), F.sum("p") * F.sum("q"))
+    auc = F.sum("won") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))
     return won.groupBy(*by).agg(F.round(auc, 12).alias("auc"), F.round(F.greatest(auc, 1 - auc), 12).alias("separation"))
 
 

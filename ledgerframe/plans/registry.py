@@ -104,7 +104,7 @@ def a18_per_class(t):
 
 @query(f"""WITH {PRED}, r AS (SELECT lang, label, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE AS rk FROM p),
 s AS (SELECT lang, sum(rk) FILTER (WHERE label = 1) AS rs, (count(*) FILTER (WHERE label = 1))::DOUBLE AS a, (count(*) FILTER (WHERE label = 0))::DOUBLE AS b FROM r GROUP BY lang),
-u AS (SELECT lang, (rs - a * (a + 1) / 2) / (a * b) AS auc FROM s)
+u AS (SELECT lang, (rs - a * (a + 1) / 2) / nullif(a * b, 0) AS auc FROM s)
 SELECT lang, round(auc, 12) AS auc, round(greatest(auc, 1 - auc), 12) AS separation FROM u""")
 def a15_roc_auc(t):
     return metrics.roc_auc(predictions(t), "label", "n_chars", ["lang"])
