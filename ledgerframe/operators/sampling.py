@@ -11,12 +11,28 @@ def draw_key(seed: int, *parts: str | Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *((F.col(p) if isinstance(p, str) else p).cast("string") for p in parts)).cast("binary"), 256)
 
 
+def numbered(df: DataFrame, keys: list[str], seed: int, item: str, to: str = "_i") -> DataFrame:
+    """df with `to`, each row's place (from 0) in hash order within its keys.
+
+    A key may hold most rows: its order is cut by the first three hash digits, each cut is numbered by
+    itself, and what stands before it is added.
+    """
+    cut = df.withColumn("_h", draw_key(seed, item)).withColumn("_c", F.substring("_h", 1, 3))
+    sizes = cut.groupBy(*keys, "_c").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,096 rows a key
+    offsets = sizes.select(*(F.col(k).alias(f"_o_{k}") for k in keys), F.col("_c").alias("_oc"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = cut.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_c").orderBy("_h", item)) - 1)
+    same = F.col("_c") == F.col("_oc")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    return within.join(offsets, same).select(*df.columns, (F.col("_rn") + F.col("_before")).alias(to))
+
+
 def grouped_folds(df: DataFrame, group: str, label: str, k: int, seed: int) -> DataFrame:
     """Per group its fold 0..k-1: groups are dealt in hash order within their majority label (ties to the greater)."""
     votes = df.groupBy(group, label).agg(F.count("*").alias("_n"))
     major = votes.groupBy(group).agg(F.max(F.struct("_n", label))[label].alias("stratum"))
-    w = Window.partitionBy("stratum").orderBy(draw_key(seed, group), group)
-    return major.select(group, "stratum", F.pmod(F.row_number().over(w) - 1, F.lit(k)).alias("fold"))
+    return numbered(major, ["stratum"], seed, group).select(group, "stratum", F.pmod("_i", F.lit(k)).cast("int").alias("fold"))
 
 
 def sample_per(df: DataFrame, keys: list[str], item: str, n: int | str, seed: int) -> DataFrame:
@@ -28,7 +44,7 @@ def sample_per(df: DataFrame, keys: list[str], item: str, n: int | str, seed: in
 def down_sampled(df: DataFrame, label: str, item: str, seed: int) -> DataFrame:
     """As many rows of each label as the rarest has."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))
-    return sample_per(df.crossJoin(F.broadcast(sizes)), [label], item, "_least", seed).drop("_least")  # one row
+    return numbered(df, [label], seed, item).crossJoin(F.broadcast(sizes)).where("_i < _least").select(*df.columns)  # one row
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -54,8 +70,7 @@ def diverse(df: DataFrame, cls: str, subtype: str, item: str, n: int, seed: int)
 
 def top_up(df: DataFrame, cls: str, item: str, target: int, seed: int, transforms: int = 9) -> DataFrame:
     """Derivatives that bring each class to `target` rows: sources in hash order, round and round, transforms by turns."""
-    w = Window.partitionBy(cls).orderBy(draw_key(seed, item), item)
-    ranked = df.select(cls, item, (F.row_number().over(w) - 1).alias("_i"))
+    ranked = numbered(df.select(cls, item), [cls], seed, item)
     sizes = df.groupBy(cls).agg(F.count("*").alias("_n"))
     slots = sizes.where(F.col("_n") < target).select(cls, "_n", F.explode(F.sequence(F.lit(0), F.lit(target - 1) - F.col("_n"))).alias("slot"))
     slots = slots.withColumn("_i", F.pmod("slot", "_n"))

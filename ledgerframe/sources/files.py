@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe.functions import text
@@ -42,3 +48,50 @@ def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFra
 def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     writer.csv(path, header=True) if form == "csv" else writer.parquet(path)
+
+
+def complete_parts(spark: SparkSession, pattern: str, schema: str, key: str, wanted: list) -> DataFrame:
+    """The union of the CSV files that match; an error unless `key` takes just the wanted values."""
+    parts = spark.read.csv(pattern, header=True, schema=schema)
+    there = {r[0] for r in parts.select(key).distinct().limit(len(wanted) + 1).collect()}
+    if missing := [w for w in wanted if w not in there]:
+        raise ValueError(f"missing {key}: {', '.join(map(str, missing))}")
+    if extra := sorted(map(str, there - set(wanted))):
+        raise ValueError(f"unexpected {key}: {', '.join(extra)}")
+    return parts
+
+
+def zip_members(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """A row for each member of the ZIP files at path whose name has the prefix: path, member, bytes, sha256; a file that is no ZIP has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not zipfile.is_zipfile(io.BytesIO(content)):
+                    continue
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    rows = [{"path": name, "member": i.filename, "bytes": i.file_size, "sha256": _digest(z, i)} for i in z.infolist() if i.filename.startswith(prefix) and not i.is_dir()]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, member string, bytes long, sha256 string")
+
+
+def _digest(z: zipfile.ZipFile, member: zipfile.ZipInfo) -> str:
+    with z.open(member) as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+# What an upload may be.
+MOST_BYTES, LEAST_SIDE, MOST_PIXELS = 10 * 1024 * 1024, 32, 30_000_000
+
+
+def upload_problem(size: Column, width: Column, height: Column) -> Column:
+    """Why an uploaded image is refused; null if it is not."""
+    return (
+        F.when(size == 0, "empty")
+        .when(size > MOST_BYTES, "too large")
+        .when(F.coalesce(width, height, F.lit(0)) <= 0, "unreadable")
+        .when(F.least(width, height) < LEAST_SIDE, "too small")
+        .when(width.cast("long") * height > MOST_PIXELS, "too many pixels")
+    )
