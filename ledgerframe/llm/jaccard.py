@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import kernels
-from ledgerframe.llm.common import groups, if_small, stash, tune
+from ledgerframe.llm.common import groups, if_small, stash, tune, written
 
 WIDTH = 5
 #: Similarity of a link: at least ABOVE / BELOW.
@@ -249,7 +249,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         stepped = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        new = stash(stepped.join(jump, F.col("label") == F.col("_n"), "left").select("node", "old", F.least("label", "_l").alias("label")))
+        new = written(stepped.join(jump, F.col("label") == F.col("_n"), "left").select("node", "old", F.least("label", "_l").alias("label")), "labels")  # a checkpoint's size estimate would square each round
         labels = new.select("node", "label")
         if not new.where("label <> old").limit(1).count():
             return labels

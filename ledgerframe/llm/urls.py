@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import if_small, stash
+from ledgerframe.llm.common import if_small, stash, written
 
 #: Verdict, host and path of each rule.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -69,7 +69,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, rounds: int = ROUNDS, dampi
         moves = moves.groupBy(F.col("dst").alias("_d")).agg((F.sum(F.col("moved") * F.col("share")) * F.lit(damping)).alias("came"))
         ranks = ranks.drop("moved").join(moves, F.col("host") == F.col("_d"), "full")
         came = F.coalesce("came", F.lit(0.0))
-        ranks = stash(ranks.select(F.coalesce("host", "_d").alias("host"), (F.coalesce("rank", F.lit(0.0)) + came).alias("rank"), came.alias("moved")))
+        ranks = written(ranks.select(F.coalesce("host", "_d").alias("host"), (F.coalesce("rank", F.lit(0.0)) + came).alias("rank"), came.alias("moved")), "ranks")  # a checkpoint's size estimate would square each round
         total = ranks.agg(F.sum("rank").alias("rank"), F.sum("moved").alias("moved")).head()
         if not total["rank"] or total["moved"] <= SETTLED * total["rank"]:
             break
