@@ -1,16 +1,21 @@
 """Language-model scoring by a weighted backoff automaton.
 
 The model is of bytes: a text is its words (lower-case A-Z, split at ASCII white space) with one space
-between, then the end. Counts of all runs of ORDER bytes over all training texts are summed in Spark;
-contexts of 0 to ORDER - 1 bytes become states, the STATES most frequent of them, which is closed under
-prefixes and suffixes. A state has an arc for each byte seen after it, with the Witten-Bell probability,
-and a failure arc to its longest proper suffix, with the backoff weight. One traversal from left to right
-carries the state and sums log10 probabilities, which sum to 1 over all bytes and the end in each state.
-Long texts are cut into segments that start in the state that the bytes before them lead to, so many
-are traversed in step with the same sums.
-
-The base score needs each word's exact count. A chunk, what one task reads, sends its distinct words,
-each with its count, to meet by word; the totals go back to the chunk.
+between, then the end. Counts of all runs of ORDER bytes over all training texts are summed in Spark; every
+context of 0 to ORDER - 1 bytes is a state. A state has an arc for each byte seen after it, with the
+Witten-Bell probability, and a failure arc to its longest proper suffix, with the backoff weight. The sum
+of log10 probabilities is of one traversal from left to right; they sum to 1 over all bytes and the end
+in each state.
+
+The states are a table that grows with the corpus. Since a state is the ORDER - 1 bytes before a byte or
+their longest suffix that is a context, a step is a run of ORDER bytes, and its probability comes by joins
+of runs with those shorter by a byte. A chunk, what one task reads, sends its distinct runs to meet the
+table; their probabilities go back to the chunk. So do the exact counts of its distinct words, which the
+base score needs.
+
+`fit` gives the same model, of the most frequent contexts only, as one automaton in memory. Its long texts
+are cut into segments that start in the state that the bytes before them lead to, so many are traversed in
+step with the same sums.
 
 A null text is the empty text: one token, the end. A null doc_id is held out. Repeated rows count and
 score each; extra columns are not read. Without training rows N and V are 0.
@@ -30,8 +35,6 @@ from pyspark.sql import functions as F
 from ledgerframe.llm.common import remainder, tune, written
 
 ORDER = 5
-#: States of the automaton at most; the counts they are chosen by cover all training texts.
-STATES = 40_000
 END = 0xFF  # no byte of UTF-8
 SEGMENT = 256
 #: Distinct runs or words that a task holds before it passes them on.
@@ -62,8 +65,8 @@ def _portions(docs: list[list[bytes]]) -> list[tuple[int, int]]:
     return list(zip(ends[:-1], ends[1:], strict=True))
 
 
-def runs(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs of ORDER bytes of texts, as numbers, and their counts."""
+def all_runs(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ORDER bytes of texts in order, as numbers, and the text that each is of."""
     flat, begins = _stream(docs)
     if len(flat) < ORDER:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -75,7 +78,18 @@ def runs(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     for i in range(1, ORDER):
         at = begins[1:-1] - i
         whole[at[at >= 0]] = False
-    return np.unique(key[whole], return_counts=True)
+    return key[whole], np.repeat(np.arange(len(docs)), np.diff(begins) - (ORDER - 1))
+
+
+def runs(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of ORDER bytes of texts, as numbers, and their counts."""
+    return np.unique(all_runs(docs)[0], return_counts=True)
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of several counts, and their sums."""
+    keys, at = np.unique(np.concatenate([k for k, _ in held] or [np.zeros(0, np.int64)]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in held] or [np.zeros(0)]), len(keys)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -155,19 +169,14 @@ def count_runs(docs: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held] or [np.zeros(0, np.int64)]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in held] or [np.zeros(0)]), len(keys)).astype(np.int64)
-
         for b in batches:
             words = [words_of(t) for t in b.column(0).to_pylist()]
             held += [runs(words[i:j]) for i, j in _portions(words)]
             if sum(len(k) for k, _ in held) > HELD:
-                held = [merged()]
+                held = [_merged(held)]
                 if len(held[0][0]) > HELD // 2:
                     yield from _pieces(*held.pop())
-        yield from _pieces(*merged())
+        yield from _pieces(*_merged(held))
 
     def _pieces(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(keys), 200_000):
@@ -176,7 +185,7 @@ def count_runs(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(task, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
-def fit(training: DataFrame, *, states: int = STATES) -> Automaton:
+def fit(training: DataFrame, *, states: int) -> Automaton:
     """The automaton of training texts. At most `states` contexts, and 256 counts each, reach the driver."""
     longest = written(count_runs(training), "runs")
     by_length = {k: longest if k == ORDER - 1 else longest.groupBy(F.col("run").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("run")).agg(F.sum("n").alias("n")) for k in range(ORDER)}
@@ -238,26 +247,105 @@ def word_totals(chunked: DataFrame) -> DataFrame:
     return rows.select("chunk", "word", "total", "first")
 
 
-def scored(docs: DataFrame, *, states: int = STATES) -> DataFrame:
-    """The contract's rows for documents (doc_id, text)."""
+def chunk_runs(chunked: DataFrame) -> DataFrame:
+    """Per chunk and distinct run of its texts: chunk, run, n (its count in the chunk's training texts)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        chunk = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = _merged(held)
+            held.clear()
+            for i in range(0, len(keys), 200_000):
+                part = keys[i : i + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, np.int64)), pa.array(part), pa.array(n[i : i + 200_000])], ["chunk", "run", "n"])
+
+        for b in batches:
+            own = b.column(0).to_numpy()
+            held_out, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if own[i] != chunk:
+                    yield from out()
+                    chunk = own[i]
+                for test in (False, True):
+                    words = [words_of(t) for t, h in zip(texts[i:j], held_out[i:j], strict=True) if h == test]
+                    for x, y in _portions(words):
+                        keys, n = runs(words[x:y])
+                        held.append((keys, np.zeros_like(n) if test else n))
+                if sum(len(k) for k, _ in held) > HELD:
+                    held[:] = [_merged(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield from out()
+        yield from out()
+
+    return chunked.select("chunk", "held_out", "text").mapInArrow(task, "chunk long, run long, n long")
+
+
+def run_logs(rows: DataFrame) -> DataFrame:
+    """Of rows (run, n), repeated runs summed: run and log, the log10 probability of its last byte after the others.
+
+    No context is left out. A run's probability is that of the run shorter by its first byte, weighted by what
+    the context leaves to bytes not seen after it, and its own share; a context never seen leaves all.
+    """
+    longest = written(rows.groupBy("run").agg(F.sum("n").alias("n")), "runs")
+    shorter = {k: longest if k == ORDER - 1 else longest.groupBy(F.col("run").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("run")).agg(F.sum("n").alias("n")) for k in range(ORDER)}
+    total = shorter[0].agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    known = shorter[0].select("run", ((F.col("n") + 1) / F.lit(float(total + 256))).alias("p"))
+    for k in range(1, ORDER):
+        of = Window.partitionBy(F.shiftright("run", 8))  # 256 rows at most
+        own = shorter[k].select("run", "n", F.sum("n").over(of).alias("count"), F.sum((F.col("n") > 0).cast("long")).over(of).alias("seen"))
+        back = known.select(F.col("run").alias("suffix"), F.col("p").alias("less"))
+        both = own.join(back, F.col("run").bitwiseAND((1 << 8 * k) - 1) == F.col("suffix"))
+        p = F.when(F.col("count") == 0, F.col("less")).otherwise((F.col("n") + F.col("seen") * F.col("less")) / (F.col("count") + F.col("seen")))
+        known = both.select("run", p.alias("p"))
+    return known.select("run", F.log10("p").cast("float").alias("log"))
+
+
+def scored(docs: DataFrame, *, states: int | None = None) -> DataFrame:
+    """The contract's rows for documents (doc_id, text). If states is given, only the automaton of so many contexts scores."""
     spark = docs.sparkSession
     tune(spark)
     chunked = _chunked(docs)
     training = docs.where(remainder("doc_id", 7) != 2)
-    model = spark.sparkContext.broadcast(fit(training, states=states))  # bounded: `states` x 257 numbers, twice
+    model = None if states is None else spark.sparkContext.broadcast(fit(training, states=states))  # bounded: `states` x 257 numbers, twice
     totals = written(word_totals(chunked), "words")
     ends = training.count()
     known = totals.where("first AND total > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).head()
     n, v = known["n"] + ends, known["v"] + (ends > 0)
     kind = docs.schema["doc_id"].dataType
-    word_rows = totals.select("chunk", F.lit(0).alias("kind"), "word", "total", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
-    doc_rows = chunked.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("total"), "doc_id", "held_out", "text")
-    rows = word_rows.unionByName(doc_rows).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    nothing = F.lit(None).cast("float")
+    word_rows = totals.select("chunk", F.lit(0).alias("kind"), "word", "total", nothing.alias("log"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
+    doc_rows = chunked.select("chunk", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("total"), nothing.alias("log"), "doc_id", "held_out", "text")
+    rows = word_rows.unionByName(doc_rows)
+    if model is None:
+        sent = written(chunk_runs(chunked), "chunk-runs")
+        met = sent.select("chunk", "run").join(run_logs(sent), "run")
+        rows = rows.unionByName(met.select("chunk", F.lit(1).alias("kind"), F.col("run").alias("total"), "log"), allowMissingColumns=True)
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "kind")
     norm = float(np.log10(n + v + 1))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals_of: dict[bytes, int] = {}
+        sent: list[tuple[np.ndarray, np.ndarray]] = []
         chunk = None
+
+        def score(docs: list[list[bytes]]) -> np.ndarray:
+            if model is not None:
+                return model.value.scores(docs)
+            if len(sent) > 1:
+                keys, at = np.unique(np.concatenate([k for k, _ in sent]), return_index=True)
+                sent[:] = [(keys, np.concatenate([x for _, x in sent])[at])]
+            run, owner = all_runs(docs)
+            keys, logs = sent[0]
+            at = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
+            if (keys[at] != run).any():
+                raise KeyError("a run that its chunk did not send")
+            return np.bincount(owner, logs[at], len(docs))
+
         for b in batches:
             t = pa.Table.from_batches([b])
             chunks, kinds = t["chunk"].to_numpy(), t["kind"].to_numpy()
@@ -268,16 +356,22 @@ def scored(docs: DataFrame, *, states: int = STATES) -> DataFrame:
                     continue
                 if chunks[i] != chunk:
                     totals_of, chunk = {}, chunks[i]
+                    sent.clear()
                 part = t.slice(i, j - i)
                 if kinds[i] == 0:
                     totals_of.update(zip(part["word"].to_pylist(), part["total"].to_pylist(), strict=True))
                     continue
+                if kinds[i] == 1:
+                    # an empty first part, so that what is sent is always sorted before use
+                    sent.extend([] if sent else [(np.zeros(0, np.int64), np.zeros(0, np.float32))])
+                    sent.append((part["total"].to_numpy(), part["log"].to_numpy()))
+                    continue
                 words = [words_of(x) for x in part["text"].to_pylist()]
                 counts = [np.array([*map(totals_of.__getitem__, x), ends], np.int64) for x in words]
                 tokens = np.array([len(c) for c in counts], np.int64)
                 base = np.array([np.log10(c + 1.0).sum() for c in counts]) - tokens * norm
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].combine_chunks(), part["held_out"].combine_chunks(), pa.array(tokens), pa.array([int((c > 0).sum()) for c in counts], pa.int64()), pa.array(np.full(len(words), n, np.int64)), pa.array(base), pa.array(np.concatenate([model.value.scores(words[x:y]) for x, y in _portions(words)]))],
+                    [part["doc_id"].combine_chunks(), part["held_out"].combine_chunks(), pa.array(tokens), pa.array([int((c > 0).sum()) for c in counts], pa.int64()), pa.array(np.full(len(words), n, np.int64)), pa.array(base), pa.array(np.concatenate([score(words[x:y]) for x, y in _portions(words)]))],
                     names,
                 )
 

@@ -284,6 +284,20 @@ def test_lm_odd_rows(odd):
     assert lm.scored(odd.limit(0)).count() == 0
 
 
+def test_lm_scores_by_every_context(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    docs = spark.createDataFrame([(i, " ".join("".join(rng.choice(letters, 5)) for _ in range(400))) for i in range(60)], "doc_id long, text string").repartition(3, "doc_id").localCheckpoint()
+    training = docs.where(lm.remainder("doc_id", 7) != 2)
+    contexts = lm.count_runs(training).select(F.shiftright("run", 8)).distinct().count()
+    assert contexts > 40_000
+    model = lm.fit(training, states=10**6)
+    text = {r.doc_id: lm.words_of(r.text) for r in docs.collect()}
+    for r in lm.scored(docs).collect():
+        want = model.scores([text[r.doc_id]])[0]
+        assert abs(r.score - want) < 1e-4 * -want, r.doc_id
+
+
 def test_urls_follow_the_longest_rule(spark):
     cases = {
         "http://a.COM/x?y": ("a.com", "/x", "com/", "allow"), "https://b.example.com/en/1": ("b.example.com", "/en/1", "example.com/en/", "block"), "http://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),
