@@ -2,7 +2,7 @@
 
 Each source's demand for words varies over training as weight x (start + 2 (1 - start) t), t in 0..1.
 The integral of that schedule, a quadratic, gives a source's cumulative demand; inverting it at a
-document's place in its source's stream gives the document's training position.
+document's place in its source's stream gives the document's training position, one for each pass.
 
 Null texts have size 0; a null source is a source of its own, last in order; rows of size 0 are taken
 0 times and have no position. Repeated rows each count. An empty table gives an empty result. Ties of
@@ -63,8 +63,9 @@ def _position(share: Column, start: Column) -> Column:
 
 
 def mix(docs: DataFrame, *, weights: tuple = WEIGHTS, starts: tuple = STARTS, most_passes: int = MOST_PASSES) -> DataFrame:
-    """Per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, passes
-    and first_position (0..1, when it first comes; null if it is not taken), range-sorted by the last.
+    """Per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, passes,
+    first_position (0..1, when it first comes; null if it is not taken) and positions (when each pass comes; the
+    first of them is first_position), range-sorted by the first. schedule() gives the order of all passes.
 
     A source's stream is its documents in hash order, repeated; the mix takes its first `wanted` words,
     so the document at the end gives only the words still wanted and the source's sum is exact.
@@ -87,16 +88,30 @@ def mix(docs: DataFrame, *, weights: tuple = WEIGHTS, starts: tuple = STARTS, mo
     whole, rest = F.expr("wanted div nullif(source_size, 0)"), F.expr("wanted % nullif(source_size, 0)")
     last = F.least(F.greatest(rest - F.col("begin"), F.lit(0)), F.col("size"))
     taken = F.coalesce(F.col("size") * whole + last, F.lit(0)).cast("long")
-    first = _position((F.col("begin") + F.col("size") / F.lit(2.0)) / F.col("wanted").cast("double"), F.col("start"))
+    passes = F.when(taken > 0, (whole + (last > 0).cast("long"))).otherwise(F.lit(0)).cast("int")
+
+    def position(before: Column) -> Column:
+        share = (F.col("begin") + before * F.col("source_size") + F.col("size") / F.lit(2.0)) / F.col("wanted").cast("double")
+        return F.round(F.least(_position(share, F.col("start")), F.lit(1.0)), 9)
+
     out = both.select(
         "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
-        F.when(taken > 0, (whole + (last > 0).cast("long"))).otherwise(F.lit(0)).cast("int").alias("passes"),
-        F.when(taken > 0, F.round(F.least(first, F.lit(1.0)), 9)).alias("first_position"),
+        passes.alias("passes"),
+        F.when(taken > 0, position(F.lit(0))).alias("first_position"),
+        F.when(taken > 0, F.transform(F.sequence(F.lit(0), passes - 1), position)).otherwise(F.array().cast("array<double>")).alias("positions"),
     )
     return out.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
-#: DuckDB SQL for mix() over `documents`.
+def schedule(mixed: DataFrame) -> DataFrame:
+    """Of mix()'s rows, a row per pass: doc_id, source, pass (from 0), words (of that pass) and position, range-sorted by
+    the last. This is the order of training; a document's words add up to its taken."""
+    each = mixed.select("doc_id", "source", "size", "taken", F.posexplode("positions").alias("pass", "position"))
+    words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
+    return each.select("doc_id", "source", "pass", words.alias("words"), "position").orderBy("position", "doc_id", "pass")
+
+
+#: DuckDB SQL for mix(), but for its positions, over `documents`.
 MIX_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

@@ -373,6 +373,26 @@ def test_mixing_positions_follow_the_schedules(spark):
     assert [r.first_position for r in got] == sorted(r.first_position for r in got)
 
 
+def test_mixing_places_every_pass(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, f"s{i % 3 if i % 5 else 1}") for i in range(3000)], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs)
+    per_doc = {r.doc_id: r for r in mixed.collect()}
+    assert any(r.passes > 1 for r in per_doc.values())
+    assert all(len(r.positions) == r.passes and (not r.positions or r.positions[0] == r.first_position) for r in per_doc.values())
+    got = mixing.schedule(mixed).collect()
+    assert [r.position for r in got] == sorted(r.position for r in got)
+    words = Counter()
+    for r in got:
+        words[r.doc_id] += r.words
+    assert all(words[k] == r.taken for k, r in per_doc.items())
+    # the words placed by each time follow the source's schedule, to its end
+    for source, start in (("s0", 1.5), ("s1", 1.0), ("s2", 0.5)):
+        mine = [r for r in got if r.source == source]
+        wanted = sum(r.words for r in mine)
+        for t in (0.2, 0.4, 0.6, 0.8, 0.95):
+            assert sum(r.words for r in mine if r.position <= t) / wanted == pytest.approx(start * t + (1 - start) * t * t, abs=0.02)
+
+
 def test_pipeline_keeps_its_stages_promises(spark):
     import corpus_pipeline
 
