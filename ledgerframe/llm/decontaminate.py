@@ -4,10 +4,11 @@ Texts are runs of letters and digits, lower-cased. A fixed mask over a window of
 positions and ignores the others; the kept ones are hashed, at each position of the benchmark's items
 and of the documents. Equal hashes are hits: they give a document, an item and how they are aligned.
 Along each alignment the tokens are compared one by one, and a document leaks an item if WINDOW
-aligned tokens in a row (or all of a shorter item) agree in at least AGREE of their places.
+aligned tokens in a row (or all of a shorter item) agree in at least AGREE of their places. The masks are
+chosen, by enumeration, so that each such run has a hit wherever its substitutions stand.
 
 Null and empty texts have no tokens and no leaks. Items of fewer than LEAST tokens are too short to
-tell and match nothing; those shorter than a mask's window are sought as a whole. Repeated rows of a
+tell and match nothing; those shorter than WINDOW have masks by their length. Repeated rows of a
 document or an item are one. A document is told by doc_id and text, so null or repeated ids don't
 mix texts. Extra columns are not read.
 """
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from ledgerframe.llm.common import if_small, stash
 
-#: Fixed masks: 1 for the tokens that are hashed.
-MASKS = ("11011011", "1110010011")
+#: Fixed masks: 1 for the tokens that are hashed. Of WINDOW tokens with AGREE of them equal, one always hits.
+MASKS = ("111111", "11001010011")
+#: The masks of items shorter than WINDOW, by their number of tokens; made for the same AGREE.
+SHORT_MASKS = {4: ("1111",), 5: ("111", "1101"), 6: ("1111", "11011"), 7: ("11011",), 8: ("1111",), 9: ("111011",), 10: ("1111", "11101"), 11: ("11101",), 12: ("1111",)}
 LEAST = 4
 WINDOW = 13
 AGREE = 0.8
@@ -61,15 +64,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Of docs (doc_id, text) and benchmark (item_id, text): _key, doc_id, item_id, hits (windows that met),
     position (the document's token at which the best window starts) and overlap (its share of equal tokens)."""
     items = stash(benchmark.select("item_id", tokens("text").alias("tokens")).where(F.size("tokens") >= LEAST).distinct())
-    shortest = min(map(len, MASKS))
-    short = [r[0] for r in items.where(F.size("tokens") < shortest).select(F.size("tokens")).distinct().orderBy(F.size("tokens")).collect()]
-    whole = ["1" * n for n in short]
-    longer = _places(items.where(F.size("tokens") >= shortest), ["item_id", "tokens"], list(MASKS))
-    if whole:
-        longer = longer.unionByName(_places(items.where(F.size("tokens") < shortest), ["item_id", "tokens"], whole).where(F.col("at") == 0))
+    short = [r[0] for r in items.where(F.size("tokens") < WINDOW).select(F.size("tokens")).distinct().orderBy(F.size("tokens")).collect()]
+    longer = _places(items.where(F.size("tokens") >= WINDOW), ["item_id", "tokens"], list(MASKS))
+    for n in short:
+        longer = longer.unionByName(_places(items.where(F.size("tokens") == n), ["item_id", "tokens"], list(SHORT_MASKS[n])))
+    lighter = sorted({m for n in short for m in SHORT_MASKS[n]} - {*MASKS})
     seeds = stash(longer.select("item_id", F.xxhash64("tokens").alias("_item"), F.col("at").alias("item_at"), F.col("seed").alias("_seed")).distinct())
     keys = keyed(docs.select("doc_id", "text"))
-    places = _places(keys.select("_key", tokens("text").alias("tokens")), ["_key"], [*MASKS, *whole])
+    places = _places(keys.select("_key", tokens("text").alias("tokens")), ["_key"], [*MASKS, *lighter])
     met = places.join(if_small(seeds, BROADCAST_SEEDS), F.col("seed") == F.col("_seed"))
     lines = stash(met.groupBy("_key", "item_id", "_item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("hits")))
     wanted = stash(lines.select(F.col("_key").alias("_k")).distinct())

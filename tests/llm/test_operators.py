@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -345,6 +346,29 @@ def test_decontamination_tolerates_substitutions(spark, odd):
     assert decontaminate.leaks(table.limit(0), bench).count() == 0
 
 
+def test_decontamination_masks_hit_whatever_verifies():
+    assert set(decontaminate.SHORT_MASKS) == set(range(decontaminate.LEAST, decontaminate.WINDOW))
+    for n in range(decontaminate.LEAST, decontaminate.WINDOW + 1):
+        kept = [[i for i, x in enumerate(m) if x == "1"] for m in decontaminate.SHORT_MASKS.get(n, decontaminate.MASKS)]
+        spans = [[{o + i for i in k} for o in range(n - k[-1])] for k in kept]
+        for swaps in range(n + 1):
+            if (n - swaps) / n < decontaminate.AGREE:
+                break
+            for gone in combinations(range(n), swaps):
+                assert any(not window & {*gone} for windows in spans for window in windows), (n, gone)
+
+
+def test_decontamination_finds_regular_and_short_edits(spark):
+    items = {1: [f"tok{i}" for i in range(60)], 2: [f"five{i}" for i in range(5)], 3: [f"eight{i}" for i in range(8)], 4: [f"ten{i}" for i in range(10)], 5: [f"four{i}" for i in range(4)], 6: [f"seven{i}" for i in range(7)]}
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    filler = [f"f{i}" for i in range(40)]
+    edits = [(1, range(o, 60, 5)) for o in range(5)] + [(2, [k]) for k in range(5)] + [(3, [k]) for k in range(8)] + [(6, [k]) for k in range(7)] + [(4, list(g)) for g in combinations(range(10), 2)]
+    fewer = [(5, [1]), (2, [0, 3]), (3, [2, 5])]
+    texts = [(i, " ".join(filler + [("swapped" if k in gone else w) for k, w in enumerate(items[item])] + filler)) for i, (item, gone) in enumerate(edits + fewer)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, item) for i, (item, _) in enumerate(edits)}
+
+
 def test_decontamination_finds_every_whole_passage(corpus, spark):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     form = lambda t: " " + " ".join(x for x in re.split(r"[\W_]+", t.lower()) if x) + " "
