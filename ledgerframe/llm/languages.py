@@ -1,13 +1,22 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built of a bounded sample of its labelled text. A text is
-parsed, language by language, into the longest phrases that occur in the sample; the language that
-needs the fewest phrases, in proportion to what its sample needs for its own held-back part, wins.
+For each language a suffix automaton is built of labelled text. A text is parsed, language by language,
+into the longest phrases that occur in the language's labelled text; the language that needs the fewest
+phrases, in proportion to what it needs for labelled text of its own that its automaton hasn't seen, wins.
+
+Of each language at most SAMPLE_TEXTS distinct texts are learnt from, the first by a hash (fewer, LEAST_TEXTS
+at least, if there are so many languages that they would have over MOST_TEXTS together); of a text longer than
+PIECE characters, as many at a place that its hash draws. Every fifth text is not in the automaton: the
+median over these texts of phrases a byte is the language's rate, so a group of copies, which is one text,
+or of near copies, unless it is most of a language, doesn't set it.
+
+Texts are lower-cased and runs of whatever isn't a letter become one space. Phrases are of UTF-8 bytes, so
+every letter is told from every other. Whole texts are parsed: segments in step, and then again each from the
+state in which the one before it ended, until no state changes, which gives the parse from the text's start.
 
-Texts are lower-cased and whatever isn't a letter becomes a space. The parse of a long text starts
-anew every SEGMENT characters, in all languages alike, so that many segments are parsed in step.
 A null text, or one without a letter, is `und` with score 0. A null lang is never learnt from. Without
-labelled text every row is `und`. Ties go to the first language by code point.
+labelled text every row is `und`. Ties go to the first language by code point. Repeated rows are
+predicted alike; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,27 +31,46 @@ from pyspark.sql import functions as F
 
 from ledgerframe.llm.common import remainder, tune
 
-#: Characters of labelled text in all automata together, at most, and in one language's.
-MOST_CHARACTERS = 400_000
-MOST_EACH = 30_000
-#: Documents a language is sampled from, about.
-SAMPLE_DOCS = 60
+#: Distinct labelled texts that a language is learnt from, at most; those of all languages together; and one's least.
+SAMPLE_TEXTS = 100
+MOST_TEXTS = 800
+LEAST_TEXTS = 20
+#: Characters of a text that are learnt from, at most.
+PIECE = 700
+#: One sampled text in so many sets the rate and isn't in the automaton.
+HELD_BACK = 5
+#: Bytes of a text that are parsed in step with others.
 SEGMENT = 256
-#: Letters that are told apart; rarer ones share a class.
-MOST_LETTERS = 62
 UNDETERMINED = "und"
+FILL = 0  # ends a row of codes; no byte of a letter or a space
+
+
+def letters() -> np.ndarray:
+    """By code point, whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def _letters() -> np.ndarray:
-    table = np.zeros(0x110000, bool)
-    for c in range(0x30000):
-        if chr(c).isalpha():
-            table[c] = True
-    return table
+def folded(texts: list[str | None], is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts, lower-cased with runs of other signs than letters as one space, where each text's begin, and letters a text."""
+    lowered = [(t or "").lower() for t in texts]
+    points = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32)
+    begins = np.concatenate(([0], np.cumsum([len(t) for t in lowered], dtype=np.int64))).astype(np.int64)
+    mine = is_letter[points]
+    n = np.concatenate(([0], np.cumsum(mine)))
+    keep = mine.copy()
+    keep[1:] |= mine[:-1]
+    first = begins[:-1][begins[:-1] < len(points)]
+    keep[first] = mine[first]
+    points = np.where(mine, points, 32)[keep]
+    size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    kept = np.concatenate(([0], np.cumsum(keep)))
+    flat = np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8"), np.uint8)
+    return flat, ends[kept[begins]], n[begins[1:]] - n[begins[:-1]]
 
 
 class Automaton:
-    """The suffix automaton of a sequence of small numbers, as a list of transition maps."""
+    """The suffix automaton of a sequence of small numbers from 1 on, as a list of transition maps."""
 
     def __init__(self, sequence: list[int]):
         self.next: list[dict[int, int]] = [{}]
@@ -72,121 +100,143 @@ class Automaton:
             last = current
 
     def table(self, width: int) -> np.ndarray:
-        """By state and symbol: twice the next state's row, plus 1 where a new phrase begins."""
-        out = np.zeros((len(self.next), width), np.int32)
+        """By state and symbol: twice the next state's row, plus 1 where a new phrase begins; FILL changes nothing."""
         root = np.array([self.next[0].get(c, 0) for c in range(width)], np.int32)
+        out = np.empty((len(self.next), width), np.int32)
         out[:] = 2 * width * root + 1
-        for i, moves in enumerate(self.next):
-            for c, to in moves.items():
-                out[i, c] = 2 * width * to
-        # from the root every symbol begins a phrase
-        out[0] = 2 * width * root + 1
+        at = np.array([(i, c, to) for i, moves in enumerate(self.next) if i for c, to in moves.items()], np.int64).reshape(-1, 3)
+        out[at[:, 0], at[:, 1]] = 2 * width * at[:, 2]
+        out[:, FILL] = 2 * width * np.arange(len(self.next))
         return out.ravel()
 
 
-def phrases(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The number of phrases of each row of codes, all rows in step; 255 fills a row's end, shorter rows come first."""
-    state = np.zeros(len(codes), np.int32)
-    count = np.zeros(len(codes), np.int32)
-    ended = np.searchsorted((codes != 255).sum(1), np.arange(codes.shape[1]), "right")
-    for column, live in zip(np.ascontiguousarray(codes.T), ended, strict=True):
-        step = table.take(state[live:] + column[live:])
-        count[live:] += step & 1
-        state[live:] = step >> 1
-    return count
+def phrases(table: np.ndarray, codes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The number of phrases that begin in each row of codes. Rows are segments, the shorter first, filled up with
+    FILL; `before` has the row that a row goes on from, or -1 where a text begins."""
+    n, width = codes.shape
+    columns = np.ascontiguousarray(codes.T)
+    sizes = (codes != FILL).sum(1)
+    ended = np.searchsorted(sizes, np.arange(width), "right")
+    states, begun = np.zeros((width, n), np.int32), np.zeros((width, n), np.uint8)
+    state = np.zeros(n, np.int32)
+    for i, live in enumerate(ended):
+        step = table.take(state[live:] + columns[i, live:])
+        begun[i, live:] = step & 1
+        state[live:] = states[i, live:] = step >> 1
+    # a segment starts in the state that the one before it ends in; it is parsed anew until it comes to a state it was in before
+    rest = np.flatnonzero(before >= 0)
+    start = np.zeros(n, np.int32)
+    while True:
+        wanted = state[before[rest]]
+        late = wanted != start[rest]
+        if not late.any():
+            return begun.sum(0, dtype=np.int64)
+        live, now = rest[late], wanted[late]
+        start[live] = now
+        for i in range(width):
+            step = table.take(now + columns[i, live])
+            now = step >> 1
+            begun[i, live] = step & 1
+            apart = now != states[i, live]
+            states[i, live] = now
+            ending = apart & (sizes[live] == i + 1)
+            state[live[ending]] = now[ending]
+            apart &= ~ending
+            live, now = live[apart], now[apart]
+            if not len(live):
+                break
 
 
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    classes: np.ndarray  # by code point: 0 for what isn't a letter
+    is_letter: np.ndarray
+    classes: list[np.ndarray]  # by language and byte: its column
     tables: list[np.ndarray]
-    rates: np.ndarray  # phrases a character that a language's own held-back text needs
-
-    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Segments (shortest first, filled with 255), the text of each, and letters a text."""
-        joined = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
-        flat = self.classes[np.minimum(joined, 0x10FFFF)]
-        lengths = np.array([len(t) for t in texts], np.int64)
-        begins = np.concatenate(([0], np.cumsum(lengths)))
-        letters = np.concatenate(([0], np.cumsum(flat > 0)))
-        letters = letters[begins[1:]] - letters[begins[:-1]]
+    rates: np.ndarray  # phrases a byte that a language's own text, not in its automaton, needs
+
+    def needed(self, flat: np.ndarray, begins: np.ndarray, which: list[int]) -> np.ndarray:
+        """By language and text the number of phrases of folded texts."""
+        lengths = np.diff(begins)
         pieces = -(-lengths // SEGMENT)
-        owner = np.repeat(np.arange(len(texts)), pieces)
+        owner = np.repeat(np.arange(len(lengths)), pieces)
         first = np.concatenate(([0], np.cumsum(pieces)))[:-1]
-        at = begins[:-1][owner] + (np.arange(len(owner)) - first[owner]) * SEGMENT
+        place = np.arange(len(owner)) - first[owner]
+        at = begins[:-1][owner] + place * SEGMENT
         size = np.minimum(begins[1:][owner] - at, SEGMENT)
         order = np.argsort(size, kind="stable")
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        before = np.where(place[order] > 0, where[np.maximum(order - 1, 0)], -1)
         at, size, owner = at[order], size[order], owner[order]
-        grid = at[:, None] + np.arange(SEGMENT)
-        out = np.where(np.arange(SEGMENT) < size[:, None], flat[np.minimum(grid, max(len(flat) - 1, 0))] if len(flat) else 255, 255).astype(np.uint8)
-        return out, owner, letters
+        grid = np.minimum(at[:, None] + np.arange(SEGMENT), max(len(flat) - 1, 0))
+        inside = np.arange(SEGMENT) < size[:, None]
+        out = np.zeros((len(which), len(lengths)))
+        for i, k in enumerate(which):
+            codes = np.where(inside, self.classes[k][flat][grid] if len(flat) else FILL, FILL).astype(np.uint8)
+            out[i] = np.bincount(owner, phrases(self.tables[k], codes, before), len(lengths))
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        lowered = [(t or "").lower() for t in texts]
-        codes, owner, letters = self.codes(lowered)
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        counts = np.stack([np.bincount(owner, phrases(t, codes), len(texts)) for t in self.tables]) / self.rates[:, None]
+        flat, begins, n = folded(texts, self.is_letter)
+        counts = self.needed(flat, begins, list(range(len(self.languages)))) / self.rates[:, None]
         best = counts.argmin(0)
         low = counts.min(0)
         rest = np.sort(counts, axis=0)[1] if len(self.languages) > 1 else np.full(len(texts), np.inf)
-        score = np.where(letters > 0, 1.0 - np.minimum(low / np.maximum(rest, 1e-12), 1.0), 0.0)
-        return [self.languages[k] if n else UNDETERMINED for k, n in zip(best, letters, strict=True)], score
+        score = np.where(n > 0, 1.0 - np.minimum(low / np.maximum(rest, 1e-12), 1.0), 0.0)
+        return [self.languages[k] if m else UNDETERMINED for k, m in zip(best, n, strict=True)], score
 
 
 def fit_texts(samples: dict[str, list[str]]) -> Model:
-    """The model of texts in memory, by language."""
+    """The model of distinct texts in memory, by language."""
+    is_letter = letters()
     languages = sorted(k for k, v in samples.items() if any(any(map(str.isalpha, t)) for t in v))
-    each = min(MOST_EACH, MOST_CHARACTERS // max(1, len(languages)))
-    is_letter = _letters()
-    texts = {}
-    for k in languages:
-        joined = ""
-        for t in samples[k]:
-            joined += " " + t.lower()
-            if len(joined) > each:
-                break
-        texts[k] = np.frombuffer(joined[:each].encode("utf-32-le", "replace"), np.uint32)
-    seen = np.bincount(np.concatenate([*texts.values(), np.zeros(1, np.uint32)]), minlength=0x110000)
-    seen[~is_letter] = 0
-    common = np.argsort(-seen, kind="stable")[:MOST_LETTERS]
-    classes = np.where(is_letter, MOST_LETTERS + 1, 0).astype(np.uint8)
-    common = common[seen[common] > 0]
-    classes[common] = np.arange(1, len(common) + 1, dtype=np.uint8)
-    tables, rates = [], []
+    classes, tables, held = [], [], []
     for k in languages:
-        codes = classes[texts[k]]
-        cut = len(codes) - len(codes) // 5
-        tables.append(Automaton(codes[:cut].tolist()).table(MOST_LETTERS + 2))
-        back = codes[cut:]
-        n = -(-len(back) // SEGMENT)
-        grid = np.full(n * SEGMENT, 255, np.uint8)
-        grid[: len(back)] = back
-        need = phrases(tables[-1], grid.reshape(n, SEGMENT)[::-1]).sum() if n else 0
-        rates.append(max(float(need), 1.0) / max(len(back), 1) if len(back) >= SEGMENT else 0.0)
+        back = [t for i, t in enumerate(samples[k]) if i % HELD_BACK == HELD_BACK - 1]
+        flat, _, _ = folded([" ".join(t for i, t in enumerate(samples[k]) if i % HELD_BACK != HELD_BACK - 1)], is_letter)
+        seen = np.unique(flat)
+        of = np.full(256, len(seen) + 1, np.uint8)  # bytes that the language has not
+        of[seen] = np.arange(1, len(seen) + 1)
+        classes.append(of)
+        tables.append(Automaton(of[flat].tolist()).table(len(seen) + 2))
+        held.append(back)
+    model = Model(languages, is_letter, classes, tables, np.ones(len(languages)))
+    rates = []
+    for k, back in enumerate(held):
+        flat, begins, n = folded(back, is_letter)
+        size = np.diff(begins)
+        rate = model.needed(flat, begins, [k])[0][n > 0] / size[n > 0]
+        rates.append(float(np.median(rate)) if len(rate) else 0.0)
     known = [r for r in rates if r > 0]
-    # languages with too little text to hold some back count as the average one
-    rates = [r or (float(np.mean(known)) if known else 1.0) for r in rates]
-    return Model(languages, classes, tables, np.array(rates))
+    # languages with too few texts to hold one back count as the average one
+    return Model(languages, is_letter, classes, tables, np.array([r or (float(np.mean(known)) if known else 1.0) for r in rates]))
 
 
 def fit(docs: DataFrame) -> Model:
     """The model of documents (doc_id, text, lang) whose crc32(doc_id) mod 4 is not 2 and whose lang is not null.
 
-    Of each language about SAMPLE_DOCS documents, drawn by a hash of doc_id, reach the driver; of those, whole
-    texts in hash order up to the language's bound of characters, where the last is cut.
+    Texts are drawn by their hash, equal ones as one, so that at most about twice SAMPLE_TEXTS pieces a
+    language reach the driver, however many copies there are.
     """
-    learn = docs.where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = learn.groupBy("lang").count().collect()
+    learn = docs.where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("text").alias("at"), "text")
+    counts = learn.groupBy("lang").agg(F.approx_count_distinct("at").alias("n")).collect()
     if not counts:
         return fit_texts({})
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    share = F.create_map(*(v for r in counts for v in (F.lit(r["lang"]), F.lit(min(1 << 40, (SAMPLE_DOCS * (1 << 40)) // r["count"])))))
-    rows = learn.where(draw < F.element_at(share, F.col("lang"))).select("lang", draw.alias("at"), F.substring("text", 1, MOST_EACH).alias("text")).collect()
+    each = min(SAMPLE_TEXTS, max(LEAST_TEXTS, MOST_TEXTS // len(counts)))
+    whole = 1 << 40
+    draw = F.pmod(F.xxhash64("at"), F.lit(whole))
+    share = F.create_map(*(v for r in counts for v in (F.lit(r["lang"]), F.lit(min(whole, 2 * each * whole // max(1, r["n"]))))))
+    spare = F.greatest(F.length("text") - PIECE, F.lit(0))
+    piece = F.substring(F.col("text"), (F.pmod(F.col("at"), spare + 1) + 1).cast("int"), F.lit(PIECE))
+    drawn = learn.where(draw < F.element_at(share, F.col("lang"))).select("lang", draw.alias("draw"), "at", piece.alias("piece"))
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["at"], r["text"])):
-        samples.setdefault(r["lang"], []).append(r["text"])
+    for r in sorted(drawn.groupBy("lang", "draw", "at").agg(F.min("piece").alias("piece")).collect(), key=lambda r: (r["lang"], r["draw"], r["at"])):
+        mine = samples.setdefault(r["lang"], [])
+        if len(mine) < each:
+            mine.append(r["piece"])
     return fit_texts(samples)
 
 
@@ -194,7 +244,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of documents (doc_id, text): doc_id, held_out, lang_pred, score. A null doc_id is held out."""
     spark = docs.sparkSession
     tune(spark)
-    held = spark.sparkContext.broadcast(model)  # bounded: two states a sampled character at most
+    held = spark.sparkContext.broadcast(model)  # bounded: two states a sampled byte at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,7 +253,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             said: list[str] = []
             scores: list[np.ndarray] = []
             for i in range(len(texts) + 1):
-                if i == len(texts) or size > 4_000_000:
+                if i == len(texts) or size > 2_000_000:
                     if i > start:
                         names, score = held.value.predict(texts[start:i])
                         said += names

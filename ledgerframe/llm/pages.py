@@ -1,17 +1,25 @@
-"""HTML extraction: markup gives a page's blocks, a host suffix array removes its boilerplate.
+"""HTML extraction: a host suffix array finds what repeats over pages, markup tells the rest.
 
-A page becomes a stream of text blocks; what stands in menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or reader comments by its element, class, id or role is left out. The
-token streams of a host's pages are laid end to end and their suffixes sorted, by doubling, to the
-first RUN tokens: suffixes that agree so far are one long substring. Where it stands on enough
-distinct pages (copies of a page count once) its tokens are covered, and a block that is mostly covered
-is removed; unique runs stay. In a page's marked main part only what most of the host's pages repeat
-counts, and a page of which most would go is a copy, not boilerplate, and stays whole.
+A page becomes a stream of text blocks. What can't be text (scripts, styles, forms, media) is not read; every
+other block is, with a mark for whether it stands in the page's main part and whether its element, class, id or
+role says that it is a menu, header, footer, sidebar, notice, advert or comment.
+
+The token streams of a host's distinct pages (copies of a page are one) are laid end to end, an own token
+after each page, and their suffix array is built by doubling, with the longest common prefixes of neighbours.
+Neighbours that share RUN tokens or more are one repeated substring; where it stands on enough distinct pages
+its tokens are covered, and a block that is mostly covered is removed. A block shorter than RUN is also known
+as a whole. Unique runs stay. In the main part only what most of the host's pages repeat counts, and a page of
+which most would go is a copy, not boilerplate, and stays whole. Of what stays, blocks that markup tells are
+left out too: adverts, menus and comments that differ on each page repeat nowhere.
+
+A host with many pages is dealt into parts by its pages' tokens, copies to the same part. A substring on a
+share of a host's pages is on that share in some part at least, so the substrings that are so in a part are
+all candidates; each part counts them, and the sums over all parts decide. Results don't depend on the dealing.
 
 Null and empty html give the empty text. A null url is a host of its own. Rows are extracted each for
-itself: repeated rows give the same text. Extra columns are not read. An empty table gives an empty
-result. Tie rules play no part: pages of a host are sorted by page_id and a hash of their html only to
-be read in a fixed order.
+itself: repeated rows give the same text. Very long pages are read whole, as one part's work. Extra columns are
+not read. An empty table gives an empty result. Tie rules play no part: pages are read in order of page_id and a
+hash of their html only to have a fixed order.
 """
 
 from __future__ import annotations
@@ -19,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import kernels
-from ledgerframe.llm.common import groups, if_small, stash, tune
+from ledgerframe.llm.common import groups, if_small, stash, tune, written
 from ledgerframe.llm.urls import host_of
 
 #: Tokens of a substring that counts as long.
@@ -36,11 +45,14 @@ MAIN_SHARE, MAIN_PAGES = 0.6, 10
 SHARE, PAGES = 0.2, 3
 #: A block goes if this share of its tokens is covered.
 COVERED = 0.6
-#: Characters of html of a host's pages that one task sorts together, about; a larger host is dealt out.
-GROUP_CHARACTERS = 8_000_000
+#: Characters of html of a host's pages that one task sorts together, about; a larger host is dealt into parts.
+GROUP_CHARACTERS = 16_000_000
+#: Marks of a block: in the main part; told by markup not to be of the article.
+MAIN, ASIDE = 1, 2
 
 # HTML's elements by what they mean for the text.
-DROPPED = frozenset("nav footer aside form script style noscript template iframe svg math button select textarea dialog menu head title object canvas audio video datalist option".split())
+NO_TEXT = frozenset("form script style noscript template iframe svg math button select textarea head title object canvas audio video datalist option".split())
+DROPPED = frozenset("nav footer aside dialog menu".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
@@ -49,7 +61,7 @@ HINTS = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar header masthead footer comment comments disqus replies respond share sharing social related recommended widget pagination pager toolbar complementary contentinfo".split()
 )
 MAIN_HINTS = frozenset("main article articlebody content maincontent post entry story".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S)  # a quote opens only after =
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 WORDS = re.compile(r"[A-Za-z0-9]+")
@@ -65,12 +77,13 @@ def _hints(attributes: str) -> set[str]:
     return out
 
 
-def blocks_of(page: str | None) -> tuple[list[str], bool]:
-    """The text blocks of a page in order, and whether they are those of a marked main part."""
-    main: list[str] = []
-    rest: list[str] = []
+def blocks_of(page: str | None) -> tuple[list[str], list[int]]:
+    """The text blocks of a page in order, and the marks of each."""
+    blocks: list[str] = []
+    marks: list[int] = []
     pieces: list[str] = []
-    dropped: list[str] = []  # the open elements from the first dropped one on that have its name
+    dropped: list[str] = []  # the open elements from the first one left out on that have its name
+    silent = False  # whether that one can't be text
     inside: list[str] = []  # the open elements that mark a main part
     depth: dict[str, int] = {}
     page = page or ""
@@ -81,39 +94,47 @@ def blocks_of(page: str | None) -> tuple[list[str], bool]:
             text = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                (main if inside else rest).append(text)
+                blocks.append(text)
+                marks.append((MAIN if inside else 0) | (ASIDE if dropped else 0))
 
     length = len(page)
     while at < length:
         m = TAG.search(page, at)
         if not m:
-            if not dropped:
+            if not (dropped and silent):
                 pieces.append(page[at:])
             break
-        if m.start() > at and not dropped:
+        if m.start() > at and not (dropped and silent):
             pieces.append(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
-            if m[0].startswith("<![CDATA[") and not dropped:
+            if m[0].startswith("<![CDATA[") and not (dropped and silent):
                 pieces.append(entities.escape(m[0][9:-3]))
             continue
         closing, attributes = bool(m[1]), m[3] or ""
+        alone = name in VOID or attributes.endswith("/")
         if not closing and name in RAW and not attributes.endswith("/"):
-            if name == "noscript" or name in DROPPED:
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else length
-                continue
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = end.end() if end else length
+            continue
         if dropped:
             # an element that is left out ends with its own end tag, or where a main part begins
             if closing and name == dropped[0]:
+                if len(dropped) == 1:
+                    flush()
                 dropped.pop()
-            elif not closing and name == dropped[0] and name not in VOID and not attributes.endswith("/"):
+            elif not closing and name == dropped[0] and not alone:
                 dropped.append(name)
             elif not closing and name in ("article", "main") and not inside and not _hints(attributes) & HINTS:
+                flush()
                 dropped.clear()
                 inside.append(name)
                 depth[name] = 1
+            elif not silent and name == "br":
+                pieces.append(" ")
+            elif not silent and name not in INLINE:
+                flush()
             continue
         if name == "br":
             pieces.append(" ")
@@ -126,13 +147,15 @@ def blocks_of(page: str | None) -> tuple[list[str], bool]:
                 if not depth[name]:
                     inside.pop()
             continue
-        if name in VOID or attributes.endswith("/"):
+        if alone:
             continue
         hints = _hints(attributes) if attributes else set()
-        leave = name in DROPPED or name == "header" and not inside or bool(attributes and HIDDEN.search(attributes))
+        never = name in NO_TEXT or bool(attributes and HIDDEN.search(attributes))
+        leave = never or name in DROPPED or name == "header" and not inside
         if leave or hints & HINTS and name not in ("html", "body", "main") and not (name == "article" and not hints & {"comment", "comments", "related", "recommended", "ad", "ads", "advert", "sponsored", "promo"}):
             flush()
             dropped.append(name)
+            silent = never
         elif inside and name == inside[-1]:
             depth[name] += 1
         elif name in ("article", "main") or not inside and hints & MAIN_HINTS and name in ("div", "section", "td"):
@@ -140,102 +163,245 @@ def blocks_of(page: str | None) -> tuple[list[str], bool]:
             inside.append(name)
             depth[name] = 1
     flush()
-    return (main, True) if main else (rest, False)
+    return blocks, marks
 
 
-def suffix_classes(tokens: np.ndarray, run: int) -> np.ndarray:
-    """For each position the class of the `run` tokens that start there: the suffixes' order, refined by doubling."""
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all suffixes in order, and the length of what each shares with the one before it (0 for the first).
+
+    Suffixes are ranked by their first 1, 2, 4, ... tokens until all differ; the same ranks, from the longest
+    down, give the common prefixes.
+    """
+    n = len(tokens)
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int32)
+    ranks = [rank]
+    order = np.argsort(rank, kind="stable")
     reach = 1
-    while reach < run:
-        step = min(reach, run - reach)
-        ahead = np.full(len(rank), -1, np.int64)
-        ahead[: max(len(rank) - step, 0)] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 2) + ahead + 1, return_inverse=True)[1].astype(np.int64)
-        reach += step
-    return rank
+    while n and int(rank.max()) < n - 1:
+        key = rank.astype(np.int64) * (n + 1)
+        key[: n - reach] += rank[reach:] + 1
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1]))).astype(np.int32)
+        ranks.append(rank)
+        reach *= 2
+    shared = np.zeros(n, np.int32)
+    for k in range(len(ranks) - 1, -1, -1):
+        a, b = order[:-1] + shared[1:], order[1:] + shared[1:]
+        same = np.flatnonzero((a < n) & (b < n))
+        same = same[ranks[k][a[same]] == ranks[k][b[same]]]
+        same = same[np.maximum(a[same], b[same]) + (1 << k) <= n]
+        shared[1 + same] += 1 << k
+    return order, shared
 
 
 def _spread(classes: np.ndarray, pages: np.ndarray) -> np.ndarray:
     """On how many distinct pages the class of each position stands."""
-    pair = np.unique(classes * (int(pages.max()) + 1) + pages)
+    if not len(classes):
+        return np.zeros(0, np.int64)
+    pair = np.unique(classes.astype(np.int64) * (int(pages.max()) + 1) + pages)
     return np.bincount(pair // (int(pages.max()) + 1), minlength=int(classes.max()) + 1)[classes]
 
 
-def kept_blocks(pages: list[list[str]], main: list[bool]) -> list[list[str]]:
-    """Of the pages of one host, each page's blocks without boilerplate."""
-    flat = [b.encode("utf-8", "replace") for p in pages for b in p]
-    if not flat:
-        return pages
-    owner = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
-    words, begins = kernels.word_hashes(flat)
-    size = np.diff(begins)
-    block = np.repeat(np.arange(len(flat)), size)
-    page = owner[block]
-    # copies of a page count once: each page is known by the first with the same tokens
-    sums = np.zeros(len(pages), np.uint64)
-    np.add.at(sums, page, kernels.mixed(words ^ kernels.mixed(np.arange(len(words), dtype=np.uint64) - begins[np.searchsorted(owner, page)].astype(np.uint64))))
-    same = np.unique(sums, return_inverse=True)[1]
-    filled = np.bincount(page, minlength=len(pages)) > 0
-    distinct = len(np.unique(same[filled]))
-    # a token of its own ends each page, so that no substring runs over it
-    last = np.flatnonzero(np.concatenate((page[1:] != page[:-1], [True])))
-    stream = np.insert(words, last + 1, np.arange(len(last), dtype=np.uint64) | np.uint64(1 << 63))
-    at = np.arange(len(words)) + np.concatenate(([0], np.cumsum(np.diff(page) != 0)))
-    ends = at[last] + 1
-    whole = at + RUN <= ends[np.searchsorted(ends, at)]
-    spread = np.zeros(len(words), np.int64)
-    classes = suffix_classes(stream, RUN)[at]
-    if whole.any():
-        spread[whole] = _spread(np.unique(classes[whole], return_inverse=True)[1], same[page[whole]])
-    # a block shorter than a run counts as a whole
-    forms = np.unique([kernels.mixed(np.add.reduce(kernels.mixed(words[i:j] + np.arange(j - i, dtype=np.uint64))).reshape(1))[0] if i < j else 0 for i, j in zip(begins[:-1], begins[1:], strict=True)], return_inverse=True)[1]
-    blocks_on = _spread(forms, same[owner])
-    out: list[list[str]] = []
-    first = 0
-    for k, mine in enumerate(pages):
-        share, least = (MAIN_SHARE, MAIN_PAGES) if main[k] else (SHARE, PAGES)
-        need = max(least, int(np.ceil(share * distinct)))
-        i, j = begins[first], begins[first + len(mine)]
-        marks = np.zeros(j - i + RUN + 1, np.int64)
-        hit = np.flatnonzero(spread[i:j] >= need)
-        np.add.at(marks, hit, 1)
-        np.add.at(marks, hit + RUN, -1)
-        covered = np.cumsum(marks)[: j - i] > 0
-        gone = []
-        for b in range(first, first + len(mine)):
-            x, y = begins[b] - i, begins[b + 1] - i
-            gone.append(bool(y > x and (covered[x:y].mean() >= COVERED or y - x < RUN and blocks_on[b] >= need)))
-        lost = sum(int(size[first + b]) for b, g in enumerate(gone) if g)
-        out.append(mine if main[k] and lost * 2 > j - i else [t for t, g in zip(mine, gone, strict=True) if not g])
-        first += len(mine)
-    return out
+@dataclass
+class Host:
+    """What repeats over pages of a host, given as lists of blocks.
 
+    distinct: the pages that differ. runs, run_counts: by token of all pages the hash of the RUN tokens that start there (0 where
+    the page ends sooner) and the distinct pages that have it; forms, form_counts: by block shorter than RUN the same (0 for others).
+    """
 
-def extract(pages: DataFrame) -> DataFrame:
-    """The contract's rows for pages (page_id, url, html): page_id, url, text and n_chars."""
+    pages: list[list[str]]
+
+    def __post_init__(self) -> None:
+        flat = [b.encode("utf-8", "replace") for p in self.pages for b in p]
+        self.blocks_at = np.concatenate(([0], np.cumsum([len(p) for p in self.pages])))
+        owner = np.repeat(np.arange(len(self.pages)), np.diff(self.blocks_at))
+        words, self.begins = kernels.word_hashes(flat) if flat else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        self.page_at = self.begins[self.blocks_at]
+        size = np.diff(self.begins)
+        page = np.repeat(owner, size)
+        # copies of a page are one: each page is known by its tokens
+        place = np.arange(len(words)) - self.page_at[:-1][page]
+        sums = np.zeros(len(self.pages), np.uint64)
+        np.add.at(sums, page, kernels.mixed(words ^ kernels.mixed(place.astype(np.uint64))))
+        _, first, same = np.unique(sums, return_index=True, return_inverse=True)
+        lengths = np.diff(self.page_at)
+        chosen = first[lengths[first] > 0]
+        self.distinct = len(chosen)
+        self.runs, self.run_counts = np.zeros(len(words), np.uint64), np.zeros(len(words), np.int64)
+        if len(words) >= RUN:
+            grams = words[: len(words) - RUN + 1].copy()
+            for j in range(1, RUN):
+                grams = kernels.mixed(grams) * kernels.ODD + words[j : len(words) - RUN + 1 + j]
+            whole = np.flatnonzero(place + RUN <= lengths[page])
+            self.runs[whole] = kernels.mixed(grams[whole]) | np.uint64(1)
+        # the stream of the distinct pages, a token of its own after each, so that no substring runs over its end
+        if len(chosen):
+            at = np.concatenate([np.append(np.arange(self.page_at[p], self.page_at[p + 1]), -1) for p in chosen])
+            stream = np.where(at >= 0, words[at], np.uint64(0))
+            stream[at < 0] = np.arange(len(chosen), dtype=np.uint64) | np.uint64(1 << 63)
+            order, shared = suffix_array(stream)
+            classes = np.empty(len(stream), np.int64)
+            classes[order] = np.cumsum(shared < RUN)
+            inside = np.flatnonzero(at >= 0)
+            counted = np.zeros(len(words), np.int64)
+            counted[at[inside]] = _spread(classes[inside], same[page[at[inside]]])
+            # a copy has the counts of the page that stands for it
+            self.run_counts = np.where(self.runs != 0, counted[self.page_at[first[same[page]]] + place], 0)
+        # a block shorter than a run is known as a whole
+        self.forms = np.zeros(len(flat), np.uint64)
+        mixes = np.concatenate((np.zeros(1, np.uint64), np.cumsum(kernels.mixed(words ^ kernels.mixed((np.arange(len(words)) - self.begins[:-1][np.repeat(np.arange(len(flat)), size)]).astype(np.uint64) + np.uint64(77))), dtype=np.uint64)))
+        short = np.flatnonzero((size > 0) & (size < RUN))
+        self.forms[short] = kernels.mixed((mixes[self.begins[1:]] - mixes[self.begins[:-1]])[short] + size[short].astype(np.uint64)) & ~np.uint64(1)
+        self.form_counts = np.zeros(len(flat), np.int64)
+        self.form_counts[short] = _spread(np.unique(self.forms[short], return_inverse=True)[1], same[owner[short]])
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """All runs and short blocks (odd and even numbers) and the distinct pages of each."""
+        keys, at = np.unique(np.concatenate((self.runs, self.forms)), return_index=True)
+        n = np.concatenate((self.run_counts, self.form_counts))[at]
+        return keys[keys > 1], n[keys > 1]
+
+    def recount(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Takes the counts of sorted keys for its own; keys that aren't there are on no page."""
+        for of, n in ((self.runs, self.run_counts), (self.forms, self.form_counts)):
+            at = np.minimum(np.searchsorted(keys, of), max(len(keys) - 1, 0))
+            n[:] = np.where(keys[at] == of, counts[at], 0) if len(keys) else 0
+
+    def repeated(self, marks: list[list[int]], distinct: int | None = None) -> list[list[bool]]:
+        """Of each page's blocks, whether repeats cover them; `distinct`: pages of the whole host."""
+        pages = self.distinct if distinct is None else distinct
+        flat = np.array([m for x in marks for m in x], np.int64)
+        block = np.repeat(np.arange(len(flat)), np.diff(self.begins))
+        main = (flat & MAIN) > 0
+        gone = np.zeros(len(flat), bool)
+        for mine, share, least in ((main, MAIN_SHARE, MAIN_PAGES), (~main, SHARE, PAGES)):
+            need = max(least, int(np.ceil(share * pages)))
+            over = np.zeros(len(self.runs) + RUN + 1, np.int64)
+            hit = np.flatnonzero(self.run_counts >= need)
+            np.add.at(over, hit, 1)
+            np.add.at(over, hit + RUN, -1)
+            covered = np.bincount(block, np.cumsum(over)[: len(self.runs)] > 0, len(flat))
+            gone |= mine & (covered >= np.maximum(COVERED * np.diff(self.begins), 1e-9))
+            gone |= mine & (self.forms != 0) & (self.form_counts >= need)
+        cuts = self.blocks_at
+        return [gone[i:j].tolist() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def text_of(blocks: list[str], marks: list[int], repeated: list[bool]) -> str:
+    """A page's text: its blocks but for those that repeat or that markup leaves out; of a page with a main part only that."""
+    main = any(m == MAIN for m in marks)
+    own = [k for k, m in enumerate(marks) if m == (MAIN if main else 0)]
+    stay = [k for k in own if not repeated[k]]
+    size = lambda ks: sum(blocks[k].count(" ") + 1 for k in ks)
+    if main and size(stay) * 2 < size(own):
+        stay = own
+    return "\n".join(blocks[k] for k in stay)
+
+
+PARSED = "url string, host string, tie long, parts long, blocks array<string>, marks array<int>"
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """Per row of pages (page_id, url, html): page_id, url, host, tie, the host's number of parts, blocks and marks."""
     tune(pages.sparkSession)
-    host = F.when(F.col("url").isNotNull(), host_of(F.col("url")))
-    large = stash(pages.groupBy(F.coalesce(host, F.lit("\x00")).alias("_h")).agg(F.sum(F.length("html")).alias("_size")).where(F.col("_size") > GROUP_CHARACTERS))
-    rows = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("\x00")).alias("host")).join(if_small(large, 100_000), F.col("host") == F.col("_h"), "left")
-    deal = F.when(F.col("_size").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("page_id", F.xxhash64("html")), F.ceil(F.col("_size") / F.lit(GROUP_CHARACTERS)))).cast("long")
-    rows = rows.select("page_id", "url", "host", deal.alias("deal"), F.xxhash64("html").alias("tie"), "html")
-    kind = pages.schema["page_id"].dataType.simpleString()
+    host = F.coalesce(F.when(F.col("url").isNotNull(), host_of(F.col("url"))), F.lit("\x00"))
+    large = stash(pages.groupBy(host.alias("_h")).agg(F.sum(F.length("html")).alias("_size")).where(F.col("_size") > GROUP_CHARACTERS))
+    rows = pages.select("page_id", "url", "html", host.alias("host")).join(if_small(large, 100_000), F.col("host") == F.col("_h"), "left")
+    parts = F.coalesce(F.ceil(F.col("_size") / F.lit(GROUP_CHARACTERS)), F.lit(1)).cast("long")
+    rows = rows.select("page_id", "url", "host", F.xxhash64("html").alias("tie"), parts.alias("parts"), "html")
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [blocks_of(x) for x in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.bool_())], names)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int32()))], names)
+
+    names = ["page_id", "url", "host", "tie", "parts", "blocks", "marks"]
+    return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, {PARSED}")
+
+
+def _counted(dealt: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Of dealt pages: host, key, n, by part the counts of what stands on SHARE of its pages, or with keys those of the host's keys.
+    Key 0 has the part's distinct pages."""
+
+    asks = keys is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (host, _), group in groups(batches, ["host", "deal"]):
+            part = Host([x for x in group["blocks"].to_pylist() if x is not None])
+            found, n = part.counts()
+            if asks:
+                asked = group["keys"][0].values.to_numpy().view(np.uint64) if group["keys"][0].is_valid else np.zeros(0, np.uint64)
+                kept = np.isin(found, asked)
+            else:
+                kept = n >= SHARE * part.distinct
+            found, n = found[kept], n[kept]
+            found, n = np.append(found, np.uint64(0)), np.append(n, part.distinct)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * len(n), pa.string()), pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["host", "key", "n"])
+
+    return _with_keys(dealt, keys).mapInArrow(run, "host string, key long, n long")
 
-    names = ["page_id", "url", "host", "deal", "tie", "blocks", "main"]
-    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, host string, deal long, tie long, blocks array<string>, main boolean")
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_keys(dealt: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """dealt pages, sorted for their part; with keys (host, keys, counts, distinct) a first row a part has its host's."""
+    if keys is not None:
+        parts = dealt.groupBy("host").agg(F.max("parts").alias("parts")).join(keys, "host")
+        deals = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("deal")
+        dealt = parts.select("host", deals, "keys", "counts", "distinct", F.lit(0).alias("kind")).unionByName(dealt.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    else:
+        dealt = dealt.withColumn("kind", F.lit(1))
+    return dealt.repartition("host", "deal").sortWithinPartitions("host", "deal", "kind", "page_id", "tie")
+
+
+def _settled(rows: DataFrame, kind: str) -> DataFrame:
+    """The results of sorted rows, each host and part by its own counts or by those of its first row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groups(batches, ["host", "deal"]):
-            texts = ["\n".join(x) for x in kept_blocks(group["blocks"].to_pylist(), group["main"].to_pylist())]
+            keys, distinct = None, None
+            if group["kind"][0].as_py() == 0:
+                keys, counts = (group[c][0].values.to_numpy() for c in ("keys", "counts"))
+                distinct, group = group["distinct"][0].as_py(), group.slice(1)
+            if not len(group):
+                continue
+            blocks, marks = group["blocks"].to_pylist(), group["marks"].to_pylist()
+            host = Host(blocks)
+            if keys is not None:
+                order = np.argsort(keys.view(np.uint64))
+                host.recount(keys.view(np.uint64)[order], counts[order])
+            gone = host.repeated(marks, distinct)
+            texts = list(map(text_of, blocks, marks, gone))
             for i in range(0, len(texts), 2000):
-                part = group.slice(i, 2000)
-                yield pa.RecordBatch.from_arrays([part["page_id"].combine_chunks(), part["url"].combine_chunks(), pa.array(texts[i : i + 2000], pa.string()), pa.array([len(t) for t in texts[i : i + 2000]], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                part, mine = group.slice(i, 2000), texts[i : i + 2000]
+                yield pa.RecordBatch.from_arrays([part["page_id"].combine_chunks(), part["url"].combine_chunks(), pa.array(mine, pa.string()), pa.array([len(t) for t in mine], pa.int64()), pa.array([sum(g) for g in gone[i : i + 2000]], pa.int64())], names)
 
-    sorted_ = parsed.repartition("host", "deal").sortWithinPartitions("host", "deal", "page_id", "tie")
-    return sorted_.mapInArrow(settle, f"page_id {kind}, url string, text string, n_chars long")
+    names = ["page_id", "url", "text", "n_chars", "n_repeated"]
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_repeated long")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """The contract's rows for pages (page_id, url, html): page_id, url, text and n_chars, with n_repeated, the blocks of the page
+    that its host repeats."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+    rows = parsed(pages)
+    whole = rows.where("parts = 1").withColumn("deal", F.lit(0).cast("long"))
+    nothing = {"keys": "array<long>", "counts": "array<long>", "distinct": "long"}
+    out = _settled(_with_keys(whole, None).withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()}), kind)
+    large = rows.where("parts > 1").withColumn("deal", F.pmod(F.xxhash64(F.array_join("blocks", " ")), F.col("parts")))
+    if not large.select("host").limit(1).count():
+        return out
+    large = written(large, "pages")
+    first = stash(_counted(large))
+    asked = first.where("key <> 0").groupBy("host").agg(F.collect_set("key").alias("keys"))
+    blank = {c: F.lit(None).cast(t) for c, t in nothing.items() if c != "keys"}
+    again = stash(_counted(large, asked.withColumns(blank)))
+    sums = again.groupBy("host", "key").agg(F.sum("n").alias("n"))
+    pages_of = sums.where("key = 0").select("host", F.col("n").alias("distinct"))
+    kept = sums.where("key <> 0").join(pages_of, "host").where(F.col("n") >= SHARE * F.col("distinct"))
+    entry = F.sort_array(F.collect_list(F.struct("key", "n")))
+    totals = pages_of.join(kept.groupBy("host").agg(entry.alias("e")), "host", "left")
+    none = F.array().cast("array<long>")
+    totals = totals.select("host", F.coalesce("e.key", none).alias("keys"), F.coalesce("e.n", none).alias("counts"), "distinct")
+    return out.unionByName(_settled(_with_keys(large, totals), kind))

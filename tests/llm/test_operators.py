@@ -98,20 +98,104 @@ def test_pages_keep_the_article(spark):
     assert pages.extract(table.limit(0)).count() == 0
 
 
-def test_suffix_classes_match_brute_force():
-    tokens = np.random.default_rng(1).integers(0, 2, 200)
-    got = pages.suffix_classes(tokens, 5)
-    for i in range(195):
-        for j in range(195):
-            assert (got[i] == got[j]) == (tokens[i : i + 5].tolist() == tokens[j : j + 5].tolist())
+def test_suffix_array_matches_brute_force():
+    rng = np.random.default_rng(1)
+    for tokens in (rng.integers(0, 2, 200), rng.integers(0, 50, 120), np.zeros(30, int), np.arange(5), np.zeros(1, int)):
+        rows = tokens.tolist()
+        order, shared = pages.suffix_array(tokens.astype(np.uint64))
+        assert order.tolist() == sorted(range(len(rows)), key=lambda i: rows[i:])
+        common = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        assert shared.tolist() == [0] + [common(rows[i:], rows[j:]) for i, j in zip(order[:-1], order[1:], strict=True)]
+
+
+def brute_repeats(found, need):
+    """By page and block, whether runs of RUN words that stand on `need` distinct pages cover most of it, or the short block does."""
+    distinct = {" ".join(p): p for p in found}
+    spread, whole = Counter(), Counter()
+    for p in distinct.values():
+        w = " ".join(p).split()
+        spread.update({tuple(w[i : i + pages.RUN]) for i in range(len(w) - pages.RUN + 1)})
+    for b, on in {(b, " ".join(p)) for p in found for b in p}:
+        whole[b] += 1
+    out = []
+    for p in found:
+        w = " ".join(p).split()
+        covered = [False] * len(w)
+        for i in range(len(w) - pages.RUN + 1):
+            if spread[tuple(w[i : i + pages.RUN])] >= need:
+                covered[i : i + pages.RUN] = [True] * pages.RUN
+        at, mine = 0, []
+        for b in p:
+            n = len(b.split())
+            mine.append(sum(covered[at : at + n]) >= pages.COVERED * n or n < pages.RUN and whole[b] >= need)
+            at += n
+        out.append(mine)
+    return out
+
+
+def random_host(rng, n):
+    shared = [" ".join(f"s{x}" for x in rng.integers(0, 30, int(rng.integers(2, 25)))) for _ in range(6)]
+    found = []
+    for _ in range(n):
+        page = [" ".join(f"u{x}" for x in rng.integers(0, 10**6, int(rng.integers(1, 30)))) for _ in range(int(rng.integers(1, 5)))]
+        for s in shared:
+            if rng.random() < 0.35:
+                page.insert(int(rng.integers(0, len(page) + 1)), s)
+        found.append(page)
+    return found + found[:3]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeats_match_brute_force(seed):
+    found = random_host(np.random.default_rng(seed), 20)
+    need = max(pages.PAGES, int(np.ceil(pages.SHARE * len({" ".join(p) for p in found}))))
+    assert pages.Host(found).repeated([[0] * len(p) for p in found]) == brute_repeats(found, need)
 
 
 def test_host_boilerplate_goes_and_unique_runs_stay():
     notice = "this very notice stands on each of the pages of our host today"
     found = [[notice, f"own words {i} " + " ".join(f"u{i}x{j}" for j in range(30)), "Short line"] for i in range(12)]
-    assert pages.kept_blocks(found, [False] * 12) == [[p[1]] for p in found]
-    copies = [["the same article here on many a page of the very same host"]] * 12
-    assert pages.kept_blocks(copies, [True] * 12) == copies
+    marks = [[0] * 3] * 12
+    assert [pages.text_of(*x) for x in zip(found, marks, pages.Host(found).repeated(marks), strict=True)] == [p[1] for p in found]
+    # copies are one page, and a main part of which most would go stays whole
+    copies, marks = [["the same article here on many a page of the very same host"]] * 12, [[pages.MAIN]] * 12
+    assert [pages.text_of(*x) for x in zip(copies, marks, pages.Host(copies).repeated(marks), strict=True)] == [c[0] for c in copies]
+
+
+def bare(blocks):
+    return "<html><body>" + "".join(f"<div><p>{b}</p></div>" for b in blocks) + "</body></html>"
+
+
+def test_pages_without_telling_names_lose_what_repeats(spark):
+    own = [f"the article number {i} has " + " ".join(f"w{i}x{j}" for j in range(40)) for i in range(12)]
+    around = ["home news sport weather travel about us contact us imprint", "we use small files to remember you please agree to that now"]
+    table = spark.createDataFrame([(i, f"http://h.org/{i}", bare([around[0], t, around[1]])) for i, t in enumerate(own)], "page_id long, url string, html string")
+    assert {r.page_id: (r.text, r.n_repeated) for r in pages.extract(table).collect()} == {i: (t, 2) for i, t in enumerate(own)}
+
+
+def test_a_large_host_is_judged_as_a_whole(spark, monkeypatch):
+    found = random_host(np.random.default_rng(9), 60)
+    rows = [(i, "http://big.org/x", bare(p)) for i, p in enumerate(found)] + [(100 + i, f"http://s{i}.org/", bare(p)) for i, p in enumerate(found[:5])] + [(200, "http://big.org/", None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = rows_of = {r.page_id: r for r in pages.extract(table).collect()}
+    need = int(np.ceil(pages.SHARE * len({" ".join(p) for p in found})))
+    for i, gone in enumerate(brute_repeats(found, need)):
+        assert whole[i].text == "\n".join(b for b, g in zip(found[i], gone, strict=True) if not g)
+    monkeypatch.setattr(pages, "GROUP_CHARACTERS", sum(len(r[2] or "") for r in rows) // 7)
+    assert {r.page_id: r for r in pages.extract(table).collect()} == rows_of
+
+
+def test_quotes_open_only_after_an_equals_sign():
+    assert pages.blocks_of("<p title=it's>one</p><p>two 'x' three</p>")[0] == ["one", "two 'x' three"]
+    assert pages.blocks_of("<p title='a > b' class=\"x > y\">one</p><a href=x\"y>two</a>")[0] == ["one", "two"]
+
+
+def test_pages_odd_rows(spark):
+    long = "<p>" + "word " * 300_000 + "</p>"
+    table = spark.createDataFrame([(1, "http://h/a", PAGE), (1, "http://h/a", PAGE), (None, "http://h/b", PAGE), (2, "http://h/c", long), (3, "http://h/d", "<p " + "a='" * 2000)], "page_id long, url string, html string")
+    got = pages.extract(table).collect()
+    assert Counter(r.page_id for r in got) == {1: 2, None: 1, 2: 1, 3: 1} and len({r.text for r in got if r.page_id in (1, None)}) == 1
+    assert next(r.n_chars for r in got if r.page_id == 2) == 5 * 300_000 - 1
 
 
 def test_secrets_match_brute_force(corpus, odd):
@@ -221,10 +305,44 @@ def test_phrases_match_a_greedy_parse():
         while at + n < len(text) and "".join(map(str, text[at : at + n + 1])) in joined:
             n += 1
         count, at = count + 1, at + n
-    got = languages.phrases(languages.Automaton(sample).table(4), np.array([text], np.uint8))
+    got = languages.phrases(languages.Automaton([x + 1 for x in sample]).table(5), np.array([text], np.uint8) + np.uint8(1), np.array([-1]))
     assert got.tolist() == [count]
 
 
+def greedy(sample, text):
+    count, at = 0, 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in sample:
+            n += 1
+        count, at = count + 1, at + n
+    return count
+
+
+def test_languages_parse_whole_texts_like_brute_force():
+    rng = np.random.default_rng(6)
+    words = {"aa": ["kal", "mor", "tis", "\u00e4b"], "bb": ["zue", "ixo", "que", "kal"]}
+    samples = {k: [" ".join(rng.choice(v, 30)) for _ in range(9)] for k, v in words.items()}
+    model = languages.fit_texts(samples)
+    texts = [" ".join(rng.choice(words[k], n)) for n in (1, 5, 700, 3000) for k in words] + ["", "12 34", "\u4e00 kal, MOR!"]
+    flat, begins, _ = languages.folded(texts, model.is_letter)
+    got = model.needed(flat, begins, [0, 1])
+    for i, k in enumerate(sorted(samples)):
+        sample = languages.folded([" ".join(t for j, t in enumerate(samples[k]) if j % 5 != 4)], model.is_letter)[0].tobytes()
+        assert got[i].tolist() == [greedy(sample, flat[x:y].tobytes()) for x, y in zip(begins[:-1], begins[1:], strict=True)]
+
+
+def test_languages_tell_rare_letters_and_outlast_copies(spark):
+    rng = np.random.default_rng(7)
+    blocks = {"han": [chr(0x4E00 + i) for i in range(400)], "hangul": [chr(0xAC00 + i) for i in range(400)]}
+    docs = [(i, " ".join(blocks[k][j] for j in np.minimum(rng.zipf(1.3, 200), 400) - 1), k) for i in range(160) for k in (("han", "hangul")[i % 2],)]
+    docs += [(1000 + i, "one copied text " * 400, "han") for i in range(120)]
+    rare = [(5000 + i, " ".join(rng.choice(blocks[k][100:], 20)), k) for i in range(20) for k in (("han", "hangul")[i % 2],)]
+    model = languages.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert all(model.predict([t])[0] == [k] for _, t, k in rare)
+    assert all(model.predict([t])[0] == [k] for _, t, k in docs[:40])
+
+
 def test_lm_base_scores_match_brute_force(corpus):
     docs = [(r.doc_id, lm.words_of(r.text)) for r in corpus.collect()]
     counts = Counter()
