@@ -31,47 +31,51 @@ AGREE = 0.8
 BROADCAST_SEEDS = 2_000_000
 
 
-def tokens(text: str | Column) -> Column:
-    """The hashes of a text's tokens."""
-    words = F.filter(F.split(F.lower(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+def words(text: str | Column) -> Column:
+    """A text's tokens: its runs of letters and digits, lower-cased."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(of: str, mask: str) -> Column:
-    """The hash of each window's kept tokens, in order of position; empty if the text is shorter."""
-    kept = [i for i, x in enumerate(mask) if x == "1"]
-    at = F.sequence(F.lit(0), F.size(of) - F.lit(len(mask)))
-    made = F.transform(at, lambda i: F.xxhash64(F.lit(mask), *(F.get(F.col(of), i + k) for k in kept)))
-    return F.when(F.size(of) >= len(mask), made).otherwise(F.array().cast("array<bigint>"))
+def tokens(text: str | Column) -> Column:
+    """The hashes of a text's tokens."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
 def _places(df: DataFrame, keep: list[str], masks: list[str]) -> DataFrame:
-    """Of df (keep, tokens): keep, at (a window's place) and seed."""
-    found = df.select(*keep, F.size("tokens").alias("_n"), F.posexplode(F.concat(*(_seeds("tokens", m) for m in masks))).alias("_p", "seed"))
-    at, start = F.col("_p"), F.lit(0)
-    for m in masks[:-1]:
-        start = start + F.greatest(F.col("_n") - F.lit(len(m) - 1), F.lit(0))
-        at = F.when(F.col("_p") >= start, F.col("_p") - start).otherwise(at)
-    return found.select(*keep, at.alias("at"), "seed")
+    """Of df (keep, words): keep, at (a window's place) and seed, the hash of the window's kept tokens.
+
+    Windows are read after the words are exploded, so that their hashing is compiled code and not a
+    lambda for each place; the array of words itself leaves neither the row nor its task. (The outer form: the
+    planner would filter on the size of the other's array, and split each text twice for it.)
+    """
+    at = df.select(*keep, "words", F.posexplode_outer("words").alias("at", "_word"))
+    seeds = []
+    for m in masks:
+        kept = [F.get("words", F.col("at") + i) for i, x in enumerate(m) if x == "1"]
+        seeds.append(F.when(F.col("at") + len(m) <= F.size("words"), F.xxhash64(F.lit(m), *kept)))
+    return at.select(*keep, "at", F.explode(F.array(*seeds)).alias("seed")).where(F.col("seed").isNotNull())
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _key, which tells a document by its doc_id and text."""
-    return docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("text", F.lit(""))))
+    """docs with _key, which tells a document by its doc_id and text: two hashes, 128 bits."""
+    both = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("text", F.lit(""))
+    return docs.withColumn("_key", F.struct(F.xxhash64(*both).alias("a"), F.xxhash64(F.lit(1), *both).alias("b")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Of docs (doc_id, text) and benchmark (item_id, text): _key, doc_id, item_id, hits (windows that met),
     position (the document's token at which the best window starts) and overlap (its share of equal tokens)."""
-    items = stash(benchmark.select("item_id", tokens("text").alias("tokens")).where(F.size("tokens") >= LEAST).distinct())
-    short = [r[0] for r in items.where(F.size("tokens") < WINDOW).select(F.size("tokens")).distinct().orderBy(F.size("tokens")).collect()]
-    longer = _places(items.where(F.size("tokens") >= WINDOW), ["item_id", "tokens"], list(MASKS))
+    items = stash(benchmark.select("item_id", words("text").alias("words")).where(F.size("words") >= LEAST).distinct())
+    items = items.withColumn("tokens", F.transform("words", lambda w: F.xxhash64(w)))
+    short = [r[0] for r in items.where(F.size("words") < WINDOW).select(F.size("words")).distinct().orderBy(F.size("words")).collect()]  # WINDOW numbers at most
+    item = F.xxhash64("tokens").alias("_item")
+    placed = _places(items.where(F.size("words") >= WINDOW).select("item_id", item, "words"), ["item_id", "_item"], list(MASKS))
     for n in short:
-        longer = longer.unionByName(_places(items.where(F.size("tokens") == n), ["item_id", "tokens"], list(SHORT_MASKS[n])))
+        placed = placed.unionByName(_places(items.where(F.size("words") == n).select("item_id", item, "words"), ["item_id", "_item"], list(SHORT_MASKS[n])))
     lighter = sorted({m for n in short for m in SHORT_MASKS[n]} - {*MASKS})
-    seeds = stash(longer.select("item_id", F.xxhash64("tokens").alias("_item"), F.col("at").alias("item_at"), F.col("seed").alias("_seed")).distinct())
+    seeds = stash(placed.select("item_id", "_item", F.col("at").alias("item_at"), F.col("seed").alias("_seed")).distinct())
     keys = keyed(docs.select("doc_id", "text"))
-    places = _places(keys.select("_key", tokens("text").alias("tokens")), ["_key"], [*MASKS, *lighter])
+    places = _places(keys.select("_key", words("text").alias("words")), ["_key"], [*MASKS, *lighter])
     met = places.join(if_small(seeds, BROADCAST_SEEDS), F.col("seed") == F.col("_seed"))
     lines = stash(met.groupBy("_key", "item_id", "_item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("hits")))
     wanted = stash(lines.select(F.col("_key").alias("_k")).distinct())
