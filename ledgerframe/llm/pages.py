@@ -26,16 +26,18 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import kernels
-from ledgerframe.llm.common import groups, if_small, stash, tune, written
+from ledgerframe.llm.common import groups, if_small, stash, tune
 from ledgerframe.llm.urls import host_of
 
 #: Tokens of a substring that counts as long.
@@ -46,7 +48,7 @@ SHARE, PAGES = 0.2, 3
 #: A block goes if this share of its tokens is covered.
 COVERED = 0.6
 #: Characters of html of a host's pages that one task sorts together, about; a larger host is dealt into parts.
-GROUP_CHARACTERS = 16_000_000
+GROUP_CHARACTERS = 8_000_000
 #: Marks of a block: in the main part; told by markup not to be of the article.
 MAIN, ASIDE = 1, 2
 
@@ -196,100 +198,153 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def _spread(classes: np.ndarray, pages: np.ndarray) -> np.ndarray:
-    """On how many distinct pages the class of each position stands."""
-    if not len(classes):
-        return np.zeros(0, np.int64)
-    pair = np.unique(classes.astype(np.int64) * (int(pages.max()) + 1) + pages)
-    return np.bincount(pair // (int(pages.max()) + 1), minlength=int(classes.max()) + 1)[classes]
+def _distinct(values: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and on how many pages each stands."""
+    kinds, at = np.unique(values, return_inverse=True)
+    wide = int(pages.max(initial=0)) + 1
+    pair = np.unique(at.astype(np.int64) * wide + pages)
+    return kinds, np.bincount(pair // wide, minlength=len(kinds))
 
 
 @dataclass
 class Host:
-    """What repeats over pages of a host, given as lists of blocks.
+    """The token streams of pages of a host, given as lists of blocks.
 
-    distinct: the pages that differ. runs, run_counts: by token of all pages the hash of the RUN tokens that start there (0 where
-    the page ends sooner) and the distinct pages that have it; forms, form_counts: by block shorter than RUN the same (0 for others).
+    distinct: the pages that differ. runs: by token the hash of the RUN tokens that start there, odd; forms: by block shorter
+    than RUN its hash, even. Both are 0 where there is none.
     """
 
     pages: list[list[str]]
 
     def __post_init__(self) -> None:
         flat = [b.encode("utf-8", "replace") for p in self.pages for b in p]
-        self.blocks_at = np.concatenate(([0], np.cumsum([len(p) for p in self.pages])))
-        owner = np.repeat(np.arange(len(self.pages)), np.diff(self.blocks_at))
-        words, self.begins = kernels.word_hashes(flat) if flat else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        self.blocks_at = np.concatenate(([0], np.cumsum([len(p) for p in self.pages], dtype=np.int64)))
+        words, begins = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for i, j in kernels.chunks(flat):
+            w, at = kernels.word_hashes(flat[i:j])
+            words.append(w)
+            begins.append(at[1:] + begins[-1][-1])
+        self.words, self.begins = np.concatenate(words), np.concatenate(begins)
         self.page_at = self.begins[self.blocks_at]
-        size = np.diff(self.begins)
-        page = np.repeat(owner, size)
+        self.page = np.repeat(np.arange(len(self.pages), dtype=np.int32), np.diff(self.page_at))
         # copies of a page are one: each page is known by its tokens
-        place = np.arange(len(words)) - self.page_at[:-1][page]
-        sums = np.zeros(len(self.pages), np.uint64)
-        np.add.at(sums, page, kernels.mixed(words ^ kernels.mixed(place.astype(np.uint64))))
-        _, first, same = np.unique(sums, return_index=True, return_inverse=True)
+        place = np.arange(len(self.words)) - self.page_at[:-1][self.page]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(kernels.mixed(self.words ^ kernels.mixed(place.astype(np.uint64))), dtype=np.uint64)))
         lengths = np.diff(self.page_at)
-        chosen = first[lengths[first] > 0]
-        self.distinct = len(chosen)
-        self.runs, self.run_counts = np.zeros(len(words), np.uint64), np.zeros(len(words), np.int64)
-        if len(words) >= RUN:
-            grams = words[: len(words) - RUN + 1].copy()
-            for j in range(1, RUN):
-                grams = kernels.mixed(grams) * kernels.ODD + words[j : len(words) - RUN + 1 + j]
-            whole = np.flatnonzero(place + RUN <= lengths[page])
-            self.runs[whole] = kernels.mixed(grams[whole]) | np.uint64(1)
-        # the stream of the distinct pages, a token of its own after each, so that no substring runs over its end
-        if len(chosen):
-            at = np.concatenate([np.append(np.arange(self.page_at[p], self.page_at[p + 1]), -1) for p in chosen])
-            stream = np.where(at >= 0, words[at], np.uint64(0))
-            stream[at < 0] = np.arange(len(chosen), dtype=np.uint64) | np.uint64(1 << 63)
-            order, shared = suffix_array(stream)
-            classes = np.empty(len(stream), np.int64)
-            classes[order] = np.cumsum(shared < RUN)
-            inside = np.flatnonzero(at >= 0)
-            counted = np.zeros(len(words), np.int64)
-            counted[at[inside]] = _spread(classes[inside], same[page[at[inside]]])
-            # a copy has the counts of the page that stands for it
-            self.run_counts = np.where(self.runs != 0, counted[self.page_at[first[same[page]]] + place], 0)
+        _, first, self.same = np.unique(sums[self.page_at[1:]] - sums[self.page_at[:-1]], return_index=True, return_inverse=True)
+        self.first = first[lengths[first] > 0]
+        self.distinct = len(self.first)
+        # hashes of 1, 2, 4 and 8 tokens; the last of them is the run's
+        grams, reach, self.pairs = self.words, 1, self.words
+        while reach < RUN:
+            shorter = grams
+            grams = np.zeros(len(shorter), np.uint64)
+            n = max(len(shorter) - reach, 0)
+            grams[:n] = kernels.mixed(shorter[:n]) * kernels.ODD + shorter[reach:]
+            reach *= 2
+            self.pairs = grams if reach == 2 else self.pairs
+        self.whole = place + RUN <= lengths[self.page]
+        self.runs = np.where(self.whole, grams | np.uint64(1), np.uint64(0))
         # a block shorter than a run is known as a whole
-        self.forms = np.zeros(len(flat), np.uint64)
-        mixes = np.concatenate((np.zeros(1, np.uint64), np.cumsum(kernels.mixed(words ^ kernels.mixed((np.arange(len(words)) - self.begins[:-1][np.repeat(np.arange(len(flat)), size)]).astype(np.uint64) + np.uint64(77))), dtype=np.uint64)))
+        size = np.diff(self.begins)
+        block = np.repeat(np.arange(len(flat)), size)
+        mixes = np.concatenate((np.zeros(1, np.uint64), np.cumsum(kernels.mixed(self.words ^ kernels.mixed((np.arange(len(self.words)) - self.begins[:-1][block]).astype(np.uint64) + np.uint64(77))), dtype=np.uint64)))
         short = np.flatnonzero((size > 0) & (size < RUN))
+        self.forms = np.zeros(len(flat), np.uint64)
         self.forms[short] = kernels.mixed((mixes[self.begins[1:]] - mixes[self.begins[:-1]])[short] + size[short].astype(np.uint64)) & ~np.uint64(1)
-        self.form_counts = np.zeros(len(flat), np.int64)
-        self.form_counts[short] = _spread(np.unique(self.forms[short], return_inverse=True)[1], same[owner[short]])
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """All runs and short blocks (odd and even numbers) and the distinct pages of each."""
-        keys, at = np.unique(np.concatenate((self.runs, self.forms)), return_index=True)
-        n = np.concatenate((self.run_counts, self.form_counts))[at]
-        return keys[keys > 1], n[keys > 1]
-
-    def recount(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Takes the counts of sorted keys for its own; keys that aren't there are on no page."""
-        for of, n in ((self.runs, self.run_counts), (self.forms, self.form_counts)):
-            at = np.minimum(np.searchsorted(keys, of), max(len(keys) - 1, 0))
-            n[:] = np.where(keys[at] == of, counts[at], 0) if len(keys) else 0
-
-    def repeated(self, marks: list[list[int]], distinct: int | None = None) -> list[list[bool]]:
-        """Of each page's blocks, whether repeats cover them; `distinct`: pages of the whole host."""
-        pages = self.distinct if distinct is None else distinct
+
+    def _on(self, kept: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the forms that are kept: distinct ones and their pages."""
+        at = np.flatnonzero(self.forms != 0)
+        at = at[kept(self.forms[at])]
+        owner = np.searchsorted(self.blocks_at, at, "right") - 1
+        return _distinct(self.forms[at], self.same[owner])
+
+    def frequent(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The runs and forms that stand on `least` distinct pages or more, and on how many.
+
+        Of the distinct pages' streams what can be in such a run goes into the suffix array: a pair of tokens that comes fewer
+        times than that is in none. An own token stands for each gap and after each page.
+        """
+        mine = np.zeros(len(self.pages), bool)
+        mine[self.first] = True
+        mine = mine[self.page]
+        bits = min(22, 2 + len(self.words).bit_length())
+        slot = (self.pairs >> np.uint64(64 - bits)).astype(np.int64)
+        often = np.bincount(slot[mine], minlength=1 << bits)[slot] >= least
+        rare = np.concatenate(([0], np.cumsum(~often)))
+        start = np.flatnonzero(self.whole & mine)
+        start = start[rare[start + RUN - 1] == rare[start]]
+        over = np.zeros(len(self.words) + RUN + 1, np.int64)
+        np.add.at(over, start, 1)
+        np.add.at(over, start + RUN, -1)
+        at = np.flatnonzero(np.cumsum(over)[: len(self.words)] > 0)
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(at):
+            gap = np.flatnonzero((np.diff(at) > 1) | (np.diff(self.page[at]) > 0)) + 1
+            ends = np.append(gap, len(at))
+            stream = np.insert(self.words[at], ends, np.arange(len(ends), dtype=np.uint64) | np.uint64(1 << 63))
+            place = np.insert(at, ends, -1)
+            order, shared = suffix_array(stream)
+            classes = np.cumsum(shared < RUN)  # neighbours that share a run
+            size = np.bincount(classes)
+            where = place[order]
+            held = np.flatnonzero((size >= least)[classes] & (where >= 0))
+            held = held[self.runs[where[held]] != 0]
+            # a suffix that ends its segment sooner than a run is no run; it shares none with its neighbours
+            held = held[_reaches(ends, order[held])]
+            kinds, n = _distinct(classes[held], self.same[self.page[where[held]]])
+            one = np.zeros(len(size), np.int64)
+            one[classes[held][::-1]] = where[held][::-1]
+            keys = self.runs[one[kinds]]
+            keys, n = keys[n >= least], n[n >= least]
+        forms, m = self._on(lambda f: np.ones(len(f), bool))
+        keys, n = np.concatenate((keys, forms[m >= least])), np.concatenate((n, m[m >= least]))
+        order = np.argsort(keys)
+        return keys[order], n[order]
+
+    def counted(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted keys those that pages have, and on how many distinct pages."""
+        known = lambda x: keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x if len(keys) else np.zeros(len(x), bool)
+        at = np.flatnonzero(known(self.runs) & self.whole)
+        runs, n = _distinct(self.runs[at], self.same[self.page[at]])
+        forms, m = self._on(known)
+        return np.concatenate((runs, forms)), np.concatenate((n, m))
+
+    def repeated(self, marks: list[list[int]], keys: np.ndarray, counts: np.ndarray, pages: int) -> list[list[bool]]:
+        """Of each page's blocks, whether repeats cover them: sorted keys and their counts, of a host with so many distinct pages."""
+        of = lambda x: np.where(keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x, counts[np.minimum(np.searchsorted(keys, x), len(keys) - 1)], 0) if len(keys) else np.zeros(len(x), np.int64)
+        run_counts, form_counts = np.where(self.whole, of(self.runs), 0), np.where(self.forms != 0, of(self.forms), 0)
         flat = np.array([m for x in marks for m in x], np.int64)
-        block = np.repeat(np.arange(len(flat)), np.diff(self.begins))
+        size = np.diff(self.begins)
+        block = np.repeat(np.arange(len(flat)), size)
         main = (flat & MAIN) > 0
         gone = np.zeros(len(flat), bool)
         for mine, share, least in ((main, MAIN_SHARE, MAIN_PAGES), (~main, SHARE, PAGES)):
             need = max(least, int(np.ceil(share * pages)))
-            over = np.zeros(len(self.runs) + RUN + 1, np.int64)
-            hit = np.flatnonzero(self.run_counts >= need)
+            hit = np.flatnonzero(run_counts >= need)
+            over = np.zeros(len(self.words) + RUN + 1, np.int64)
             np.add.at(over, hit, 1)
             np.add.at(over, hit + RUN, -1)
-            covered = np.bincount(block, np.cumsum(over)[: len(self.runs)] > 0, len(flat))
-            gone |= mine & (covered >= np.maximum(COVERED * np.diff(self.begins), 1e-9))
-            gone |= mine & (self.forms != 0) & (self.form_counts >= need)
+            covered = np.bincount(block[np.cumsum(over)[: len(self.words)] > 0], minlength=len(flat))
+            gone |= mine & (covered >= np.maximum(COVERED * size, 1e-9))
+            gone |= mine & (form_counts >= need)
         cuts = self.blocks_at
         return [gone[i:j].tolist() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _reaches(ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether RUN tokens from places of a stream on are before the next own token; the k-th stands at ends[k] + k."""
+    stops = ends + np.arange(len(ends))
+    return at + RUN <= stops[np.searchsorted(stops, at)]
+
+
+def host_repeats(blocks: list[list[str]], marks: list[list[int]]) -> list[list[bool]]:
+    """Of each page's blocks, whether repeats over the pages, all of a host's, cover them."""
+    host = Host(blocks)
+    return host.repeated(marks, *host.frequent(max(PAGES, SHARE * host.distinct)), host.distinct)
+
+
 def text_of(blocks: list[str], marks: list[int], repeated: list[bool]) -> str:
     """A page's text: its blocks but for those that repeat or that markup leaves out; of a page with a main part only that."""
     main = any(m == MAIN for m in marks)
@@ -301,43 +356,54 @@ def text_of(blocks: list[str], marks: list[int], repeated: list[bool]) -> str:
     return "\n".join(blocks[k] for k in stay)
 
 
-PARSED = "url string, host string, tie long, parts long, blocks array<string>, marks array<int>"
+def _packed(blocks: list[str], marks: list[int], press: zstandard.ZstdCompressor) -> bytes:
+    """A page's blocks, which have no line ends, and their marks, compressed, so that a shuffle moves less."""
+    return press.compress("\n".join(["".join(map(str, marks)), *blocks]).encode("utf-8", "surrogatepass"))
+
+
+def _unpacked(bodies: pa.ChunkedArray) -> tuple[list[list[str]], list[list[int]]]:
+    unpress = zstandard.ZstdDecompressor()
+    rows = [unpress.decompress(x).decode("utf-8", "surrogatepass").split("\n") for x in bodies.to_pylist() if x is not None]
+    return [r[1:] for r in rows], [list(map(int, r[0])) for r in rows]
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """Per row of pages (page_id, url, html): page_id, url, host, tie, the host's number of parts, blocks and marks."""
+def sized(pages: DataFrame) -> DataFrame:
+    """Per row of pages (page_id, url, html): page_id, url, host, tie, the host's number of parts and html."""
     tune(pages.sparkSession)
     host = F.coalesce(F.when(F.col("url").isNotNull(), host_of(F.col("url"))), F.lit("\x00"))
     large = stash(pages.groupBy(host.alias("_h")).agg(F.sum(F.length("html")).alias("_size")).where(F.col("_size") > GROUP_CHARACTERS))
     rows = pages.select("page_id", "url", "html", host.alias("host")).join(if_small(large, 100_000), F.col("host") == F.col("_h"), "left")
     parts = F.coalesce(F.ceil(F.col("_size") / F.lit(GROUP_CHARACTERS)), F.lit(1)).cast("long")
-    rows = rows.select("page_id", "url", "host", F.xxhash64("html").alias("tie"), parts.alias("parts"), "html")
+    return rows.select("page_id", "url", "host", F.xxhash64("html").alias("tie"), parts.alias("parts"), "html")
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """sized() rows with same, a hash of the page's tokens, and body, its packed blocks, for html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=6)
         for b in batches:
             found = [blocks_of(x) for x in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int32()))], names)
+            same = [xxhash.xxh3_64_intdigest(" ".join(x).encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in found]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(same, pa.int64()), pa.array([_packed(*f, press) for f in found], pa.binary())], names)
 
-    names = ["page_id", "url", "host", "tie", "parts", "blocks", "marks"]
-    return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, {PARSED}")
+    names = ["page_id", "url", "host", "tie", "parts", "same", "body"]
+    return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, tie long, parts long, same long, body binary")
 
 
 def _counted(dealt: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Of dealt pages: host, key, n, by part the counts of what stands on SHARE of its pages, or with keys those of the host's keys.
     Key 0 has the part's distinct pages."""
-
     asks = keys is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (host, _), group in groups(batches, ["host", "deal"]):
-            part = Host([x for x in group["blocks"].to_pylist() if x is not None])
-            found, n = part.counts()
+            part = Host(_unpacked(group["body"])[0])
             if asks:
                 asked = group["keys"][0].values.to_numpy().view(np.uint64) if group["keys"][0].is_valid else np.zeros(0, np.uint64)
-                kept = np.isin(found, asked)
+                found, n = part.counted(np.sort(asked))
             else:
-                kept = n >= SHARE * part.distinct
-            found, n = found[kept], n[kept]
+                found, n = part.frequent(max(1, SHARE * part.distinct))
             found, n = np.append(found, np.uint64(0)), np.append(n, part.distinct)
             yield pa.RecordBatch.from_arrays([pa.array([host] * len(n), pa.string()), pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["host", "key", "n"])
 
@@ -360,18 +426,18 @@ def _settled(rows: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groups(batches, ["host", "deal"]):
-            keys, distinct = None, None
+            keys = distinct = None
             if group["kind"][0].as_py() == 0:
                 keys, counts = (group[c][0].values.to_numpy() for c in ("keys", "counts"))
                 distinct, group = group["distinct"][0].as_py(), group.slice(1)
             if not len(group):
                 continue
-            blocks, marks = group["blocks"].to_pylist(), group["marks"].to_pylist()
-            host = Host(blocks)
-            if keys is not None:
+            blocks, marks = _unpacked(group["body"])
+            if keys is None:
+                gone = host_repeats(blocks, marks)
+            else:
                 order = np.argsort(keys.view(np.uint64))
-                host.recount(keys.view(np.uint64)[order], counts[order])
-            gone = host.repeated(marks, distinct)
+                gone = Host(blocks).repeated(marks, keys.view(np.uint64)[order], counts[order], distinct)
             texts = list(map(text_of, blocks, marks, gone))
             for i in range(0, len(texts), 2000):
                 part, mine = group.slice(i, 2000), texts[i : i + 2000]
@@ -385,14 +451,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """The contract's rows for pages (page_id, url, html): page_id, url, text and n_chars, with n_repeated, the blocks of the page
     that its host repeats."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    rows = parsed(pages)
-    whole = rows.where("parts = 1").withColumn("deal", F.lit(0).cast("long"))
+    rows = sized(pages)
+    whole = _parsed(rows.where("parts = 1")).withColumn("deal", F.lit(0).cast("long"))
     nothing = {"keys": "array<long>", "counts": "array<long>", "distinct": "long"}
     out = _settled(_with_keys(whole, None).withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()}), kind)
-    large = rows.where("parts > 1").withColumn("deal", F.pmod(F.xxhash64(F.array_join("blocks", " ")), F.col("parts")))
-    if not large.select("host").limit(1).count():
+    if not rows.where("parts > 1").limit(1).count():
         return out
-    large = written(large, "pages")
+    large = _parsed(rows.where("parts > 1")).withColumn("deal", F.pmod("same", F.col("parts")))  # read again by each step: parsing costs less than a table of it
     first = stash(_counted(large))
     asked = first.where("key <> 0").groupBy("host").agg(F.collect_set("key").alias("keys"))
     blank = {c: F.lit(None).cast(t) for c, t in nothing.items() if c != "keys"}
