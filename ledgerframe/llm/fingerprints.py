@@ -1,8 +1,8 @@
 """Document fingerprints: a canonical exact digest.
 
 The canonical form is NFKC, case folded, white space runs as one space, trimmed; its 128-bit xxh3 is
-the fingerprint. Equal digests are only a bucket: the canonical bytes are compared inside it, so two
-texts are the same class only if those bytes are equal.
+the fingerprint. Rows are grouped by digest; equal digests are only a bucket: the canonical bytes are compared
+inside it, so two texts are the same class only if those bytes are equal.
 
 A null text is the empty text. Rows with equal doc_id are ordered by a hash of their text, then the
 text; rows alike in both are interchangeable. A null doc_id comes last. Extra columns are not read;
@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import stash, tune
+from ledgerframe.llm.common import if_small, stash, tune
 
 #: Buckets of the order by doc_id for each shuffle partition; a bucket's rows are sorted in one task.
 BUCKETS_EACH = 6
@@ -59,29 +59,53 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), "n_chars", "fingerprint")
 
 
-def exact_classes(docs: DataFrame, digest_of: Callable[[bytes], str] = digest) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, fingerprint, class_id (the least doc_id with the same
-    canonical bytes), class_size.
-
-    Rows meet by digest with a map-side combine, so a group of copies is a few rows a task. A bucket
-    whose least and greatest canonical forms agree, byte by byte, is one class; only in a bucket where
-    they differ, a collision, rows are grouped by the form itself.
-    """
-    tune(docs.sparkSession)
+def _forms(docs: DataFrame, digest_of: Callable[[bytes], str]) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, fingerprint, proof (a second digest of the form) and form, compressed (equal if and only if the forms are)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             forms = [canonical(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest_of(x) for x in forms], pa.string()), pa.array(forms, pa.binary())], ["doc_id", "fingerprint", "form"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(digest_of, forms), pa.string()), pa.array([proof_of(x) for x in forms], pa.binary()), pa.array(map(press.compress, forms), pa.binary())], ["doc_id", "fingerprint", "proof", "form"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, fingerprint string, form binary")
-    buckets = stash(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), (F.min("form") == F.max("form")).alias("one")))
-    whole = rows.select("doc_id", "fingerprint").join(buckets.where("one").drop("one"), "fingerprint")
-    clashes = rows.join(buckets.where("NOT one").select("fingerprint"), "fingerprint")
-    forms = clashes.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    split = clashes.join(forms, ["fingerprint", "form"]).drop("form")
-    return whole.unionByName(split).select("doc_id", "fingerprint", "class_id", "class_size")
+    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, fingerprint string, proof binary, form binary")
+
+
+def proof_of(form: bytes) -> bytes:
+    return hashlib.sha256(form).digest()[:16]
+
+
+def grouped(docs: DataFrame, signed: DataFrame, digest_of: Callable[[bytes], str] = digest) -> DataFrame:
+    """The classes of docs (doc_id, text) of two rows or more: fingerprint, proof, class_id (the least doc_id with the same
+    canonical bytes) and class_size. signed: the same rows' doc_id and fingerprint.
+
+    Rows meet by digest, numbers only. Just the forms of digests that several rows have go on, with a map-side combine, so
+    that a group of copies is a row a task. A bucket whose least and greatest forms agree, byte by byte, is one
+    class; only in a bucket where they differ, a collision, rows are grouped by the form itself. proof is null in the former.
+    """
+    buckets = stash(signed.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1"))
+    forms = _forms(docs, digest_of).join(if_small(buckets.select("fingerprint")), "fingerprint", "left_semi")
+    one = stash(forms.groupBy("fingerprint").agg((F.min("form") == F.max("form")).alias("one")))
+    whole = buckets.join(one.where("one"), "fingerprint").select("fingerprint", F.lit(None).cast("binary").alias("proof"), "class_id", "class_size")
+    if not one.where("NOT one").limit(1).count():
+        return whole
+    clashes = forms.join(one.where("NOT one").select("fingerprint"), "fingerprint")
+    apart = clashes.groupBy("fingerprint", "form").agg(F.first("proof").alias("proof"), F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return whole.unionByName(apart.drop("form"))
+
+
+def with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows (doc_id, fingerprint, proof) with class_id and class_size; a row that is in no class of two is its own."""
+    met = rows.alias("r").join(classes.alias("c"), F.expr("r.fingerprint = c.fingerprint AND (c.proof IS NULL OR c.proof = r.proof)"), "left")
+    return met.select("r.*", F.when(F.col("c.class_size").isNull(), F.col("r.doc_id")).otherwise(F.col("c.class_id")).alias("class_id"), F.coalesce("c.class_size", F.lit(1)).cast("long").alias("class_size")).drop("proof")
+
+
+def exact_classes(docs: DataFrame, digest_of: Callable[[bytes], str] = digest) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, fingerprint, class_id and class_size."""
+    tune(docs.sparkSession)
+    rows = _forms(docs, digest_of).select("doc_id", "fingerprint", "proof")
+    return with_classes(rows, grouped(docs, rows, digest_of))
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -144,7 +168,8 @@ def _bucket(cuts: list[int], parts: int) -> Column:
 def digests(docs: DataFrame) -> DataFrame:
     """The contract's rows for documents (doc_id, text).
 
-    Likeness of two exact digests is 1 where the digests and then the canonical bytes are equal, else 0.
+    Likeness of two exact digests is 1 where the digests and then the canonical bytes are equal, else 0. class_id and class_size
+    are of all rows with the same canonical bytes.
     """
     tune(docs.sparkSession)
     rows = with_next(docs.select("doc_id"), packed(docs), ["body"], ["tie", "body"]).select("doc_id", "body", F.col("_next.body").alias("next"))
@@ -161,12 +186,13 @@ def digests(docs: DataFrame) -> DataFrame:
                 other, following = (form if edited == text else canonical(edited)), (form if after == text else canonical(after))
                 mine, theirs = digest(form), digest(other)
                 row = (len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mine, theirs)
-                row += (float(mine == theirs and form == other), float(mine == digest(following) and form == following))
+                row += (float(mine == theirs and form == other), float(mine == digest(following) and form == following), proof_of(form))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out, kinds)], names)
 
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "proof"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = rows.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, proof binary")
+    return with_classes(out, grouped(docs, fingerprints(docs, ["doc_id"])))

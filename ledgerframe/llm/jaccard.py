@@ -2,15 +2,18 @@
 
 A text is the set of its five-word shingles (lower-cased, split at white space; a text of fewer words
 has one shingle, all of them; a text without words has none and links to nothing). Sets are split down
-a tree: at each node a set goes to the child of the shingle that the node's hash ranks least, so two
-sets go on together with the probability of their Jaccard similarity. A node of few sets is a leaf; at
-the last depth every node is. All pairs of a leaf are compared, exactly. RUNS trees, with other hashes,
-are grown: a pair at similarity s meets at depth d in one of them with probability 1 - (1 - s^d)^RUNS,
-0.9999 at depth 1 and 0.998 at depth 2 for the threshold of 0.8.
+a tree: a node samples BRANCHES shared tokens, and a set goes to the child of each token that it has. A
+sampled token is a place of the set's min-hash values with the value there, so two sets have it in common
+with the probability of their Jaccard similarity. A node of at most LEAF sets is a leaf, and so is one
+whose sets stay together in a child, since they are alike; all other nodes are split again, to any depth.
+All pairs of a leaf are compared, exactly.
+
+Two sets at similarity s are parted in a tree with the probability q = (1 - s + s q)^BRANCHES, whatever its
+depth. Runs are repeated, trees with other tokens, until a pair at the threshold is met with TARGET.
 
 Equal sets are one node of the join, with its number of copies, so copies never meet one another. A
 leaf of many sets is cut into blocks and each pair of blocks is a task's work. A pair counts only in
-the first run in which it shares a leaf. No pair leaves a task: what does is each set's number of links
+the first leaf, by number, that it shares. No pair leaves a task: what does is each set's number of links
 and a spanning forest of them.
 
 A null text is the empty text. Rows are told apart by doc_id and text; a null doc_id is a row like any
@@ -24,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import kernels
@@ -33,11 +37,29 @@ from ledgerframe.llm.common import groups, if_small, stash, tune, written
 WIDTH = 5
 #: Similarity of a link: at least ABOVE / BELOW.
 ABOVE, BELOW = 4, 5
-RUNS = 6
-DEPTHS = 2
-#: Sets of a leaf; at the last depth a larger one is cut into blocks of half as many.
-LEAF = 256
-_SEEDS = kernels.mixed(np.arange(1, RUNS * DEPTHS + 1, dtype=np.uint64) * kernels.ODD)
+#: Sampled tokens of a node.
+BRANCHES = 2
+#: Probability that a pair at the threshold meets in a leaf.
+TARGET = 0.999
+#: Sets of a leaf, and of a block of a larger one.
+LEAF, BLOCK = 256, 512
+#: A node of which a child has this share of the sets is a leaf of any size.
+CLOSE = 0.7
+#: Min-hash values of a set: those of the roots, then FEW for each level, used by turns.
+FIRST, FEW, TURNS = 8, 4, 6
+VALUES = FIRST + FEW * TURNS
+_SEEDS = kernels.mixed(np.arange(1, VALUES + 1, dtype=np.uint64) * kernels.ODD)
+
+
+def runs_for(target: float, similarity: float = ABOVE / BELOW, branches: int = BRANCHES) -> int:
+    """How many trees a pair needs to meet in one of them with probability `target`."""
+    parted = 0.0
+    for _ in range(1000):
+        parted = (1 - similarity + similarity * parted) ** branches
+    return next(n for n in range(1, 1000) if 1 - parted**n >= target)
+
+
+RUNS = runs_for(TARGET)
 
 
 def _sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,76 +83,100 @@ def _digests(grams: np.ndarray, begins: np.ndarray) -> list[str]:
     return [f"{a:016x}{b:016x}" for a, b in zip(*out, strict=True)]
 
 
-def _paths(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """By text, run and depth: the node that a set without repeats comes to."""
-    n = len(begins) - 1
-    out = np.zeros((n, RUNS, DEPTHS), np.uint64)
+def _values(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """By text the min-hash values of a set without repeats."""
+    out = np.zeros((len(begins) - 1, VALUES), np.uint64)
     full = np.flatnonzero(np.diff(begins) > 0)
-    for run in range(RUNS):
-        node = np.zeros(len(full), np.uint64)
-        for depth in range(DEPTHS):
-            seed = _SEEDS[run * DEPTHS + depth]
+    if len(full):
+        for k, seed in enumerate(_SEEDS):
             ranked = (grams ^ seed) * kernels.ODD
             ranked ^= ranked >> np.uint64(32)
-            least = np.minimum.reduceat(ranked, begins[:-1][full]) if len(full) else node
-            node = kernels.mixed(node ^ kernels.mixed(least ^ seed))
-            out[full, run, depth] = node
+            out[full, k] = np.minimum.reduceat(ranked, begins[:-1][full])
     return out
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, sid (the set's digest; null if it is empty), n, and nodes, by run and depth."""
+    """Per row of docs (doc_id, text): doc_id, sid (the set's digest; null if it is empty), n, and its min-hash values."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             sids: list[str | None] = []
-            ns, nodes = [], []
+            ns, values = [], []
             for i, j in kernels.chunks([(t or "").encode("utf-8", "replace") for t in texts]):
                 grams, begins = _distinct(texts[i:j])
                 size = np.diff(begins)
                 sids += [s if n else None for s, n in zip(_digests(grams, begins), size, strict=True)]
                 ns.append(size)
-                nodes.append(_paths(grams, begins).reshape(j - i, -1).view(np.int64))
-            flat = np.concatenate([*nodes, np.zeros((0, RUNS * DEPTHS), np.int64)])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * (RUNS * DEPTHS)), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sids, pa.string()), pa.array(np.concatenate([*ns, np.zeros(0, np.int64)]).astype(np.int64)), lists], ["doc_id", "sid", "n", "nodes"])
+                values.append(_values(grams, begins).view(np.int64))
+            flat = np.concatenate([*values, np.zeros((0, VALUES), np.int64)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * VALUES), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sids, pa.string()), pa.array(np.concatenate([*ns, np.zeros(0, np.int64)]).astype(np.int64)), lists], ["doc_id", "sid", "n", "mins"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, sid string, n long, nodes array<long>")
+    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, sid string, n long, mins array<long>")
+
+
+def _child(node: Column, place: Column) -> Column:
+    """The child of the token that is a set's value at a place."""
+    return F.xxhash64(node, place, F.get("mins", place))
+
+
+def _children(node: Column, depth: int) -> Column:
+    """The children that a node's set goes on to; the node's number samples their places among the level's."""
+    first = F.pmod(F.xxhash64(node, F.lit(-1)), F.lit(FEW))
+    step = F.pmod(F.xxhash64(node, F.lit(-2)), F.lit(FEW - 1)) + 1
+    begin = FIRST + FEW * (depth % TURNS)
+    return F.array(*(_child(node, (F.lit(begin) + F.pmod(first + step * k, F.lit(FEW))).cast("int")) for k in range(BRANCHES)))
 
 
 def _leaves(sets: DataFrame, leaf: int) -> DataFrame:
-    """Of sets (sid, nodes): sid, run, node and the number of sets in it, for the leaves of two sets or more."""
-    at = sets.select("sid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.struct(r.alias("run"), F.slice("nodes", r * DEPTHS + 1, DEPTHS).alias("path")))).alias("at")).select("sid", "at.run", "at.path")
-    found = None
-    for depth in range(DEPTHS):
-        at = at.withColumn("node", F.element_at("path", depth + 1))
-        sizes = at.groupBy("run", "node").agg(F.count("*").alias("size")).where("size > 1")
-        at = at.join(sizes, ["run", "node"])
-        last = depth == DEPTHS - 1
-        ends = at.where(F.lit(True) if last else F.col("size") <= leaf).select("sid", "run", "node", "size")
-        found = ends if found is None else found.unionByName(ends)
-        at = at.where(F.col("size") > leaf).drop("node", "size")
+    """Of sets (sid, mins): sid, node and size, the sets of the node, for the leaves of two sets or more."""
+    roots = F.array(*(_child(F.lit(run).cast("long"), F.lit((run * BRANCHES + k) % FIRST)) for run in range(RUNS) for k in range(BRANCHES)))
+    level = sets.select("sid", F.explode(roots).alias("node"))
+    sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    at = stash(level.join(sizes, "node").select("sid", "node", "size"))
+    found, depth = at.where(F.col("size") <= leaf), 0
+    while (more := at.where(F.col("size") > leaf)).limit(1).count():
+        kids = more.join(sets.select("sid", "mins"), "sid").select("sid", F.col("node").alias("parent"), F.col("size").alias("whole"), F.explode(_children(F.col("node"), depth)).alias("node"))
+        sizes = stash(kids.groupBy("parent", "whole", "node").agg(F.count("*").alias("size")))
+        close = sizes.where(F.col("size") >= CLOSE * F.col("whole")).select("parent").distinct()
+        found = found.unionByName(more.join(close, F.col("node") == F.col("parent"), "left_semi"))
+        going = sizes.where("size > 1").join(close, "parent", "left_anti").select("node", "size")
+        at = stash(kids.select("sid", "node").join(going, "node").select("sid", "node", "size"))
+        found, depth = found.unionByName(at.where(F.col("size") <= leaf)), depth + 1
     return found
 
 
-def _verified(rows: pa.Table, two: bool) -> dict[str, list]:
+def _met_before(rows: pa.Table, node: int) -> np.ndarray:
+    """Of a leaf's sets, the pairs that share a leaf with a lesser number."""
+    n = len(rows)
+    out = np.zeros((n, n), bool)
+    lists = rows["leaves"].combine_chunks()
+    value = lists.flatten().to_numpy()
+    owner = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
+    owner, value = owner[value < node], value[value < node]
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    cuts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1], [True]))) if len(value) else np.zeros(1, np.int64)
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if j - i > 1:
+            out[np.ix_(owner[i:j], owner[i:j])] = True
+    return out
+
+
+def _verified(rows: pa.Table, node: int, two: bool) -> dict[str, list]:
     """Links of a task's sets: sid, root (of its tree in the spanning forest), links (other sets, with their copies) and sets.
 
-    rows: sid, n, copies, shingles (32-bit, little-endian), run, leaves (by run, 0 for none) and block; with
-    `two`, only pairs of different blocks count.
+    rows: sid, n, copies, shingles (64-bit, sorted), leaves (all of the set's) and block; with `two`, only
+    pairs of different blocks count.
     """
     n, copies = rows["n"].to_numpy(), rows["copies"].to_numpy()
-    run = rows["run"][0].as_py()
-    leaves = np.array(rows["leaves"].to_pylist(), np.int64).reshape(len(n), RUNS)
     blocks = rows["block"].to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows["shingles"]]
-    # pairs that may link and that no earlier run has compared
-    new = np.triu(np.ones((len(n), len(n)), bool), 1)
-    for r in range(run):
-        new &= ~((leaves[:, None, r] == leaves[None, :, r]) & (leaves[:, None, r] != 0))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
+    # pairs that may link and that no earlier leaf has compared
+    new = np.triu(~_met_before(rows, node), 1)
     if two:
         new &= blocks[:, None] != blocks[None, :]
     new &= (np.minimum(n[:, None], n[None, :]) * BELOW >= np.maximum(n[:, None], n[None, :]) * ABOVE)
@@ -182,7 +228,7 @@ def _shared(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 
 def _shingle_rows(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, sid and the set, as sorted 32-bit numbers (two of its members fall together once in 2^32 pairs)."""
+    """Per row: doc_id, sid and the set, as sorted 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,8 +237,7 @@ def _shingle_rows(docs: DataFrame) -> DataFrame:
             for i, j in kernels.chunks([(t or "").encode("utf-8", "replace") for t in texts]):
                 grams, begins = _distinct(texts[i:j])
                 sids += _digests(grams, begins)
-                # the upper halves of sorted numbers are sorted
-                shingles += [(grams[x:y] >> np.uint64(32)).astype(np.uint32).tobytes() for x, y in zip(begins[:-1], begins[1:], strict=True)]
+                shingles += [grams[x:y].tobytes() for x, y in zip(begins[:-1], begins[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sids, pa.string()), pa.array(shingles, pa.binary())], ["doc_id", "sid", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -200,24 +245,21 @@ def _shingle_rows(docs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, sets: DataFrame, *, leaf: int = LEAF) -> DataFrame:
-    """Of sets (sid, doc_id of a text, n, copies, nodes): sid, root, links, sets for each task's share of the join."""
-    found = _leaves(sets, leaf)
-    by_run = F.map_from_entries(F.collect_list(F.struct("run", "node")))
-    members = found.groupBy("sid").agg(F.collect_list(F.struct("run", "node", "size")).alias("at"), by_run.alias("by_run"))
-    leaves = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(F.try_element_at("by_run", r), F.lit(0).cast("long")))
-    members = stash(members.select("sid", "at", leaves.alias("leaves")).join(sets.select("sid", "doc_id", "n", "copies"), "sid"))
+    """Of sets (sid, doc_id of a text, n, copies, mins): sid, root, links, sets for each task's share of the join."""
+    members = _leaves(sets, leaf).groupBy("sid").agg(F.collect_list(F.struct("node", "size")).alias("at"))
+    members = stash(members.select("sid", "at", F.sort_array("at.node").alias("leaves")).join(sets.select("sid", "doc_id", "n", "copies"), "sid"))
     # only the texts of members go on: one for each set, told by its doc_id and digest
     wanted = members.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(if_small(wanted), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     shingles = _shingle_rows(texts).alias("t")
     rows = members.alias("m").join(shingles, F.expr("m.sid = t.sid AND m.doc_id <=> t.doc_id")).select("m.*", "t.shingles")
-    half = max(1, leaf // 2)
-    rows = rows.withColumn("at", F.explode("at")).select("sid", "n", "copies", "shingles", "leaves", "at.run", "at.node", "at.size")
-    blocks = F.when(F.col("size") <= leaf, F.lit(1)).otherwise(F.ceil(F.col("size") / F.lit(half))).cast("int")
+    rows = rows.withColumn("at", F.explode("at")).select("sid", "n", "copies", "shingles", "leaves", "at.node", "at.size")
+    block = max(leaf, BLOCK) if leaf >= LEAF else max(1, leaf // 2)
+    blocks = F.when(F.col("size") <= leaf, F.lit(1)).otherwise(F.ceil(F.col("size") / F.lit(block))).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j"))))
-    rows = rows.withColumn("tile", tile).select("run", "node", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "sid", "n", "copies", "leaves", "block", "shingles")
-    keys = ["run", "node", "i", "j"]
+    rows = rows.withColumn("tile", tile).select("node", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "sid", "n", "copies", "leaves", "block", "shingles")
+    keys = ["node", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {"sid": [], "root": [], "links": [], "sets": []}
@@ -226,7 +268,7 @@ def links(docs: DataFrame, sets: DataFrame, *, leaf: int = LEAF) -> DataFrame:
             once = [k for k in range(len(sid)) if not k or sid[k] != sid[k - 1]]  # rows with the same doc_id and text
             if len(once) < 2:
                 continue
-            for k, v in _verified(group if len(once) == len(sid) else group.take(once), key[2] != key[3]).items():
+            for k, v in _verified(group if len(once) == len(sid) else group.take(once), key[0], key[1] != key[2]).items():
                 held[k] += v
             if len(held["sid"]) > 10_000:
                 yield pa.RecordBatch.from_pydict(held, schema)
@@ -260,7 +302,7 @@ def near_duplicates(docs: DataFrame, *, leaf: int = LEAF) -> DataFrame:
     links), is_kept (its doc_id is class_id; texts without words are kept), n_links (other rows at
     similarity 0.8 or more, copies included) and n_copies (rows with the same set, this one included)."""
     signed = stash(signatures(docs))
-    sets = stash(signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("nodes").alias("nodes")))
+    sets = stash(signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("mins").alias("mins")))
     found = stash(links(docs, sets, leaf=leaf))
     labels = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")).where("a <> b"))
     counts = found.groupBy("sid").agg(F.sum("links").alias("links"))

@@ -209,8 +209,11 @@ def fit(training: DataFrame, *, states: int) -> Automaton:
 
 
 def _chunked(docs: DataFrame) -> DataFrame:
-    """docs with the chunk that a row is in: the piece of a file, or the partition where there is no file."""
-    return docs.select(F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.when(F.input_file_name() == "", F.spark_partition_id())).alias("chunk"), "doc_id", "text", F.coalesce(remainder("doc_id", 7) == 2, F.lit(True)).alias("held_out"))
+    """docs with the chunk that a row is in: the piece of a file, the same in every scan. Rows that come from no file are written first."""
+    docs = docs.select("doc_id", "text")
+    if docs.where(F.input_file_name() == "").limit(1).count():
+        docs = written(docs, "texts")
+    return docs.select(F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("chunk"), "doc_id", "text", F.coalesce(remainder("doc_id", 7) == 2, F.lit(True)).alias("held_out"))
 
 
 def word_totals(chunked: DataFrame) -> DataFrame:

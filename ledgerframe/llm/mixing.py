@@ -103,6 +103,21 @@ def mix(docs: DataFrame, *, weights: tuple = WEIGHTS, starts: tuple = STARTS, mo
     return out.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def with_texts(mixed: DataFrame, docs: DataFrame) -> DataFrame:
+    """mix()'s rows with lang and text (and whatever else docs has beside mix()'s own columns), in the same order.
+
+    Rows of docs alike in doc_id, source and size are dealt to the mix's rows by their number, so none is doubled.
+    """
+    others = [c for c in docs.columns if c not in mixed.columns]
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    numbered = lambda df, *ties: df.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(*ties)))
+    left = numbered(mixed, F.col("first_position").asc_nulls_last()).alias("m")
+    right = numbered(docs.select("doc_id", "source", size.alias("size"), *(F.col(f"`{c}`") for c in others)), F.xxhash64(*(F.col(f"`{c}`") for c in others))).alias("d")
+    met = left.join(right, F.expr("m.doc_id <=> d.doc_id AND m.source <=> d.source AND m.size = d.size AND m._k = d._k"))
+    out = met.select(*(F.col(f"m.`{c}`") for c in mixed.columns), *(F.col(f"d.`{c}`") for c in others))
+    return out.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
 def schedule(mixed: DataFrame) -> DataFrame:
     """Of mix()'s rows, a row per pass: doc_id, source, pass (from 0), words (of that pass) and position, range-sorted by
     the last. This is the order of training; a document's words add up to its taken."""

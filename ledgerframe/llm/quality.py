@@ -5,8 +5,9 @@ marks at either end, length, whether the word is one of the last few again), has
 its log-count ratio between the classes and a linear hinge-loss model is fitted to the scaled, length-
 normalised indicators by dual coordinate descent; a logistic curve over the margin gives the score.
 
-The fit takes a bounded sample of labelled rows, MOST_ROWS, the first by a hash of doc_id; it needs
-both classes, or else every score is the share of label 1 (1 without labels). A null text is the empty
+The fit takes a bounded sample of labelled rows, whole texts: at most MOST_ROWS, the first by a hash of doc_id, and of
+these, in that order, each that still fits into MOST_CHARACTERS, so that one very long text is passed over and not all
+after it. It needs both classes, or else every score is the share of label 1 (1 without labels). A null text is the empty
 text: it has no features, so its score is the curve's value at the bias. Rows are scored one by one:
 repeated rows score alike, extra columns are not read. A null doc_id is never learnt from.
 """
@@ -27,8 +28,8 @@ from ledgerframe.llm.common import remainder, tune
 
 #: Labelled rows that the model is fitted to, at most.
 MOST_ROWS = 8000
-#: Words of the sampled texts that the driver holds at most, whole texts by hash order.
-MOST_WORDS = 8_000_000
+#: Characters of the sampled texts that the driver holds at most.
+MOST_CHARACTERS = 32_000_000
 DIMENSIONS = 1 << 20
 THRESHOLD = 0.3
 SMOOTHING = 1.0
@@ -201,17 +202,29 @@ def fit_texts(texts: list[str | None] | pa.ChunkedArray, labels: list[int]) -> M
     return Model(ratios, w.astype(np.float32), bias, *_curve(margin, y[held]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS) -> Model:
+def fitting(sizes: list[int], most: int) -> list[bool]:
+    """Which of texts in order are taken, if each is that still fits."""
+    out, held = [], 0
+    for n in sizes:
+        out.append(held + n <= most)
+        held += n if out[-1] else 0
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, most_characters: int = MOST_CHARACTERS) -> Model:
     """The model of documents (doc_id, text) and labels (doc_id, quality), from rows whose crc32(doc_id) mod 5 is not 0.
 
     A doc_id with several labels has the least; one with several texts the least by hash.
     """
+    spark = docs.sparkSession
     drawn = labels.where(F.col("quality").isin(0, 1) & (remainder("doc_id", 5) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = drawn.withColumn("_at", F.xxhash64("doc_id")).orderBy("_at", "doc_id").limit(most_rows)  # bounded: broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").alias("quality"), F.first("_at").alias("_at"))
-    words = F.length("text") / F.lit(4)
-    # whole texts, first by hash, up to the driver's bound
-    texts = texts.withColumn("_sum", F.sum(F.coalesce(words, F.lit(0.0))).over(_running())).where(F.col("_sum") <= most_words)
+    tied = F.struct(F.xxhash64("text").alias("tie"), F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    met = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    sizes = met.groupBy("doc_id").agg(F.min(tied).alias("t"), F.first("_at").alias("_at")).orderBy("_at", "doc_id").select("doc_id", "t.tie", "t.size").toArrow()  # most_rows rows of three numbers
+    taken = fitting(sizes["size"].to_pylist(), most_characters)
+    chosen = spark.createDataFrame(sizes.select(["doc_id", "tie"]).filter(pa.array(taken, pa.bool_())))
+    texts = met.join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("tie")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("_at").alias("_at"))
     sample = texts.orderBy("_at", "doc_id").select("text", "quality").toArrow()
     model = fit_texts(sample["text"], sample["quality"].to_pylist())
     del sample
@@ -219,12 +232,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, most_
     return model
 
 
-def _running():
-    from pyspark.sql import Window
-
-    return Window.orderBy("_at", "doc_id")
-
-
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Per row of docs: the columns `keep` and score."""
     spark = docs.sparkSession

@@ -51,6 +51,31 @@ def test_quality_odd_rows_and_no_labels(spark, odd):
     assert quality.judged(odd.limit(0), one).count() == 0
 
 
+def test_long_texts_are_passed_over_not_all_after_them(spark):
+    assert quality.fitting([3, 9, 4, 4, 2], 10) == [True, False, True, False, True]
+    docs = [(i, "good words all the way here" if i % 2 else "junk! junk! junk!") for i in range(60)] + [(100 + i, "x" * 5000) for i in range(5)]
+    labels = [(i, i % 2) for i in range(60)] + [(100 + i, 0) for i in range(5)]
+    model = quality.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), most_characters=2000)
+    assert all((s >= 0.5) == bool(i % 2) for i, s in enumerate(model.scores([t for _, t in docs[:60]])))
+
+
+def test_margins_match_a_plain_sum():
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(["Aa", "bb!", "CC", "d1", "e"], int(rng.integers(0, 30)))) for _ in range(80)]
+    model = quality.fit_texts(texts, [int(t.count("CC") > t.count("e")) for t in texts])
+    for t, got in zip(texts, model.scores(texts), strict=True):
+        found = set(quality.features([t])[0].tolist())
+        norm = np.sqrt(sum(float(model.ratios[f]) ** 2 for f in found)) or 1e-6
+        margin = sum(float(model.ratios[f]) * float(model.weights[f]) for f in found) / max(norm, 1e-6) + model.bias
+        assert got == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.offset))), abs=1e-5)
+
+
+def test_quality_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.judged(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
+    assert len(got) > 50 and np.mean([r.predicted == r.quality for r in got]) > 0.95
+
+
 def test_dual_descent_reaches_the_margin():
     found = [np.array([0]), np.array([1])] * 5
     w, bias = quality.descend(found, [np.ones(1)] * 10, np.array([1.0, -1.0] * 5), 2, cost=10.0, epochs=200)
@@ -72,6 +97,11 @@ def test_fingerprints_match_brute_force(corpus):
     want = expected_digests([tuple(r) for r in corpus.select("doc_id", "text").collect()])
     got = fingerprints.digests(corpus).collect()
     assert {r.doc_id: (r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got} == want
+    forms = {}
+    for r in corpus.select("doc_id", "text").collect():
+        forms.setdefault(fingerprints.canonical(r.text), []).append(r.doc_id)
+    assert any(len(v) > 1 for v in forms.values())
+    assert {r.doc_id: (r.class_id, r.class_size) for r in got} == {d: (min(v), len(v)) for v in forms.values() for d in v}
 
 
 def test_fingerprints_fold_case_space_and_form(odd):
@@ -149,17 +179,17 @@ def random_host(rng, n):
 def test_repeats_match_brute_force(seed):
     found = random_host(np.random.default_rng(seed), 20)
     need = max(pages.PAGES, int(np.ceil(pages.SHARE * len({" ".join(p) for p in found}))))
-    assert pages.Host(found).repeated([[0] * len(p) for p in found]) == brute_repeats(found, need)
+    assert pages.host_repeats(found, [[0] * len(p) for p in found]) == brute_repeats(found, need)
 
 
 def test_host_boilerplate_goes_and_unique_runs_stay():
     notice = "this very notice stands on each of the pages of our host today"
     found = [[notice, f"own words {i} " + " ".join(f"u{i}x{j}" for j in range(30)), "Short line"] for i in range(12)]
     marks = [[0] * 3] * 12
-    assert [pages.text_of(*x) for x in zip(found, marks, pages.Host(found).repeated(marks), strict=True)] == [p[1] for p in found]
+    assert [pages.text_of(*x) for x in zip(found, marks, pages.host_repeats(found, marks), strict=True)] == [p[1] for p in found]
     # copies are one page, and a main part of which most would go stays whole
     copies, marks = [["the same article here on many a page of the very same host"]] * 12, [[pages.MAIN]] * 12
-    assert [pages.text_of(*x) for x in zip(copies, marks, pages.Host(copies).repeated(marks), strict=True)] == [c[0] for c in copies]
+    assert [pages.text_of(*x) for x in zip(copies, marks, pages.host_repeats(copies, marks), strict=True)] == [c[0] for c in copies]
 
 
 def bare(blocks):
@@ -266,9 +296,40 @@ def test_jaccard_matches_brute_force(spark, leaf):
             assert got[d].class_id == docs[root[k]][0]
 
 
+def test_runs_reach_the_target():
+    assert jaccard.runs_for(0.9) == 1 and jaccard.runs_for(0.999) == 3 and jaccard.runs_for(0.999, branches=3) == 2
+
+
+def test_jaccard_recall_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = {d: shingles(t) for d, t in texts}
+    has = {}
+    for d, s in sets.items():
+        for x in s:
+            has.setdefault(x, []).append(d)
+    # whatever links shares a shingle, so pairs of the rarer half of the shingles that a set must share are all
+    want = Counter()
+    for d, s in sets.items():
+        near = Counter(o for x in s for o in (has[x] if len(has[x]) < 400 else ()))
+        want[d] = sum(1 for o, _ in near.items() if o != d and len(s & sets[o]) * 5 >= 4 * len(s | sets[o]))
+    for leaf in (256, 16):
+        got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(docs, leaf=leaf).collect()}
+        assert sum(want.values()) > 100 and all(got[d] <= want[d] for d in got)
+        assert sum(got.values()) >= 0.995 * sum(want.values())
+
+
+def test_pairs_count_in_their_first_leaf():
+    import pyarrow as pa
+
+    rows = pa.table({"leaves": pa.array([[1, 5, 9], [5, 9], [1, 9], [9]], pa.list_(pa.int64()))})
+    assert np.argwhere(np.triu(jaccard._met_before(rows, 9), 1)).tolist() == [[0, 1], [0, 2]]
+    assert not np.triu(jaccard._met_before(rows, 1), 1).any()
+
+
 def test_shared_matrix_matches_sets():
     rng = np.random.default_rng(5)
-    sets = [np.unique(rng.integers(0, 300, 100)).astype(np.uint32) for _ in range(20)]
+    sets = [np.unique(rng.integers(0, 300, 100)).astype(np.uint64) for _ in range(20)]
     got = jaccard._shared(sets, columns=37)
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(20) for j in range(i))
 
@@ -295,6 +356,14 @@ def test_languages(spark, odd):
     assert {r.lang_pred for r in languages.identify(odd, languages.fit_texts({})).collect()} == {"und"}
 
 
+def test_languages_of_held_out_documents(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = languages.identify(docs, languages.fit(docs)).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL").collect()
+    assert len(got) > 100 and np.mean([r.lang_pred == r.lang for r in got]) > 0.98
+    assert languages.identify(odd.limit(0), languages.fit(odd)).count() == 0
+    assert {r.lang_pred for r in languages.identify(odd, languages.fit(odd.limit(0))).collect()} == {"und"}
+
+
 def test_phrases_match_a_greedy_parse():
     rng = np.random.default_rng(4)
     sample, text = rng.integers(0, 3, 60).tolist(), rng.integers(0, 4, 90).tolist()
@@ -406,7 +475,7 @@ def test_lm_odd_rows(odd):
 def test_lm_scores_by_every_context(spark):
     rng = np.random.default_rng(3)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
-    docs = spark.createDataFrame([(i, " ".join("".join(rng.choice(letters, 5)) for _ in range(400))) for i in range(60)], "doc_id long, text string").repartition(3, "doc_id").localCheckpoint()
+    docs = spark.createDataFrame([(i, " ".join("".join(rng.choice(letters, 5)) for _ in range(400))) for i in range(60)], "doc_id long, text string").repartition(3, "doc_id")
     training = docs.where(lm.remainder("doc_id", 7) != 2)
     contexts = lm.count_runs(training).select(F.shiftright("run", 8)).distinct().count()
     assert contexts > 40_000
@@ -447,6 +516,56 @@ def test_links_make_a_host_suspect(spark):
     assert got[2].distrust > 0 and got[4].distrust == 0 and got[4].verdict == "allow"
 
 
+def test_verdicts_by_links_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    hosts = [f"h{i}.org" for i in range(24)] + [f"bad{i}.net" for i in range(4)] + [f"good{i}.com" for i in range(4)]
+    rows = []
+    for h in hosts:
+        for _ in range(int(rng.integers(1, 4))):
+            path = "/es/x" if h.endswith(".net") else "/x"
+            links = "".join(f'<a href="https://{t}/{i}">l</a>' for i, t in enumerate(rng.choice(hosts, int(rng.integers(0, 4)))))
+            rows.append((len(rows), f"http://{h}{path}", links))
+    hosts.append("spam.org")
+    rows += [(len(rows) + i, "http://bad0.net/es/x", None) for i in range(12)]
+    rows += [(len(rows), "http://spam.org/x", '<a href="https://bad0.net/q">l</a>' * 40)]
+    table = spark.createDataFrame([*rows, *((len(rows) + i, f"http://{h}/more", None) for i, h in enumerate(hosts[:28]))], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judged(table).collect()}
+    edges = Counter()
+    for r in table.collect():
+        for t in re.findall(r'href="https://([^/]+)', r.html or ""):
+            if t != r.url.split("/")[2]:
+                edges[r.url.split("/")[2], t] += 1
+
+    def ranks(edges, seeds):
+        out = Counter()
+        for (a, _), w in edges.items():
+            out[a] += w
+        rank = dict(seeds)
+        for _ in range(300):
+            rank = {h: seeds.get(h, 0.0) + 0.85 * sum(rank.get(a, 0.0) * w / out[a] for (a, b), w in edges.items() if b == h) for h in hosts}
+        return rank
+
+    pages_of = Counter(r.url.split("/")[2] for r in table.collect())
+    trust = ranks(edges, {h: float(n) for h, n in pages_of.items() if h.endswith(".com")})
+    distrust = ranks({(b, a): w for (a, b), w in edges.items()}, {h: float(sum(r[1].split("/")[2] == h for r in rows)) for h in hosts if h.endswith(".net")})
+    undecided = Counter(r.url.split("/")[2] for r in table.collect() if not r.url.split("/")[2].endswith(".com") and "/es/" not in r.url)
+    blocked = 0
+    for r in got.values():
+        h = r.host
+        share = distrust[h] / max(1e-9, trust[h] + distrust[h] + undecided[h])
+        if r.rule is None and abs(share - urls.THRESHOLD) > 0.01:
+            assert r.verdict == ("block" if share >= urls.THRESHOLD else "allow"), h
+            blocked += r.verdict == "block" and not h.endswith(".net")
+        assert abs(r.trust - trust[h]) < 0.02 * max(1, trust[h]) and abs(r.distrust - distrust[h]) < 0.02 * max(1, distrust[h])
+    assert blocked
+
+
+def test_urls_odd_rows(spark):
+    long = "".join(f'<a href="http://l{i % 7}.org/">x</a>' for i in range(20_000))
+    table = spark.createDataFrame([(1, "http://a.org/x", long, "com"), (1, "http://a.org/x", long, "com"), (None, None, None, None)], "page_id long, url string, html string, host string")
+    assert [(r.page_id, r.host, r.verdict) for r in urls.judged(table).orderBy("page_id").collect()] == [(None, "", "allow"), (1, "a.org", "allow"), (1, "a.org", "allow")]
+
+
 def test_decontamination_tolerates_substitutions(spark, odd):
     item = [f"tok{i}" for i in range(30)]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "four short word item"), (3, "a"), (4, None), (5, "")], "item_id long, text string")
@@ -464,6 +583,40 @@ def test_decontamination_tolerates_substitutions(spark, odd):
     assert decontaminate.leaks(table.limit(0), bench).count() == 0
 
 
+def brute_leaks(docs, items):
+    out = set()
+    for d, text in docs:
+        ours = re.findall(r"[^\W_]+", (text or "").lower())
+        for k, item in items:
+            theirs = re.findall(r"[^\W_]+", (item or "").lower())
+            width = min(decontaminate.WINDOW, len(theirs))
+            if width < decontaminate.LEAST:
+                continue
+            for shift in range(width - len(theirs), len(ours) - width + 1):
+                same = [i + shift >= 0 and i + shift < len(ours) and theirs[i] == ours[i + shift] for i in range(len(theirs))]
+                inside = [0 <= i + shift < len(ours) for i in range(len(theirs))]
+                if any(all(inside[i : i + width]) and sum(same[i : i + width]) >= decontaminate.AGREE * width for i in range(len(theirs) - width + 1)):
+                    out.add((d, k))
+                    break
+    return out
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    items = [(k, " ".join(f"t{x}" for x in rng.integers(0, 60, int(n)))) for k, n in enumerate([3, 4, 5, 6, 8, 10, 12, 13, 14, 20, 40, 40])] + [(50, None), (51, "")]
+    docs = []
+    for d in range(150):
+        k = int(rng.integers(0, 12))
+        words = items[k][1].split()
+        i, j = sorted(rng.integers(0, len(words) + 1, 2)) if d % 3 else (0, len(words))
+        piece = [w if rng.random() > (0.0, 0.1, 0.2, 0.3)[d % 4] else "edit" for w in words[i:j]]
+        docs.append((d, " ".join([*(f"f{x}" for x in rng.integers(0, 99, int(rng.integers(0, 30)))), *piece, *(f"f{x}" for x in rng.integers(0, 99, int(rng.integers(0, 30))))])))
+    docs += [(200, items[10][1]), (200, items[10][1]), (None, items[9][1] + " " + items[9][1]), (201, "f " * 60_000 + items[11][1])]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute_leaks([d for d in docs if d[0] != 201], items) | {(201, 11)}
+    assert len(got) == len({(r.doc_id, r.item_id) for r in got})
+
+
 def test_decontamination_masks_hit_whatever_verifies():
     assert set(decontaminate.SHORT_MASKS) == set(range(decontaminate.LEAST, decontaminate.WINDOW))
     for n in range(decontaminate.LEAST, decontaminate.WINDOW + 1):
@@ -535,10 +688,41 @@ def test_mixing_places_every_pass(spark):
             assert sum(r.words for r in mine if r.position <= t) / wanted == pytest.approx(start * t + (1 - start) * t * t, abs=0.02)
 
 
+def test_mixing_keeps_texts_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(i % 40, "w " * (i % 7), f"s{i % 3}", "x", i) for i in range(90)] + [(None, None, None, "y", 1)] * 2, "doc_id long, text string, source string, target string, extra int")
+    plain, got = mixing.mix(docs), mixing.with_texts(mixing.mix(docs), docs)
+    assert got.columns == [*plain.columns, "text", "extra"] and rows(got, *plain.columns) == rows(plain, *plain.columns)
+    assert rows(got, "doc_id", "source", "text", "extra") == rows(docs, "doc_id", "source", "text", "extra")
+    assert all(isinstance(r.target, float) for r in got.collect())
+
+
 def test_pipeline_keeps_its_stages_promises(spark):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    got = out.collect()
-    assert 0 < len(got) < spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
-    assert len({r.doc_id for r in got}) == len(got)
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert 0 < len(got) < len(docs) and len({r.doc_id for r in got}) == len(got)
+    keywords = secrets.automaton()
+    assert all(r.size == len(re.findall(mixing.WORD, r.text or "")) and not secrets.spans_of(r.text, keywords) for r in got)
+    sets = [s for r in got if (s := shingles(r.text))]
+    assert not any(len(a & b) * 5 >= 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    form = lambda t: " " + " ".join(x for x in re.split(r"[\W_]+", (t or "").lower()) if x) + " "
+    assert not any(form(item) in form(r.text) for r in got for _, item in bench)
+    wanted = {r.source: round(r.target) for r in got}
+    assert all(sum(r.taken for r in got if r.source == s) == n for s, n in wanted.items())
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    wide = odd.withColumn("taken", F.lit("clash"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (6, 1)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "no such passage in any of these texts"), (2, None)], "item_id long, text string")
+    for name, docs in (("odd", wide), ("empty", wide.limit(0))):
+        for table, df in (("documents", docs), ("labels", labels if name == "odd" else labels.limit(0)), ("benchmark", bench)):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert Counter(r.text for r in got)["plain words here and there again"] <= 1 and all(isinstance(r.taken, int) for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
