@@ -1,6 +1,10 @@
 """A corpus from raw documents: each stage filters or edits what the one before it kept.
 
-run() gives the mix: a row per document of it, with the words taken and its place in training.
+run() gives the mix: a row per document of it, with its text, the words taken and its places in training.
+
+Null and empty texts go where the classifier puts them, are never near duplicates, leak nothing and take no words. Rows
+with a null doc_id pass like others. Repeated rows are near duplicates, so one stays (all, if they have no words). Very long
+texts are read whole. Extra columns pass through, but where mix() has a column of that name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources, in training order."""
-    return mixing.mix(docs)
+    """The mix of sources, in training order, with the texts."""
+    return mixing.with_texts(mixing.mix(docs), docs)
 
 
 STAGES = [("quality classifier", good), ("n-gram Jaccard join", single), ("benchmark decontamination", untested), ("secret scans", masked), ("mixing sources to target weights", mixed)]
