@@ -1,42 +1,53 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is of bytes: a text is its words (lower-case A-Z, split at ASCII white space) with one space
-between, then the end. Counts of all runs of ORDER bytes over all training texts are summed in Spark; every
-context of 0 to ORDER - 1 bytes is a state. A state has an arc for each byte seen after it, with the
-Witten-Bell probability, and a failure arc to its longest proper suffix, with the backoff weight. The sum
-of log10 probabilities is of one traversal from left to right; they sum to 1 over all bytes and the end
-in each state.
-
-The states are a table that grows with the corpus. Since a state is the ORDER - 1 bytes before a byte or
-their longest suffix that is a context, a step is a run of ORDER bytes, and its probability comes by joins
-of runs with those shorter by a byte. A chunk, what one task reads, sends its distinct runs to meet the
-table; their probabilities go back to the chunk. So do the exact counts of its distinct words, which the
-base score needs.
-
-`fit` gives the same model, of the most frequent contexts only, as one automaton in memory. Its long texts
+A text is its words (lower-case A-Z, split at ASCII white space) with one space between, then the end. States are
+contexts, in two ranks. A byte state is 0 to ORDER - 1 bytes; it has an arc for each byte seen after it, with the
+Witten-Bell probability, and a failure arc to its longest proper suffix, with the backoff weight. A word state is
+WORDS words that the training texts have, with a word after them (with the space or end that follows it) that comes
+CUTOFF times or more; it has an arc for each such word, with the Witten-Bell probability of their counts, and a failure
+arc, with the weight that is left, to the byte state, from which the word is read byte by byte. A word that comes after no
+word state is read so too. Probabilities of what may follow sum to 1 in each state; a text's score is the sum of log10
+probabilities along one traversal from left to right.
+
+Counts are of all training texts, and every context counts: nothing is capped, broadcast or brought to the driver. A unit
+is a run of rows of one piece of a file, of about UNIT bytes. It sends its distinct words, byte runs and word runs, as
+sorted 64-bit numbers and counts, to buckets by number; a bucket sums what all units send, and sends each unit the sums
+of what it sent, in the same order. Then the unit's texts are scored. A word is known by 64 bits of a hash, and so is a
+context; a word after a context by 32 bits.
+
+`fit` gives the byte states, the most frequent contexts only, as one automaton in memory. Its long texts
 are cut into segments that start in the state that the bytes before them lead to, so many are traversed in
 step with the same sums.
 
 A null text is the empty text: one token, the end. A null doc_id is held out. Repeated rows count and
-score each; extra columns are not read. Without training rows N and V are 0.
+score each; extra columns are not read. Without training rows N and V are 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import remainder, tune, written
+from ledgerframe.llm import kernels
+from ledgerframe.llm.common import groups, remainder, tune, written
 
 ORDER = 5
 END = 0xFF  # no byte of UTF-8
 SEGMENT = 256
+#: Words of a word state, and how often a word after it must come.
+WORDS = 3
+CUTOFF = 2
+#: Bytes of text of a unit, about; a longer text is a unit alone.
+UNIT = 8_000_000
+#: Bytes of a bucket's share of all texts, about, and the fewest and most buckets.
+BUCKET_BYTES, FEWEST, MOST = 16_000_000, 32, 65_536
 #: Distinct runs or words that a task holds before it passes them on.
 HELD = 1_500_000
 #: Words whose bytes are worked on together; a longer text is worked on alone.
@@ -213,79 +224,218 @@ def _chunked(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     if docs.where(F.input_file_name() == "").limit(1).count():
         docs = written(docs, "texts")
-    return docs.select(F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("chunk"), "doc_id", "text", F.coalesce(remainder("doc_id", 7) == 2, F.lit(True)).alias("held_out"))
+    return docs.select(F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("chunk"), F.coalesce(remainder("doc_id", 7) == 2, F.lit(True)).alias("held_out"), "text", "doc_id")
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[pa.RecordBatch]]]:
+    """Of batches with the chunk first and the text third: chunk, number of the unit in it, and the unit's rows. Both scans cut alike, since a piece of a file is read in one order."""
+    held: list[pa.RecordBatch] = []
+    chunk, number, size = None, 0, 0
+    for b in batches:
+        own = b.column(0).to_numpy()
+        lengths = pc.fill_null(pc.binary_length(b.column(2)), 0).to_pylist()
+        start = 0
+        for i in range(b.num_rows):
+            if own[i] != chunk or size >= UNIT:
+                if i > start:
+                    held.append(b.slice(start, i - start))
+                if held:
+                    yield chunk, number, held
+                number = number + 1 if own[i] == chunk else 0
+                held, chunk, size, start = [], own[i], 0, i
+            size += lengths[i] + 1
+        if b.num_rows > start:
+            held.append(b.slice(start))
+    if held:
+        yield chunk, number, held
+
+
+def unit_number(chunk: int, number: int) -> int:
+    return int(kernels.mixed(np.array([chunk], np.int64).view(np.uint64) + np.uint64(number) * kernels.ODD).view(np.int64)[0])
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, compressed byte by byte: first all the lowest bytes, then the next."""
+    planes = b"".join(x.astype(x.dtype.newbyteorder("<")).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes() for x in arrays)
+    return len(arrays[0]).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpack(blob: bytes, *types: type) -> list[np.ndarray]:
+    n, at = int.from_bytes(blob[:4], "little"), 0
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), np.uint8)
+    out = []
+    for t in types:
+        wide = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(flat[at : at + n * wide].reshape(wide, n).T).view(t).reshape(n))
+        at += n * wide
+    return out
+
+
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=keys[:1] * np.uint64(0))
+
+
+def word_grams(words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the word hashes of texts: the place of each word that has WORDS before it in its text, the hash of these, and 32 bits of its own, other ones if it is the last."""
+    n = len(words) - WORDS
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    context = words[:n].copy()
+    for j in range(1, WORDS):
+        context = kernels.mixed(context) * kernels.ODD + words[j : n + j]
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    at = np.flatnonzero(owner[WORDS:] == owner[:-WORDS]) + WORDS
+    own = words.copy()
+    own[begins[1:][np.diff(begins) > 0] - 1] ^= np.uint64(0x9E3779B97F4A7C15)
+    return at, kernels.mixed(context[at - WORDS]), (kernels.mixed(own[at]) >> np.uint64(32)).astype(np.uint32)
+
+
+def _pairs(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, their summed counts, and by row its pair."""
+    order = np.argsort(context, kind="stable")
+    c, w = context[order], word[order]
+    same = np.concatenate((c[1:] == c[:-1], [False]))
+    many = np.flatnonzero(same | np.concatenate(([False], same[:-1])))
+    if len(many):  # rows of contexts that come more than once are put in order of the word too
+        again = many[np.lexsort((w[many], c[many]))]
+        order[many] = order[again]
+        c, w = context[order], word[order]
+    first = np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])))[: len(c)]
+    at = np.cumsum(first) - 1
+    back = np.empty(len(c), np.int64)
+    back[order] = at
+    return c[first], w[first], np.bincount(at, n[order], int(first.sum())).astype(np.int64), back
+
+
+@dataclass
+class Unit:
+    """What a unit's texts are made of. docs: their words; train: which of them are learnt from.
+
+    words, runs and contexts (with after) are distinct and sorted; *_n are their counts in training texts, *_at by place the number of the distinct one.
+    """
 
+    docs: list[list[bytes]]
+    train: np.ndarray
 
-def word_totals(chunked: DataFrame) -> DataFrame:
-    """Per chunk and distinct word: chunk, word (binary), total (its count in all training texts) and first (true once for a word)."""
+    def __post_init__(self) -> None:
+        joined = [b" ".join(x) for x in self.docs]
+        parts, begins = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for i, j in kernels.chunks(joined):
+            w, at = kernels.word_hashes(joined[i:j])
+            parts.append(w)
+            begins.append(at[1:] + begins[-1][-1])
+        hashes, self.begins = np.concatenate(parts), np.concatenate(begins)
+        learnt = np.repeat(self.train, np.diff(self.begins))
+        self.words, self.words_at = np.unique(hashes, return_inverse=True)
+        self.words_n = np.bincount(self.words_at[learnt], minlength=len(self.words))
+        self.grams_place, context, after = word_grams(hashes, self.begins)
+        self.contexts, self.after, self.grams_n, self.grams_at = _pairs(context, after, learnt[self.grams_place].astype(float))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        chunk = None
+    def byte_runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct runs of ORDER bytes and their counts in training texts."""
+        held = []
+        for test in (False, True):
+            mine = [x for x, t in zip(self.docs, self.train, strict=True) if t != test]
+            for i, j in _portions(mine):
+                keys, n = runs(mine[i:j])
+                held.append((keys, n * (not test)))
+        return _merged(held)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            words, ns = list(counts), list(counts.values())
-            for i in range(0, len(words), 100_000):
-                part = words[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.binary()), pa.array(ns[i : i + 100_000], pa.int64())], ["chunk", "word", "n"])
-            counts.clear()
 
-        for b in batches:
-            for own, held_out, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if own != chunk or len(counts) > HELD:
-                    yield from out()
-                    chunk = own
-                words = words_of(text)
-                if held_out:
-                    for w in words:
-                        if w not in counts:
-                            counts[w] = 0
-                else:
-                    counts.update(words)
-        yield from out()
-
-    rows = chunked.select("chunk", "held_out", "text").mapInArrow(task, "chunk long, word binary, n long")
-    by_word = Window.partitionBy("word")
-    rows = rows.withColumn("total", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("chunk")) == 1)
-    return rows.select("chunk", "word", "total", "first")
-
-
-def chunk_runs(chunked: DataFrame) -> DataFrame:
-    """Per chunk and distinct run of its texts: chunk, run, n (its count in the chunk's training texts)."""
+def _bucket_cuts(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where the keys of each of 2 ** bits buckets, by their first bits, begin."""
+    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+
+def _docs_of(rows: list[pa.RecordBatch]) -> tuple[list[list[bytes]], np.ndarray]:
+    texts = [t for b in rows for t in b.column(2).to_pylist()]
+    return [words_of(t) for t in texts], ~np.array([h for b in rows for h in b.column(1).to_pylist()], bool)
+
+
+SENT = "kind int, bucket int, unit long, body binary"
+
+
+def sent(chunked: DataFrame, bits: int) -> DataFrame:
+    """What units send: kind (0: words, 1: word runs), bucket, unit and body, the bucket's part of the unit's keys and counts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        chunk = None
+        for chunk, number, rows in _units(batches):
+            unit = Unit(*_docs_of(rows))
+            out: list[tuple[int, int, bytes]] = []
+            for kind, keys in ((0, unit.words), (1, unit.contexts)):
+                cuts = _bucket_cuts(keys, bits)
+                for k in np.flatnonzero(np.diff(cuts)):
+                    i, j = cuts[k], cuts[k + 1]
+                    if kind == 0:
+                        body = pack(_gaps(keys[i:j]), unit.words_n[i:j].astype(np.uint32))
+                    else:
+                        body = pack(_gaps(keys[i:j]), unit.after[i:j], unit.grams_n[i:j].astype(np.uint32))
+                    out.append((kind, int(k), body))
+            own = unit_number(chunk, number)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([own] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["kind", "bucket", "unit", "body"])
+
+    return chunked.mapInArrow(task, SENT)
+
+
+def _summed_words(bodies: list[bytes]) -> tuple[list[bytes], int, int]:
+    """By unit the counts in all training texts of the words that it sent; how many words come in them, and how often."""
+    parts = [unpack(b, np.uint64, np.uint32) for b in bodies]
+    keys = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate([p[1] for p in parts]), len(every)).astype(np.uint64)
+    cuts = np.cumsum([0, *map(len, keys)])
+    return [pack(total[at[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], int((total > 0).sum()), int(total.sum())
+
+
+def _summed_grams(bodies: list[bytes]) -> list[bytes]:
+    """By unit, for each word run that it sent: the count of the run, if CUTOFF or more, and the context's sum and number of such runs."""
+    parts = [unpack(b, np.uint64, np.uint32, np.uint32) for b in bodies]
+    keys = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+    context, _, n, at = _pairs(np.concatenate(keys), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]).astype(float))
+    n = np.where(n >= CUTOFF, n, 0)
+    state = np.cumsum(np.concatenate(([True], context[1:] != context[:-1]))[: len(context)]) - 1
+    whole = np.bincount(state, n).astype(np.uint64)
+    kinds = np.bincount(state, n > 0).astype(np.uint32)
+    cuts = np.cumsum([0, *map(len, keys)])
+    out = []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        mine = at[i:j]
+        out.append(pack(n[mine].astype(np.uint64), whole[state[mine]], kinds[state[mine]]))
+    return out
+
+
+def answered(rows: DataFrame) -> DataFrame:
+    """Of sent() rows, what goes back to units: unit, kind, bucket and body, with distinct and total of a bucket's words, once a bucket."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, bucket), group in groups(batches, ["kind", "bucket"]):
+            bodies = group["body"].to_pylist()
+            distinct = total = 0
+            if kind == 0:
+                made, distinct, total = _summed_words(bodies)
+            else:
+                made = _summed_grams(bodies)
+            n = len(made)
+            stats = lambda v: pa.array([v] + [0] * (n - 1), pa.int64())
+            yield pa.RecordBatch.from_arrays([group["unit"].combine_chunks(), pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(made, pa.binary()), stats(distinct), stats(total)], ["unit", "kind", "bucket", "body", "distinct", "total"])
+
+    return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "unit").mapInArrow(task, "unit long, kind int, bucket int, body binary, distinct long, total long")
+
 
-        def out() -> Iterator[pa.RecordBatch]:
-            keys, n = _merged(held)
-            held.clear()
+def unit_runs(chunked: DataFrame) -> DataFrame:
+    """Per unit and distinct byte run of its texts: unit, run, n (its count in the unit's training texts)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, number, rows in _units(batches):
+            unit = Unit.__new__(Unit)
+            unit.docs, unit.train = _docs_of(rows)
+            keys, n = unit.byte_runs()
+            own = unit_number(chunk, number)
             for i in range(0, len(keys), 200_000):
                 part = keys[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, np.int64)), pa.array(part), pa.array(n[i : i + 200_000])], ["chunk", "run", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), own, np.int64)), pa.array(part), pa.array(n[i : i + 200_000])], ["unit", "run", "n"])
 
-        for b in batches:
-            own = b.column(0).to_numpy()
-            held_out, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
-            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if i == j:
-                    continue
-                if own[i] != chunk:
-                    yield from out()
-                    chunk = own[i]
-                for test in (False, True):
-                    words = [words_of(t) for t, h in zip(texts[i:j], held_out[i:j], strict=True) if h == test]
-                    for x, y in _portions(words):
-                        keys, n = runs(words[x:y])
-                        held.append((keys, np.zeros_like(n) if test else n))
-                if sum(len(k) for k, _ in held) > HELD:
-                    held[:] = [_merged(held)]
-                    if len(held[0][0]) > HELD // 2:
-                        yield from out()
-        yield from out()
-
-    return chunked.select("chunk", "held_out", "text").mapInArrow(task, "chunk long, run long, n long")
+    return chunked.mapInArrow(task, "unit long, run long, n long")
 
 
 def run_logs(rows: DataFrame) -> DataFrame:
@@ -308,75 +458,98 @@ def run_logs(rows: DataFrame) -> DataFrame:
     return known.select("run", F.log10("p").cast("float").alias("log"))
 
 
-def scored(docs: DataFrame, *, states: int | None = None) -> DataFrame:
-    """The contract's rows for documents (doc_id, text). If states is given, only the automaton of so many contexts scores."""
-    spark = docs.sparkSession
-    tune(spark)
+def _texts(chunked: DataFrame) -> DataFrame:
+    """Per unit and text: unit, doc_id, held_out and body, its words joined and compressed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for chunk, number, rows in _units(batches):
+            own = unit_number(chunk, number)
+            for b in rows:
+                bodies = [press.compress(b" ".join(words_of(t))) for t in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(bodies), pa.int64()), b.column(3), b.column(1), pa.array(bodies, pa.binary())], ["unit", "doc_id", "held_out", "body"])
+
+    return chunked.mapInArrow(task, f"unit long, doc_id {chunked.schema['doc_id'].dataType.simpleString()}, held_out boolean, body binary")
+
+
+def word_logs(unit: Unit, logs: np.ndarray, last: np.ndarray, owner: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The log10 probability of each text. logs: of all bytes and ends by the byte states; last, owner: the byte itself and its text;
+    sums: by distinct word run its count, and its context's sum and number of runs."""
+    ends = np.flatnonzero((last == 32) | (last == END))
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    steps = np.add.reduceat(logs, begins) if len(logs) else np.zeros(0)
+    of = owner[ends]
+    # a text without words has a step, its end, and no word
+    first = np.searchsorted(of, np.arange(len(unit.docs)))
+    text = np.searchsorted(unit.begins, unit.grams_place, "right") - 1
+    at = first[text] + unit.grams_place - unit.begins[text]
+    n, whole, kinds = (sums[k][unit.grams_at].astype(float) for k in range(3))
+    read = steps[at]
+    made = np.log10(n + kinds * 10.0 ** np.maximum(read, -300)) - np.log10(np.maximum(whole + kinds, 1))
+    # beyond what a float holds, the failure arc's weight is added to the sum of logs
+    made = np.where((n == 0) & (kinds > 0), np.log10(np.maximum(kinds, 1)) + read - np.log10(np.maximum(whole + kinds, 1)), made)
+    steps[at] = np.where(whole > 0, made, read)
+    return np.bincount(of, steps, len(unit.docs))
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """The contract's rows for documents (doc_id, text)."""
+    tune(docs.sparkSession)
     chunked = _chunked(docs)
-    training = docs.where(remainder("doc_id", 7) != 2)
-    model = None if states is None else spark.sparkContext.broadcast(fit(training, states=states))  # bounded: `states` x 257 numbers, twice
-    totals = written(word_totals(chunked), "words")
-    ends = training.count()
-    known = totals.where("first AND total > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).head()
+    size = chunked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).head()
+    bits = int(np.clip(size[0] // BUCKET_BYTES, FEWEST, MOST)).bit_length() - 1
+    ends = size[1]
+    back = written(answered(sent(chunked, bits)), "sums")
+    known = back.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).head()
     n, v = known["n"] + ends, known["v"] + (ends > 0)
-    kind = docs.schema["doc_id"].dataType
-    nothing = F.lit(None).cast("float")
-    word_rows = totals.select("chunk", F.lit(0).alias("kind"), "word", "total", nothing.alias("log"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
-    doc_rows = chunked.select("chunk", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("total"), nothing.alias("log"), "doc_id", "held_out", "text")
-    rows = word_rows.unionByName(doc_rows)
-    if model is None:
-        sent = written(chunk_runs(chunked), "chunk-runs")
-        met = sent.select("chunk", "run").join(run_logs(sent), "run")
-        rows = rows.unionByName(met.select("chunk", F.lit(1).alias("kind"), F.col("run").alias("total"), "log"), allowMissingColumns=True)
-    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    runs_sent = written(unit_runs(chunked), "runs")
+    met = runs_sent.select("unit", "run").join(run_logs(runs_sent), "run")
+    texts = _texts(chunked)
+    blank = {"kind": "int", "bucket": "int", "body": "binary", "run": "long", "log": "float", "doc_id": chunked.schema["doc_id"].dataType.simpleString(), "held_out": "boolean"}
+    shaped = lambda df, kind=None: (df if kind is None else df.withColumn("kind", F.lit(kind))).select("unit", *(F.col(c) if c in df.columns or c == "kind" else F.lit(None).cast(t).alias(c) for c, t in blank.items()))
+    rows = shaped(back.select("unit", "kind", "bucket", "body")).unionByName(shaped(met, 2)).unionByName(shaped(texts, 3))
+    rows = rows.repartition("unit").sortWithinPartitions("unit", "kind", "bucket", "run")
     norm = float(np.log10(n + v + 1))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals_of: dict[bytes, int] = {}
-        sent: list[tuple[np.ndarray, np.ndarray]] = []
-        chunk = None
-
-        def score(docs: list[list[bytes]]) -> np.ndarray:
-            if model is not None:
-                return model.value.scores(docs)
-            if len(sent) > 1:
-                keys, at = np.unique(np.concatenate([k for k, _ in sent]), return_index=True)
-                sent[:] = [(keys, np.concatenate([x for _, x in sent])[at])]
-            run, owner = all_runs(docs)
-            keys, logs = sent[0]
-            at = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
-            if (keys[at] != run).any():
-                raise KeyError("a run that its chunk did not send")
-            return np.bincount(owner, logs[at], len(docs))
-
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            chunks, kinds = t["chunk"].to_numpy(), t["kind"].to_numpy()
-            # a batch is cut where the chunk or the kind changes
-            cuts = [0, *(np.flatnonzero((chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(chunks)]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if i == j:
-                    continue
-                if chunks[i] != chunk:
-                    totals_of, chunk = {}, chunks[i]
-                    sent.clear()
-                part = t.slice(i, j - i)
-                if kinds[i] == 0:
-                    totals_of.update(zip(part["word"].to_pylist(), part["total"].to_pylist(), strict=True))
-                    continue
-                if kinds[i] == 1:
-                    # an empty first part, so that what is sent is always sorted before use
-                    sent.extend([] if sent else [(np.zeros(0, np.int64), np.zeros(0, np.float32))])
-                    sent.append((part["total"].to_numpy(), part["log"].to_numpy()))
-                    continue
-                words = [words_of(x) for x in part["text"].to_pylist()]
-                counts = [np.array([*map(totals_of.__getitem__, x), ends], np.int64) for x in words]
-                tokens = np.array([len(c) for c in counts], np.int64)
-                base = np.array([np.log10(c + 1.0).sum() for c in counts]) - tokens * norm
+        for _, group in groups(batches, ["unit"]):
+            kinds = group["kind"].to_numpy()
+            cuts = np.searchsorted(kinds, [0, 1, 2, 3, 4])
+            part = [group.slice(i, j - i) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            unpress = zstandard.ZstdDecompressor()
+            texts = [unpress.decompress(x).split() for x in part[3]["body"].to_pylist()]
+            held_out = part[3]["held_out"].to_numpy(zero_copy_only=False).astype(bool)
+            unit = Unit(texts, ~held_out)
+            totals = np.concatenate([np.zeros(0, np.uint64), *(unpack(x, np.uint64)[0] for x in part[0]["body"].to_pylist())])
+            found = [unpack(x, np.uint64, np.uint64, np.uint32) for x in part[1]["body"].to_pylist()]
+            sums = np.stack([np.concatenate([np.zeros(0, np.uint64), *(x[k].astype(np.uint64) for x in found)]) for k in range(3)])
+            if len(totals) != len(unit.words) or sums.shape[1] != len(unit.contexts):
+                raise ValueError("a unit's texts are not those that it sent")
+            counts = np.append(totals[unit.words_at].astype(float), 0.0)
+            add = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[unit.begins]) if len(x) else np.zeros(len(texts))
+            tokens = np.diff(unit.begins) + 1
+            base = add(np.log10(counts[:-1] + 1.0)) + np.log10(ends + 1.0) - tokens * norm
+            known = add((counts[:-1] > 0).astype(float)).astype(np.int64) + (ends > 0)
+            keys, logs = part[2]["run"].to_numpy(), part[2]["log"].to_numpy()
+            said = np.zeros(len(texts))
+            spans = _portions(texts)
+            lasts, owners, read = [], [], []
+            for i, j in spans:
+                run, owner = all_runs(texts[i:j])
+                at = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
+                if (keys[at] != run).any():
+                    raise KeyError("a run that its unit did not send")
+                read.append(logs[at])
+                lasts.append((run & 255).astype(np.uint8))
+                owners.append(owner + i)
+            said = word_logs(unit, np.concatenate([np.zeros(0), *read]), np.concatenate([np.zeros(0, np.uint8), *lasts]), np.concatenate([np.zeros(0, np.int64), *owners]), sums)
+            for i in range(0, len(texts), 5000):
+                p = part[3].slice(i, 5000)
+                k = len(p)
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].combine_chunks(), part["held_out"].combine_chunks(), pa.array(tokens), pa.array([int((c > 0).sum()) for c in counts], pa.int64()), pa.array(np.full(len(words), n, np.int64)), pa.array(base), pa.array(np.concatenate([score(words[x:y]) for x, y in _portions(words)]))],
+                    [p["doc_id"].combine_chunks(), p["held_out"].combine_chunks(), pa.array(tokens[i : i + k]), pa.array(known[i : i + k]), pa.array(np.full(k, n, np.int64)), pa.array(base[i : i + k]), pa.array(said[i : i + k])],
                     names,
                 )
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    return rows.mapInArrow(task, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(task, f"doc_id {chunked.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

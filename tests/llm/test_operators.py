@@ -466,24 +466,74 @@ def test_lm_automaton_matches_a_plain_model(spark):
         assert abs(model.scores([lm.words_of(text)])[0] - want) < 1e-4 * max(1, -want), text
 
 
+def plain_scores(training, texts):
+    """The model of byte and word states, word by word."""
+    kept = {c for w in training for s in [b"    " + b" ".join(w) + b"\xff"] for i in range(4, len(s)) for k in range(1, 5) for c in [s[i - k : i]]}
+    p = plain_lm(training, kept)
+    after = {}
+    for w in training:
+        for i in range(lm.WORDS, len(w)):
+            after.setdefault(tuple(w[i - lm.WORDS : i]), Counter())[w[i], i == len(w) - 1] += 1
+    after = {c: {k: n for k, n in x.items() if n >= lm.CUTOFF} for c, x in after.items()}
+    out = []
+    for w in texts:
+        s = b"    " + b" ".join(w) + b"\xff"
+        total, i = 0.0, 4
+        for k in range(max(1, len(w))):
+            last = k >= len(w) - 1
+            size = len(w[k]) + 1 if w else 1
+            read = sum(np.log10(p(s[j - 4 : j], s[j : j + 1])) for j in range(i, i + size))
+            i += size
+            state = after.get(tuple(w[k - lm.WORDS : k]), {}) if k >= lm.WORDS else {}
+            if state:
+                n, kinds = sum(state.values()), len(state)
+                read = np.log10(state.get((w[k], last), 0) + kinds * 10**read) - np.log10(n + kinds)
+            total += read
+        out.append(total)
+    return out
+
+
 def test_lm_odd_rows(odd):
-    got = lm.scored(odd, states=50).collect()
+    got = lm.scored(odd).collect()
     assert len(got) == len(ODD) and all(np.isfinite(r.score) and r.n_tokens >= 1 for r in got)
+    assert len({(r.score, r.base_score) for r in got if r.doc_id == 6}) == 1
     assert lm.scored(odd.limit(0)).count() == 0
 
 
-def test_lm_scores_by_every_context(spark):
+@pytest.mark.parametrize("unit", [8_000_000, 3_000])
+def test_lm_scores_by_every_context(spark, monkeypatch, unit):
+    monkeypatch.setattr(lm, "UNIT", unit)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", unit // 100)
     rng = np.random.default_rng(3)
-    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
-    docs = spark.createDataFrame([(i, " ".join("".join(rng.choice(letters, 5)) for _ in range(400))) for i in range(60)], "doc_id long, text string").repartition(3, "doc_id")
-    training = docs.where(lm.remainder("doc_id", 7) != 2)
-    contexts = lm.count_runs(training).select(F.shiftright("run", 8)).distinct().count()
-    assert contexts > 40_000
-    model = lm.fit(training, states=10**6)
-    text = {r.doc_id: lm.words_of(r.text) for r in docs.collect()}
-    for r in lm.scored(docs).collect():
-        want = model.scores([text[r.doc_id]])[0]
-        assert abs(r.score - want) < 1e-4 * -want, r.doc_id
+    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 6)))) for _ in range(30)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 60)))) for _ in range(60)]
+    texts += [texts[3], texts[3] + " end", texts[5][:40], "A  b\n" + texts[7].upper(), "new " * 50, "", None, "x" * 900]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3, "doc_id")
+    training = [lm.words_of(t) for i, t in enumerate(texts) if not held(i, 7, 2)]
+    want = plain_scores(training, [lm.words_of(t) for t in texts])
+    got = {r.doc_id: r for r in lm.scored(docs).collect()}
+    counts = Counter(w for x in training for w in x)
+    for i, t in enumerate(texts):
+        assert abs(got[i].score - want[i]) < 1e-4 * max(1, -want[i]), i
+        mine = lm.words_of(t)
+        assert (got[i].n_tokens, got[i].n_known) == (len(mine) + 1, sum(counts[w] > 0 for w in mine) + 1)
+
+
+def test_lm_tells_texts_that_occur_twice(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: (lm.words_of(r.text), r.text) for r in docs.collect()}
+    copies = Counter(t for d, (_, t) in rows.items() if not held(d, 7, 2))
+    per = {r.doc_id: r.score / r.n_tokens for r in lm.scored(docs).collect() if not r.held_out and r.n_tokens > 20}
+    once, twice = ([v for d, v in per.items() if (copies[rows[d][1]] > 1) == many] for many in (False, True))
+    assert len(twice) > 20 and np.mean(np.array(twice) > np.quantile(once, 0.9)) > 0.9
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(2)
+    keys, n = np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)), rng.integers(0, 1 << 31, 1000).astype(np.uint32)
+    a, b = lm.unpack(lm.pack(lm._gaps(keys), n), np.uint64, np.uint32)
+    assert (np.cumsum(a, dtype=np.uint64) == keys).all() and (b == n).all()
+    assert [len(x) for x in lm.unpack(lm.pack(keys[:0], n[:0]), np.uint64, np.uint32)] == [0, 0]
 
 
 def test_urls_follow_the_longest_rule(spark):
