@@ -26,7 +26,7 @@ from ledgerframe.llm.common import if_small, stash, tune
 #: Buckets of the order by doc_id for each shuffle partition; a bucket's rows are sorted in one task.
 BUCKETS_EACH = 6
 #: Quantiles of doc_id at most; between two of them, more buckets have equal widths.
-MOST_CUTS = 512
+MOST_CUTS = 96
 
 
 def canonical(text: str | None) -> bytes:
