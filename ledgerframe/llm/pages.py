@@ -356,17 +356,22 @@ def text_of(blocks: list[str], marks: list[int], repeated: list[bool]) -> str:
     return "\n".join(blocks[k] for k in stay)
 
 
-def _packed(blocks: list[str], marks: list[int], press: zstandard.ZstdCompressor) -> bytes:
-    """A page's blocks, which have no line ends, and their marks, compressed, so that a shuffle moves less."""
-    return press.compress("\n".join(["".join(map(str, marks)), *blocks]).encode("utf-8", "surrogatepass"))
+def _packed(pages: list[tuple[list[str], list[int]]], press: zstandard.ZstdCompressor) -> bytes:
+    """Pages' blocks, in which a space is the only white space, and their marks, compressed, so that a shuffle moves less."""
+    return press.compress("\f".join("\n".join(["".join(map(str, marks)), *blocks]) for blocks, marks in pages).encode("utf-8", "surrogatepass"))
 
 
 def _unpacked(bodies: pa.ChunkedArray) -> tuple[list[list[str]], list[list[int]]]:
     unpress = zstandard.ZstdDecompressor()
-    rows = [unpress.decompress(x).decode("utf-8", "surrogatepass").split("\n") for x in bodies.to_pylist() if x is not None]
+    rows = [page.split("\n") for x in bodies.to_pylist() if x is not None for page in unpress.decompress(x).decode("utf-8", "surrogatepass").split("\f")]
     return [r[1:] for r in rows], [list(map(int, r[0])) for r in rows]
 
 
+def _same(blocks: list[str]) -> int:
+    """A hash of a page's tokens."""
+    return xxhash.xxh3_64_intdigest(" ".join(blocks).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def sized(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, host, tie, the host's number of parts and html."""
     tune(pages.sparkSession)
@@ -378,17 +383,32 @@ def sized(pages: DataFrame) -> DataFrame:
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
-    """sized() rows with same, a hash of the page's tokens, and body, its packed blocks, for html."""
+    """sized() rows with deal, the part that a page is in, and body, its packed blocks, for html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=6)
         for b in batches:
             found = [blocks_of(x) for x in b.column(5).to_pylist()]
-            same = [xxhash.xxh3_64_intdigest(" ".join(x).encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in found]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(same, pa.int64()), pa.array([_packed(*f, press) for f in found], pa.binary())], names)
+            deal = [_same(x) % n for (x, _), n in zip(found, b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(deal, pa.int64()), pa.array([_packed([f], press) for f in found], pa.binary())], names)
+
+    names = ["page_id", "url", "host", "tie", "parts", "deal", "body"]
+    return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, tie long, parts long, deal long, body binary")
+
+
+def _bundled(rows: DataFrame) -> DataFrame:
+    """Of sized() rows, host, parts, deal and body: pages of a part that a batch has, packed together, for what only counts them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=6)
+        for b in batches:
+            held: dict[tuple, list] = {}
+            for host, n, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                page = blocks_of(html)
+                held.setdefault((host, n, _same(page[0]) % n), []).append(page)
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in held], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))), pa.array([_packed(p, press) for p in held.values()], pa.binary())], ["host", "parts", "deal", "body"])
 
-    names = ["page_id", "url", "host", "tie", "parts", "same", "body"]
-    return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, tie long, parts long, same long, body binary")
+    return rows.select("host", "parts", "html").mapInArrow(run, "host string, parts long, deal long, body binary")
 
 
 def _counted(dealt: DataFrame, keys: DataFrame | None = None) -> DataFrame:
@@ -411,14 +431,13 @@ def _counted(dealt: DataFrame, keys: DataFrame | None = None) -> DataFrame:
 
 
 def _with_keys(dealt: DataFrame, keys: DataFrame | None) -> DataFrame:
-    """dealt pages, sorted for their part; with keys (host, keys, counts, distinct) a first row a part has its host's."""
+    """dealt pages, sorted for their part; with keys (host, parts, keys, counts, distinct) a first row a part has its host's."""
     if keys is not None:
-        parts = dealt.groupBy("host").agg(F.max("parts").alias("parts")).join(keys, "host")
         deals = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("deal")
-        dealt = parts.select("host", deals, "keys", "counts", "distinct", F.lit(0).alias("kind")).unionByName(dealt.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        dealt = keys.select("host", deals, "keys", "counts", "distinct", F.lit(0).alias("kind")).unionByName(dealt.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     else:
         dealt = dealt.withColumn("kind", F.lit(1))
-    return dealt.repartition("host", "deal").sortWithinPartitions("host", "deal", "kind", "page_id", "tie")
+    return dealt.repartition("host", "deal").sortWithinPartitions("host", "deal", "kind", *(c for c in ("page_id", "tie") if c in dealt.columns))
 
 
 def _settled(rows: DataFrame, kind: str) -> DataFrame:
@@ -452,21 +471,22 @@ def extract(pages: DataFrame) -> DataFrame:
     that its host repeats."""
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = sized(pages)
-    whole = _parsed(rows.where("parts = 1")).withColumn("deal", F.lit(0).cast("long"))
+    whole = _parsed(rows.where("parts = 1"))
     nothing = {"keys": "array<long>", "counts": "array<long>", "distinct": "long"}
     out = _settled(_with_keys(whole, None).withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()}), kind)
     if not rows.where("parts > 1").limit(1).count():
         return out
-    large = _parsed(rows.where("parts > 1")).withColumn("deal", F.pmod("same", F.col("parts")))  # read again by each step: parsing costs less than a table of it
-    first = stash(_counted(large))
-    asked = first.where("key <> 0").groupBy("host").agg(F.collect_set("key").alias("keys"))
+    large = rows.where("parts > 1")  # parsed again by each step, which costs less than a table of it
+    hosts = stash(large.select("host", "parts").distinct())
+    first = stash(_counted(_bundled(large)))
+    asked = first.where("key <> 0").groupBy("host").agg(F.collect_set("key").alias("keys")).join(hosts, "host")
     blank = {c: F.lit(None).cast(t) for c, t in nothing.items() if c != "keys"}
-    again = stash(_counted(large, asked.withColumns(blank)))
+    again = stash(_counted(_bundled(large), asked.withColumns(blank)))
     sums = again.groupBy("host", "key").agg(F.sum("n").alias("n"))
     pages_of = sums.where("key = 0").select("host", F.col("n").alias("distinct"))
     kept = sums.where("key <> 0").join(pages_of, "host").where(F.col("n") >= SHARE * F.col("distinct"))
     entry = F.sort_array(F.collect_list(F.struct("key", "n")))
     totals = pages_of.join(kept.groupBy("host").agg(entry.alias("e")), "host", "left")
     none = F.array().cast("array<long>")
-    totals = totals.select("host", F.coalesce("e.key", none).alias("keys"), F.coalesce("e.n", none).alias("counts"), "distinct")
-    return out.unionByName(_settled(_with_keys(large, totals), kind))
+    totals = totals.join(hosts, "host").select("host", "parts", F.coalesce("e.key", none).alias("keys"), F.coalesce("e.n", none).alias("counts"), "distinct")
+    return out.unionByName(_settled(_with_keys(_parsed(large), totals), kind))
