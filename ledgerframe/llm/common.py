@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: few, since one text may be very long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 #: Rows of a frame of keys (some tens of bytes each) that may be broadcast; beyond it, a shuffle join runs.
 BROADCAST_ROWS = 400_000
 

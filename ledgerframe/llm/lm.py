@@ -3,8 +3,8 @@
 A text is its words (lower-case A-Z, split at ASCII white space) with one space between, then the end. States are
 contexts, in two ranks. A byte state is 0 to ORDER - 1 bytes; it has an arc for each byte seen after it, with the
 Witten-Bell probability, and a failure arc to its longest proper suffix, with the backoff weight. A word state is
-WORDS words that the training texts have, with a word after them (with the space or end that follows it) that comes
-CUTOFF times or more; it has an arc for each such word, with the Witten-Bell probability of their counts, and a failure
+WORDS words that the training texts have, of every THINNED such runs the one that its hash names, with a word after
+them (with the space or end that follows it) that comes CUTOFF times or more; it has an arc for each such word, with the Witten-Bell probability of their counts, and a failure
 arc, with the weight that is left, to the byte state, from which the word is read byte by byte. A word that comes after no
 word state is read so too. Probabilities of what may follow sum to 1 in each state; a text's score is the sum of log10
 probabilities along one traversal from left to right.
@@ -12,8 +12,8 @@ probabilities along one traversal from left to right.
 Counts are of all training texts, and every context counts: nothing is capped, broadcast or brought to the driver. A unit
 is a run of rows of one piece of a file, of about UNIT bytes. It sends its distinct words, byte runs and word runs, as
 sorted 64-bit numbers and counts, to buckets by number; a bucket sums what all units send, and sends each unit the sums
-of what it sent, in the same order. Then the unit's texts are scored. A word is known by 64 bits of a hash, and so is a
-context; a word after a context by 32 bits.
+of what it sent, in the same order. Then the unit's texts are scored. A word is known by 64 bits of a hash, a
+context by CONTEXT_BITS more than it takes to number the bytes of all texts, a word after a context by AFTER_BITS.
 
 `fit` gives the byte states, the most frequent contexts only, as one automaton in memory. Its long texts
 are cut into segments that start in the state that the bytes before them lead to, so many are traversed in
@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerframe.llm import kernels
 from ledgerframe.llm.common import groups, remainder, tune, written
@@ -41,11 +42,14 @@ from ledgerframe.llm.common import groups, remainder, tune, written
 ORDER = 5
 END = 0xFF  # no byte of UTF-8
 SEGMENT = 256
-#: Words of a word state, and how often a word after it must come.
+#: Words of a word state, how often a word after it must come, and one in how many runs of words, by hash, can be a state.
 WORDS = 3
 CUTOFF = 2
+THINNED = 2
+#: Bits of hashes.
+CONTEXT_BITS, AFTER_BITS = 20, 24
 #: Bytes of text of a unit, about; a longer text is a unit alone.
-UNIT = 8_000_000
+UNIT = 4_000_000
 #: Bytes of a bucket's share of all texts, about, and the fewest and most buckets.
 BUCKET_BYTES, FEWEST, MOST = 16_000_000, 32, 65_536
 #: Distinct runs or words that a task holds before it passes them on.
@@ -227,7 +231,7 @@ def _chunked(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("chunk"), F.coalesce(remainder("doc_id", 7) == 2, F.lit(True)).alias("held_out"), "text", "doc_id")
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[pa.RecordBatch]]]:
+def _units(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, int, list[pa.RecordBatch]]]:
     """Of batches with the chunk first and the text third: chunk, number of the unit in it, and the unit's rows. Both scans cut alike, since a piece of a file is read in one order."""
     held: list[pa.RecordBatch] = []
     chunk, number, size = None, 0, 0
@@ -236,7 +240,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[p
         lengths = pc.fill_null(pc.binary_length(b.column(2)), 0).to_pylist()
         start = 0
         for i in range(b.num_rows):
-            if own[i] != chunk or size >= UNIT:
+            if own[i] != chunk or size >= most:
                 if i > start:
                     held.append(b.slice(start, i - start))
                 if held:
@@ -275,24 +279,25 @@ def _gaps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=keys[:1] * np.uint64(0))
 
 
-def word_grams(words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the word hashes of texts: the place of each word that has WORDS before it in its text, the hash of these, and 32 bits of its own, other ones if it is the last."""
+def word_grams(words: np.ndarray, begins: np.ndarray, bits: int, thinned: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the word hashes of texts: the place of each word that has WORDS before it in its text that can be a state, `bits` bits of the hash of these, and AFTER_BITS of its own, other ones if it is the last."""
     n = len(words) - WORDS
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     context = words[:n].copy()
     for j in range(1, WORDS):
         context = kernels.mixed(context) * kernels.ODD + words[j : n + j]
+    context = kernels.mixed(context)
     owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    at = np.flatnonzero(owner[WORDS:] == owner[:-WORDS]) + WORDS
+    at = np.flatnonzero((owner[WORDS:] == owner[:-WORDS]) & (context % np.uint64(thinned) == 0)) + WORDS
     own = words.copy()
     own[begins[1:][np.diff(begins) > 0] - 1] ^= np.uint64(0x9E3779B97F4A7C15)
-    return at, kernels.mixed(context[at - WORDS]), (kernels.mixed(own[at]) >> np.uint64(32)).astype(np.uint32)
+    return at, context[at - WORDS] >> np.uint64(64 - bits), (kernels.mixed(own[at]) >> np.uint64(64 - AFTER_BITS)).astype(np.uint32)
 
 
 def _pairs(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs in order, their summed counts, and by row its pair."""
-    order = np.argsort(context, kind="stable")
+    order = np.argsort(context)
     c, w = context[order], word[order]
     same = np.concatenate((c[1:] == c[:-1], [False]))
     many = np.flatnonzero(same | np.concatenate(([False], same[:-1])))
@@ -309,13 +314,15 @@ def _pairs(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.nda
 
 @dataclass
 class Unit:
-    """What a unit's texts are made of. docs: their words; train: which of them are learnt from.
+    """What a unit's texts are made of. docs: their words; train: which of them are learnt from; bits: of a context; thinned: as THINNED.
 
     words, runs and contexts (with after) are distinct and sorted; *_n are their counts in training texts, *_at by place the number of the distinct one.
     """
 
     docs: list[list[bytes]]
     train: np.ndarray
+    bits: int = 64
+    thinned: int = 1
 
     def __post_init__(self) -> None:
         joined = [b" ".join(x) for x in self.docs]
@@ -328,23 +335,24 @@ class Unit:
         learnt = np.repeat(self.train, np.diff(self.begins))
         self.words, self.words_at = np.unique(hashes, return_inverse=True)
         self.words_n = np.bincount(self.words_at[learnt], minlength=len(self.words))
-        self.grams_place, context, after = word_grams(hashes, self.begins)
+        self.grams_place, context, after = word_grams(hashes, self.begins, self.bits, self.thinned)
         self.contexts, self.after, self.grams_n, self.grams_at = _pairs(context, after, learnt[self.grams_place].astype(float))
 
-    def byte_runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct runs of ORDER bytes and their counts in training texts."""
-        held = []
-        for test in (False, True):
-            mine = [x for x, t in zip(self.docs, self.train, strict=True) if t != test]
-            for i, j in _portions(mine):
-                keys, n = runs(mine[i:j])
-                held.append((keys, n * (not test)))
-        return _merged(held)
 
+def byte_runs(docs: list[list[bytes]], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of ORDER bytes of texts and their counts in training texts."""
+    held = []
+    for test in (False, True):
+        mine = [x for x, t in zip(docs, train, strict=True) if t != test]
+        for i, j in _portions(mine):
+            keys, n = runs(mine[i:j])
+            held.append((keys, n * (not test)))
+    return _merged(held)
 
-def _bucket_cuts(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where the keys of each of 2 ** bits buckets, by their first bits, begin."""
-    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+def _bucket_cuts(keys: np.ndarray, bits: int, wide: int = 64) -> np.ndarray:
+    """Where the keys, of `wide` bits, of each of 2 ** bits buckets, by their first bits, begin."""
+    return np.searchsorted(keys >> np.uint64(wide - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
 def _docs_of(rows: list[pa.RecordBatch]) -> tuple[list[list[bytes]], np.ndarray]:
@@ -355,15 +363,15 @@ def _docs_of(rows: list[pa.RecordBatch]) -> tuple[list[list[bytes]], np.ndarray]
 SENT = "kind int, bucket int, unit long, body binary"
 
 
-def sent(chunked: DataFrame, bits: int) -> DataFrame:
+def sent(chunked: DataFrame, bits: int, context_bits: int, most: int, thinned: int) -> DataFrame:
     """What units send: kind (0: words, 1: word runs), bucket, unit and body, the bucket's part of the unit's keys and counts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, number, rows in _units(batches):
-            unit = Unit(*_docs_of(rows))
+        for chunk, number, rows in _units(batches, most):
+            unit = Unit(*_docs_of(rows), context_bits, thinned)
             out: list[tuple[int, int, bytes]] = []
-            for kind, keys in ((0, unit.words), (1, unit.contexts)):
-                cuts = _bucket_cuts(keys, bits)
+            for kind, keys, wide in ((0, unit.words, 64), (1, unit.contexts, context_bits)):
+                cuts = _bucket_cuts(keys, bits, wide)
                 for k in np.flatnonzero(np.diff(cuts)):
                     i, j = cuts[k], cuts[k + 1]
                     if kind == 0:
@@ -422,20 +430,79 @@ def answered(rows: DataFrame) -> DataFrame:
     return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "unit").mapInArrow(task, "unit long, kind int, bucket int, body binary, distinct long, total long")
 
 
-def unit_runs(chunked: DataFrame) -> DataFrame:
-    """Per unit and distinct byte run of its texts: unit, run, n (its count in the unit's training texts)."""
+def sent_runs(chunked: DataFrame, bits: int, most: int) -> DataFrame:
+    """Of units, their distinct byte runs and counts in training texts: bucket, unit and body."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, number, rows in _units(batches):
-            unit = Unit.__new__(Unit)
-            unit.docs, unit.train = _docs_of(rows)
-            keys, n = unit.byte_runs()
-            own = unit_number(chunk, number)
-            for i in range(0, len(keys), 200_000):
-                part = keys[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), own, np.int64)), pa.array(part), pa.array(n[i : i + 200_000])], ["unit", "run", "n"])
+        for chunk, number, rows in _units(batches, most):
+            keys, n = byte_runs(*_docs_of(rows))
+            spread = kernels.mixed(keys.view(np.uint64))
+            order = np.argsort(spread)
+            keys, n, cuts = keys[order].view(np.uint64), n[order].astype(np.uint32), _bucket_cuts(spread[order], bits)
+            there = np.flatnonzero(np.diff(cuts))
+            bodies = [pack(keys[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]]) for k in there]
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([unit_number(chunk, number)] * len(there), pa.int64()), pa.array(bodies, pa.binary())], ["bucket", "unit", "body"])
+
+    return chunked.mapInArrow(task, "bucket int, unit long, body binary")
+
+
+def summed_runs(rows: DataFrame) -> DataFrame:
+    """Of sent_runs() rows: bucket, run, n, each run once."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket,), group in groups(batches, ["bucket"]):
+            keys, n = _merged([(k.view(np.int64), m) for k, m in (unpack(x, np.uint64, np.uint32) for x in group["body"].to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), bucket, np.int32)), pa.array(keys), pa.array(n)], ["bucket", "run", "n"])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, "bucket int, run long, n long")
+
 
-    return chunked.mapInArrow(task, "unit long, run long, n long")
+def answered_runs(rows: DataFrame, logs: DataFrame) -> DataFrame:
+    """Of sent_runs() rows and logs (bucket, run, log): unit, bucket and body, the unit's runs with their logs."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket,), group in groups(batches, ["bucket"]):
+            start = int(np.searchsorted(group["unit"].is_valid().to_numpy(), True))
+            known, asked = group.slice(0, start), group.slice(start)
+            table = Lookup(known["run"].to_numpy(), known["log"].to_numpy())
+            for i in range(0, len(asked), 500):
+                part = asked.slice(i, 500)
+                keys = [unpack(x, np.uint64, np.uint32)[0] for x in part["body"].to_pylist()]
+                bodies = [pack(k, table[k.view(np.int64)]) for k in keys]
+                yield pa.RecordBatch.from_arrays([part["unit"].combine_chunks(), pa.array([bucket] * len(part), pa.int32()), pa.array(bodies, pa.binary())], ["unit", "bucket", "body"])
+
+    both = logs.select("bucket", F.lit(None).cast("long").alias("unit"), F.lit(None).cast("binary").alias("body"), "run", "log").unionByName(rows, allowMissingColumns=True)
+    return both.repartition("bucket").sortWithinPartitions("bucket", F.col("unit").asc_nulls_first()).mapInArrow(task, "unit long, bucket int, body binary")
+
+
+class Lookup:
+    """Values by key, for keys that are there, in a table of at least twice as many places."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, values.dtype)
+        at, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == -1]
+            self.keys[at[free]] = keys[free]  # of several that want a place the last gets it
+            got = self.keys[at[left]] == keys[left]
+            self.values[at[left[got]]] = values[left[got]]
+            left = left[~got]
+            at[left] = (at[left] + 1) % size
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (kernels.mixed(keys.view(np.uint64)) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._place(keys)
+        wrong = np.flatnonzero(self.keys[at] != keys)
+        while len(wrong):
+            if (self.keys[at[wrong]] == -1).any():
+                raise KeyError("a run that its unit did not send")
+            at[wrong] = (at[wrong] + 1) % len(self.keys)
+            wrong = wrong[self.keys[at[wrong]] != keys[wrong]]
+        return self.values[at]
 
 
 def run_logs(rows: DataFrame) -> DataFrame:
@@ -458,18 +525,20 @@ def run_logs(rows: DataFrame) -> DataFrame:
     return known.select("run", F.log10("p").cast("float").alias("log"))
 
 
-def _texts(chunked: DataFrame) -> DataFrame:
-    """Per unit and text: unit, doc_id, held_out and body, its words joined and compressed."""
+def _texts(chunked: DataFrame, most: int) -> DataFrame:
+    """Per unit and batch of its texts: unit, bucket (the batch's number), doc_id and held_out as lists, and body, the texts' words joined and compressed together."""
+    kind = to_arrow_type(chunked.schema["doc_id"].dataType)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for chunk, number, rows in _units(batches):
-            own = unit_number(chunk, number)
-            for b in rows:
-                bodies = [press.compress(b" ".join(words_of(t))) for t in b.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(bodies), pa.int64()), b.column(3), b.column(1), pa.array(bodies, pa.binary())], ["unit", "doc_id", "held_out", "body"])
+        press = zstandard.ZstdCompressor(level=5)
+        for chunk, number, rows in _units(batches, most):
+            bodies = [press.compress(b"\n".join(b" ".join(words_of(t)) for t in b.column(2).to_pylist())) for b in rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([unit_number(chunk, number)] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array([b.column(3).to_pylist() for b in rows], pa.list_(kind)), pa.array([b.column(1).to_pylist() for b in rows], pa.list_(pa.bool_())), pa.array(bodies, pa.binary())],
+                ["unit", "bucket", "doc_id", "held_out", "body"],
+            )
 
-    return chunked.mapInArrow(task, f"unit long, doc_id {chunked.schema['doc_id'].dataType.simpleString()}, held_out boolean, body binary")
+    return chunked.mapInArrow(task, f"unit long, bucket int, doc_id array<{chunked.schema['doc_id'].dataType.simpleString()}>, held_out array<boolean>, body binary")
 
 
 def word_logs(unit: Unit, logs: np.ndarray, last: np.ndarray, owner: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -485,30 +554,36 @@ def word_logs(unit: Unit, logs: np.ndarray, last: np.ndarray, owner: np.ndarray,
     at = first[text] + unit.grams_place - unit.begins[text]
     n, whole, kinds = (sums[k][unit.grams_at].astype(float) for k in range(3))
     read = steps[at]
-    made = np.log10(n + kinds * 10.0 ** np.maximum(read, -300)) - np.log10(np.maximum(whole + kinds, 1))
+    made = np.log10(np.maximum(n + kinds * 10.0 ** np.maximum(read, -300), 1e-300)) - np.log10(np.maximum(whole + kinds, 1))
     # beyond what a float holds, the failure arc's weight is added to the sum of logs
     made = np.where((n == 0) & (kinds > 0), np.log10(np.maximum(kinds, 1)) + read - np.log10(np.maximum(whole + kinds, 1)), made)
     steps[at] = np.where(whole > 0, made, read)
     return np.bincount(of, steps, len(unit.docs))
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, *, unit: int = UNIT, thinned: int = THINNED) -> DataFrame:
     """The contract's rows for documents (doc_id, text)."""
     tune(docs.sparkSession)
     chunked = _chunked(docs)
     size = chunked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).head()
     bits = int(np.clip(size[0] // BUCKET_BYTES, FEWEST, MOST)).bit_length() - 1
     ends = size[1]
-    back = written(answered(sent(chunked, bits)), "sums")
+    context_bits = min(64, CONTEXT_BITS + int(size[0]).bit_length())
+    back = written(answered(sent(chunked, bits, context_bits, unit, thinned)), "sums")
     known = back.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).head()
     n, v = known["n"] + ends, known["v"] + (ends > 0)
-    runs_sent = written(unit_runs(chunked), "runs")
-    met = runs_sent.select("unit", "run").join(run_logs(runs_sent), "run")
-    texts = _texts(chunked)
-    blank = {"kind": "int", "bucket": "int", "body": "binary", "run": "long", "log": "float", "doc_id": chunked.schema["doc_id"].dataType.simpleString(), "held_out": "boolean"}
-    shaped = lambda df, kind=None: (df if kind is None else df.withColumn("kind", F.lit(kind))).select("unit", *(F.col(c) if c in df.columns or c == "kind" else F.lit(None).cast(t).alias(c) for c, t in blank.items()))
-    rows = shaped(back.select("unit", "kind", "bucket", "body")).unionByName(shaped(met, 2)).unionByName(shaped(texts, 3))
-    rows = rows.repartition("unit").sortWithinPartitions("unit", "kind", "bucket", "run")
+    asked = written(sent_runs(chunked, bits, unit), "runs")
+    counted = written(summed_runs(asked), "run-counts")
+    logs = run_logs(counted.select("run", "n")).join(counted.select("run", "bucket"), "run")
+    id_type = chunked.schema["doc_id"].dataType
+    blank = {"kind": "int", "bucket": "int", "body": "binary", "doc_id": f"array<{id_type.simpleString()}>", "held_out": "array<boolean>"}
+
+    def shaped(df: DataFrame, kind: int | None = None) -> DataFrame:
+        df = df if kind is None else df.withColumn("kind", F.lit(kind))
+        return df.select("unit", *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in blank.items()))
+
+    rows = shaped(back).unionByName(shaped(answered_runs(asked, logs), 2)).unionByName(shaped(_texts(chunked, unit), 3))
+    rows = rows.repartition("unit").sortWithinPartitions("unit", "kind", "bucket")
     norm = float(np.log10(n + v + 1))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -517,39 +592,31 @@ def scored(docs: DataFrame) -> DataFrame:
             cuts = np.searchsorted(kinds, [0, 1, 2, 3, 4])
             part = [group.slice(i, j - i) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             unpress = zstandard.ZstdDecompressor()
-            texts = [unpress.decompress(x).split() for x in part[3]["body"].to_pylist()]
-            held_out = part[3]["held_out"].to_numpy(zero_copy_only=False).astype(bool)
-            unit = Unit(texts, ~held_out)
+            texts = [t.split() for x in part[3]["body"].to_pylist() for t in unpress.decompress(x).split(b"\n")]
+            held_out = np.array([h for x in part[3]["held_out"].to_pylist() for h in x], bool)
+            ids = [d for x in part[3]["doc_id"].to_pylist() for d in x]
+            mine = Unit(texts, ~held_out, context_bits, thinned)
             totals = np.concatenate([np.zeros(0, np.uint64), *(unpack(x, np.uint64)[0] for x in part[0]["body"].to_pylist())])
             found = [unpack(x, np.uint64, np.uint64, np.uint32) for x in part[1]["body"].to_pylist()]
             sums = np.stack([np.concatenate([np.zeros(0, np.uint64), *(x[k].astype(np.uint64) for x in found)]) for k in range(3)])
-            if len(totals) != len(unit.words) or sums.shape[1] != len(unit.contexts):
+            if len(totals) != len(mine.words) or sums.shape[1] != len(mine.contexts):
                 raise ValueError("a unit's texts are not those that it sent")
-            counts = np.append(totals[unit.words_at].astype(float), 0.0)
-            add = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[unit.begins]) if len(x) else np.zeros(len(texts))
-            tokens = np.diff(unit.begins) + 1
+            counts = np.append(totals[mine.words_at].astype(float), 0.0)
+            add = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[mine.begins]) if len(x) else np.zeros(len(texts))
+            tokens = np.diff(mine.begins) + 1
             base = add(np.log10(counts[:-1] + 1.0)) + np.log10(ends + 1.0) - tokens * norm
             known = add((counts[:-1] > 0).astype(float)).astype(np.int64) + (ends > 0)
-            keys, logs = part[2]["run"].to_numpy(), part[2]["log"].to_numpy()
-            said = np.zeros(len(texts))
-            spans = _portions(texts)
-            lasts, owners, read = [], [], []
-            for i, j in spans:
+            told = [unpack(x, np.uint64, np.float32) for x in part[2]["body"].to_pylist()]
+            table = Lookup(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in told)]).view(np.int64), np.concatenate([np.zeros(0, np.float32), *(x[1] for x in told)]))
+            read, lasts, owners = [np.zeros(0)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+            for i, j in _portions(texts):
                 run, owner = all_runs(texts[i:j])
-                at = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
-                if (keys[at] != run).any():
-                    raise KeyError("a run that its unit did not send")
-                read.append(logs[at])
+                read.append(table[run])
                 lasts.append((run & 255).astype(np.uint8))
                 owners.append(owner + i)
-            said = word_logs(unit, np.concatenate([np.zeros(0), *read]), np.concatenate([np.zeros(0, np.uint8), *lasts]), np.concatenate([np.zeros(0, np.int64), *owners]), sums)
-            for i in range(0, len(texts), 5000):
-                p = part[3].slice(i, 5000)
-                k = len(p)
-                yield pa.RecordBatch.from_arrays(
-                    [p["doc_id"].combine_chunks(), p["held_out"].combine_chunks(), pa.array(tokens[i : i + k]), pa.array(known[i : i + k]), pa.array(np.full(k, n, np.int64)), pa.array(base[i : i + k]), pa.array(said[i : i + k])],
-                    names,
-                )
+            said = word_logs(mine, np.concatenate(read), np.concatenate(lasts), np.concatenate(owners), sums)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(held_out), pa.array(tokens), pa.array(known), pa.array(np.full(len(texts), n, np.int64)), pa.array(base), pa.array(said)], names)
 
+    kind = to_arrow_type(id_type)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    return rows.mapInArrow(task, f"doc_id {chunked.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(task, f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
