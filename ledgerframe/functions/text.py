@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The name prefixes a subtype drops, and what an empty one becomes.
+# The name prefixes a subtype drops, and what an empty one becomes; the patterns of the functions below.
 SUBTYPE_PREFIXES = ("non_batik_", "nonbatik_", "batik_", "flanel_", "kain_")
 UNKNOWN_SUBTYPE = "tidak_diketahui"
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".bmp")
@@ -79,3 +79,22 @@ def lenient_bool(c: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Text split after . ; or : before a capital or a bracket."""
     return F.split(c, r"(?<=[.;:]) (?=[A-Z(])")
+
+
+def significant(c: Column, digits: int = 15) -> Column:
+    """A double's shortest text after rounding to so many significant digits."""
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits - 1}e", c).try_cast("double").cast("string"))
+
+
+def mapped(c: Column, names: dict, what: str = "value") -> Column:
+    """What names gives for c, as for labels of classes, classes of labels and aliases of models; an error for a value it lacks, null for null."""
+    pairs = F.create_map(*(F.lit(v) for pair in names.items() for v in pair))
+    return F.when(c.isNull(), None).otherwise(F.coalesce(F.try_element_at(pairs, c), F.raise_error(F.concat(F.lit(f"unknown {what}: "), c.cast("string")))))
+
+
+def condition_key(*parts: Column, between: str = "+") -> Column:
+    return F.concat_ws(between, *parts)
+
+
+def condition_parts(c: Column, between: str = "+") -> Column:
+    return F.split(c, "\\" + between if len(between) == 1 else between)

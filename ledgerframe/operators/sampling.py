@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +87,63 @@ def bootstrap_draws(items: DataFrame, label: str, item: str, replicates: int, se
     slots = sizes.select(label, "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("slot"))
     drawn = F.conv(F.substring(draw_key(seed, "replicate", label, "slot"), 1, 15), 16, 10).cast("long")
     return slots.withColumn("_idx", F.pmod(drawn, F.col("_n"))).join(numbered, [label, "_idx"]).select("replicate", label, "slot", item)
+
+
+#: Fixed values of the draw of bootstrap_cells: a prime, and what its steps multiply by and add.
+PRIME = 2147483647
+STEPS = (1103515245, 12345679, 48271, 69621, 1043618065, 630360016, 16807)
+
+
+def drawn(replicate: Column, stratum: Column, slot: Column, n: Column) -> Column:
+    """A number below n for a slot of a replicate, by arithmetic modulo a prime that SQL engines agree on. No product is above 2 ** 62."""
+    p = F.lit(PRIME).cast("long")
+    a, b, c, d, e, f, g = (F.lit(s).cast("long") for s in STEPS)
+    x = (((replicate + 1) * a % p + (slot % p) * b % p) % p + (stratum + 1) * c) % p
+    x = (x * ((x + d) % p)) % p
+    x = (x * e + f) % p
+    x = (x * ((x + g) % p)) % p
+    x = (x * e + d) % p
+    return (x * ((x + f) % p)) % p % n
+
+
+def bootstrap_cells(df: DataFrame, stratum: str, cells: list[str], replicates: int) -> DataFrame:
+    """Stratified bootstrap counts: per replicate, stratum (0 or 1) and cell of 0/1 columns, how often rows of the cell are drawn.
+
+    A stratum's rows are a range in which each cell is one interval, so a draw needs no row: a replicate draws as
+    many numbers below the stratum's size as the stratum has rows and counts them by interval. Draws are made and
+    counted in one stage; only counts are shuffled. All models share the draws of a replicate.
+    """
+    code = functools.reduce(lambda x, c: x * 2 + F.col(c), cells, F.lit(0))
+    many = 1 << len(cells)
+    sizes = df.groupBy(F.col(stratum).cast("long").alias("stratum")).agg(F.count("*").alias("n"), *(F.count_if(code < k + 1).alias(f"_to_{k}") for k in range(many)))
+    spark = df.sparkSession
+    slots = spark.range(replicates, numPartitions=max(1, min(replicates, spark.sparkContext.defaultParallelism * 4))).select(F.col("id").alias("replicate"))
+    slots = slots.join(F.broadcast(sizes)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))  # a row for each stratum
+    at = slots.select("replicate", "stratum", drawn(F.col("replicate"), F.col("stratum"), F.col("slot"), F.col("n")).alias("at"), *(f"_to_{k}" for k in range(many)))
+    below = at.groupBy("replicate", "stratum").agg(*(F.count_if(F.col("at") < F.col(f"_to_{k}")).alias(f"_n_{k}") for k in range(many)))
+    cell = lambda k: F.struct(*(F.lit(k >> (len(cells) - 1 - i) & 1).alias(c) for i, c in enumerate(cells)), (F.col(f"_n_{k}") - (F.col(f"_n_{k - 1}") if k else F.lit(0))).alias("n"))
+    return below.select("replicate", F.col("stratum").alias(stratum), F.inline(F.array(*map(cell, range(many)))))
+
+
+def leaking(rows: DataFrame, fold: str, group: str) -> DataFrame:
+    """The groups that have rows in more than one fold, with the number of folds."""
+    return rows.groupBy(group).agg(F.count_distinct(fold).alias("folds")).where("folds > 1")
+
+
+def balanced(originals: DataFrame, derivatives: DataFrame, label: str, source: str, per_class: int, seed: int) -> DataFrame:
+    """originals and as many derivatives of their own sources as bring each label to per_class rows, first by hash.
+
+    Both have the same columns; derivatives of sources that originals lack are left out, so what is held back
+    leaks nothing. A label with more originals, or with too few derivatives, is an error.
+    """
+    mine = derivatives.join(originals.select(F.col(source).alias("_s")).distinct(), F.col(source) == F.col("_s"), "left_semi")
+    have = {r[0]: r[1] for r in originals.groupBy(label).count().collect()}  # a row for each label
+    more = {r[0]: r[1] for r in mine.groupBy(label).count().collect()}
+    for k, n in have.items():
+        if not 0 <= per_class - n <= more.get(k, 0):
+            raise ValueError(f"label {k}: {per_class} rows asked for, {n} originals and {more.get(k, 0)} derivatives")
+    wanted = F.create_map(*(F.lit(x) for k, n in have.items() for x in (k, per_class - n)))
+    names = derivatives.columns
+    keyed = mine.withColumn("_key", F.xxhash64(*(F.col(f"`{c}`") for c in names)))
+    taken = numbered(keyed, [label], seed, "_key").where(F.col("_i") < F.element_at(wanted, F.col(label)))
+    return originals.unionByName(taken.select(*(F.col(f"`{c}`") for c in names)))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerframe.operators import graph, images, similarity
-from ledgerframe.plans.registry import HAMMING, _bits, both, query
+from ledgerframe.functions import text as text_functions
+from ledgerframe.operators import compare, graph, images, joins, sampling, similarity
+from ledgerframe.plans.registry import FOLDED, MOST, TWO, both, candidate_pairs, query
 
 PIXELS = """im AS (SELECT vec_id, [coalesce(floor(255.0::DOUBLE * (v::DOUBLE - list_min(embedding)::DOUBLE) / nullif(list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE, 0))::INTEGER, 0) FOR v IN embedding] AS g FROM embeddings),
 px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, g[i + 1] AS v FROM im, (SELECT unnest(range(0, 64)) AS i))"""
@@ -34,34 +35,82 @@ def k16_image_hashes(t):
     return images.hashes(_pictures(t), "vec_id")
 
 
+@query()
+def m28_hash_candidates(t):
+    """Pairs of pictures that are near by either of their two hashes, with the trigger."""
+    made = images.hashes(_pictures(t), "vec_id").select("vec_id", images.hash_bits(F.col("phash_64")).alias("phash"), images.hash_bits(F.col("dhash_64")).alias("dhash"))
+    return similarity.either_pairs(made, "vec_id", "phash", "dhash", 16)
+
+
+@query()
+def k12_six_features(t):
+    made = images.features(_pictures(t), "vec_id")
+    return made.select("vec_id", *(F.round(c, 6).alias(c) for c in made.columns[1:]))
+
+
 @query()
 def k14_augmentations(t):
-    made = images.augmentations(_pictures(t), "vec_id")
+    made = images.augmentations(_pictures(t), "vec_id", originals=True)
     return made.select("vec_id", "transform", F.sha2("image.data", 256).alias("digest"))
 
 
 @query()
 def k19_pair_checks(t):
-    pairs = similarity.hamming_pairs(_bits(t), "vec_id", "bits", 10)
+    pairs = candidate_pairs(t).select("left_id", "right_id", "trigger")
     p = _pictures(t)
     left, right = (p.select(F.col("vec_id").alias(f"{s}_id"), F.col("image").alias(s)) for s in ("left", "right"))
-    return images.pair_checks(pairs.join(left, "left_id").join(right, "right_id"), ["left_id", "right_id", "distance"])
+    return images.pair_checks(pairs.join(left, "left_id").join(right, "right_id"), ["left_id", "right_id", "trigger"])
 
 
-GRID = (6, 8, 10)
+FIRST_GRID, SECOND_GRID = range(14, 21), range(15, 21)
 
 
-@query(f"""WITH RECURSIVE {HAMMING}, grid(t) AS (VALUES (6), (8), (10)), ed AS (SELECT t, left_id AS a, right_id AS b FROM pr JOIN grid ON distance <= t UNION ALL SELECT t, right_id, left_id FROM pr JOIN grid ON distance <= t),
-reach(t, n, m) AS (SELECT t, vec_id, vec_id FROM embeddings CROSS JOIN grid UNION SELECT r.t, r.n, ed.b FROM reach r JOIN ed ON ed.t = r.t AND ed.a = r.m), co AS (SELECT t, n, min(m) AS c FROM reach GROUP BY t, n),
-sz AS (SELECT t, c, count(*) AS s FROM co GROUP BY t, c) SELECT t AS threshold, count(*) AS n_groups, count(*) FILTER (WHERE s > 1) AS multi_groups, coalesce(sum(s) FILTER (WHERE s > 1), 0)::BIGINT AS in_multi, max(s) AS largest FROM sz GROUP BY t""")
+@query(f"""WITH RECURSIVE {TWO}, grid(a, b) AS (SELECT x, y FROM (SELECT unnest(range(14, 21))::INTEGER AS x) CROSS JOIN (SELECT unnest(range(15, 21))::INTEGER AS y)), near AS (SELECT * FROM p2 WHERE median_bits <= 20 OR difference_bits <= 20),
+ed AS (SELECT a, b, left_id AS f, right_id AS t FROM near JOIN grid ON median_bits <= a OR difference_bits <= b UNION ALL SELECT a, b, right_id, left_id FROM near JOIN grid ON median_bits <= a OR difference_bits <= b),
+reach(a, b, n, m) AS (SELECT a, b, vec_id, vec_id FROM embeddings CROSS JOIN grid UNION SELECT r.a, r.b, r.n, ed.t FROM reach r JOIN ed ON ed.a = r.a AND ed.b = r.b AND ed.f = r.m), co AS (SELECT a, b, n, min(m) AS c FROM reach GROUP BY a, b, n),
+sz AS (SELECT a, b, c, count(*) AS s FROM co GROUP BY a, b, c), cp AS (SELECT a, b, count(*) AS pairs FROM near JOIN grid ON median_bits <= a OR difference_bits <= b GROUP BY a, b)
+SELECT sz.a AS first, sz.b AS second, coalesce(any_value(cp.pairs), 0) AS pairs, count(*) AS n_groups, count(*) FILTER (WHERE s > 1) AS multi_groups, coalesce(sum(s) FILTER (WHERE s > 1), 0)::BIGINT AS in_multi, max(s) AS largest FROM sz LEFT JOIN cp ON cp.a = sz.a AND cp.b = sz.b GROUP BY sz.a, sz.b""")
 def g05_threshold_grid(t):
-    pairs = similarity.hamming_pairs(_bits(t), "vec_id", "bits", max(GRID))
-    cell = lambda df: df.withColumn("threshold", F.explode(F.array(*map(F.lit, GRID))))
-    edges = cell(pairs).where("distance <= threshold").select("threshold", F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    members = graph.components(cell(t("embeddings").select(F.col("vec_id").alias("id"))), edges, ["threshold"])
-    sizes = members.groupBy("threshold", "component").agg(F.count("*").alias("s"))
-    big = F.col("s") > 1
-    return sizes.groupBy("threshold").agg(F.count("*").alias("n_groups"), F.count_if(big).alias("multi_groups"), F.coalesce(F.sum(F.when(big, F.col("s"))), F.lit(0)).alias("in_multi"), F.max("s").alias("largest"))
+    """Confirmed pairs and groups for each cell of two thresholds."""
+    cell = lambda df: df.withColumn("first", F.explode(F.array(*map(F.lit, FIRST_GRID)))).withColumn("second", F.explode(F.array(*map(F.lit, SECOND_GRID))))
+    edges = cell(candidate_pairs(t)).where("median_bits <= first OR difference_bits <= second").select("first", "second", F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    members = graph.components(cell(t("embeddings").select(F.col("vec_id").alias("id"))), edges, ["first", "second"])
+    pairs = edges.groupBy("first", "second").agg(F.count("*").alias("pairs"))
+    return graph.group_facts(members, ["first", "second"]).join(pairs, ["first", "second"], "left").fillna(0, ["pairs"])
+
+
+@query(f"WITH {TWO}, {FOLDED} SELECT left_id, right_id, x.fold AS fold_left, y.fold AS fold_right, x.fold <> y.fold AS crosses, median_bits, difference_bits, printf('%d / %d', median_bits, difference_bits) AS distances FROM p2 JOIN vf x ON x.vec_id = left_id JOIN vf y ON y.vec_id = right_id WHERE median_bits <= {MOST} AND difference_bits <= 26")
+def r09_pair_table(t):
+    folds = sampling.grouped_folds(t("embeddings").select("vec_id", "label"), "vec_id", "label", 5, 42)
+    pairs = candidate_pairs(t).where(f"median_bits <= {MOST} AND difference_bits <= 26").drop("trigger")
+    return graph.with_folds(pairs, folds, "vec_id").withColumn("distances", F.format_string("%d / %d", "median_bits", "difference_bits"))
+
+
+_SETTINGS = "SELECT o_orderpriority AS priority, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'O' END AS status, CASE WHEN month(o_orderdate) <= 6 THEN 'first' ELSE 'second' END AS half, round(avg(o_totalprice), 4) AS y FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL"
+
+
+@query(f"""WITH s AS ({_SETTINGS}), d AS (SELECT 'priority' AS factor, b.y - a.y AS x FROM s a JOIN s b ON a.status = b.status AND a.half = b.half AND a.priority = '1-URGENT' AND b.priority = '5-LOW'
+UNION ALL SELECT 'status', b.y - a.y FROM s a JOIN s b ON a.priority = b.priority AND a.half = b.half AND a.status = 'F' AND b.status = 'O' UNION ALL SELECT 'half', b.y - a.y FROM s a JOIN s b ON a.priority = b.priority AND a.status = b.status AND a.half = 'first' AND b.half = 'second')
+SELECT factor, count(*) AS pairs, round(avg(x), 4) AS mean, round(min(x), 4) AS least, round(max(x), 4) AS greatest FROM d GROUP BY factor""")
+def a09_factor_effects(t):
+    o = t("orders").where("o_orderpriority IN ('1-URGENT', '5-LOW')")
+    rows = o.groupBy(F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("status"), F.when(F.month("o_orderdate") <= 6, "first").otherwise("second").alias("half")).agg(F.round(F.avg("o_totalprice"), 4).alias("y"))
+    return joins.factor_effects(rows, {"priority": ("1-URGENT", "5-LOW"), "status": ("F", "O"), "half": ("first", "second")}, "y", 4)
+
+
+_DAYS_SQL = "SELECT event_type, CAST(ts AS DATE) AS d, round(avg(value), 6) AS v FROM events GROUP BY event_type, CAST(ts AS DATE)"
+
+
+@query(f"WITH a AS ({_DAYS_SQL}) SELECT x.d, x.v AS base, y.v AS other, y.v - x.v AS difference, 'event_type' AS factor FROM a x JOIN a y ON x.d = y.d AND x.event_type = 'click' AND y.event_type = 'error'")
+def j05_aligned_contrast(t):
+    days = t("events").groupBy("event_type", F.col("ts").cast("date").alias("d")).agg(F.round(F.avg("value"), 6).alias("v"))
+    return joins.contrast(days, "event_type", "click", "error", ["d"], "v")
+
+
+@query("SELECT source, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'fr') AS fr FROM documents GROUP BY source")
+def a26_pivoted(t):
+    counted = t("documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return compare.pivoted(counted, ["source"], "lang", "n", ["de", "en", "fr"]).fillna(0)
 
 
 @query("""WITH c AS (SELECT conv_id, conv_id % 5 AS fold, role, count(*) AS n FROM conversations GROUP BY ALL), h AS (SELECT fold, role, n, count(*) AS k FROM c GROUP BY ALL)
@@ -93,10 +142,11 @@ def p35_rounded_list(t):
     return t("embeddings").select("vec_id", F.array_join(v, ",").alias("rounded"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT item_id, string_split(regexp_replace(text, '([.;:]) ([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS now FROM benchmark), m AS (SELECT a.item_id, a.now, coalesce(b.now, []) AS next FROM s a LEFT JOIN s b ON b.item_id = a.item_id + 1),
+u AS (SELECT item_id, unnest(now) AS sentence, unnest(range(1, len(now) + 1)) AS i, next FROM m), f AS (SELECT item_id, sentence, min(i) AS i FROM u WHERE NOT list_contains(next, sentence) GROUP BY item_id, sentence) SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY i)::INTEGER AS ordinal, sentence FROM f""")
 def p28_sentence_changes(t):
     """Sentences of a benchmark item that the next item lacks, numbered in order."""
-    s = t("benchmark").select("item_id", F.split("text", r"(?<=[.;:]) (?=[A-Z(])").alias("now"))
+    s = t("benchmark").select("item_id", text_functions.sentences(F.col("text")).alias("now"))
     after = s.select((F.col("item_id") - 1).alias("item_id"), F.col("now").alias("next"))
     met = s.join(after, "item_id", "left").withColumn("only", F.array_except("now", F.coalesce("next", F.array().cast("array<string>"))))
     return met.select("item_id", F.posexplode("only").alias("ordinal", "sentence")).withColumn("ordinal", F.col("ordinal") + 1)
@@ -105,33 +155,20 @@ def p28_sentence_changes(t):
 _DAYS = "SELECT event_type, CAST(ts AS DATE) AS d, round(avg(value), 6) AS v FROM [events] GROUP BY event_type, CAST(ts AS DATE)"
 
 both("r01_model_comparison", f"SELECT c.event_type, printf('%.3f +- %.3f', c.m, c.s) AS folds, printf('%.3f', x.m) AS outside FROM (SELECT event_type, round(avg(v), 6) AS m, round(stddev_samp(v), 6) AS s FROM ({_DAYS}) a GROUP BY event_type) c JOIN (SELECT event_type, round(avg(value), 6) AS m FROM [events] WHERE value > 50 GROUP BY event_type) x ON c.event_type = x.event_type", "events")
-both("r02_families", "SELECT n.n_name AS name, 'customer' AS family, count(*) AS n, round(avg(c.c_acctbal), 4) AS balance FROM [customer] c JOIN [nation] n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name UNION ALL SELECT n.n_name, 'supplier', count(*), round(avg(s.s_acctbal), 4) FROM [supplier] s JOIN [nation] n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name", "customer supplier nation")
 both("r03_display_columns", "SELECT s.l_returnflag AS flag, printf('%.3f', s.m) AS mean_text, printf('%+.4f', s.m - o.m) AS difference_text, printf('%.1f%%', 100 * s.share) AS share_text FROM (SELECT l_returnflag, round(avg(l_discount), 7) AS m, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM [lineitem]), 7) AS share FROM [lineitem] GROUP BY l_returnflag) s CROSS JOIN (SELECT round(avg(l_discount), 7) AS m FROM [lineitem]) o", "lineitem")
 both("r05_inventory", "SELECT source, lang, count(*) AS records, count(DISTINCT md5(text)) AS texts, count(*) - count(DISTINCT md5(text)) AS copies FROM [documents] GROUP BY source, lang", "documents")
 both("r07_selection_audit", f"SELECT w.event_type AS by_mean, f.event_type AS by_wins, w.event_type = f.event_type AS agree FROM (SELECT event_type, row_number() OVER (ORDER BY round(avg(v), 6) DESC, event_type) AS rn FROM ({_DAYS}) a GROUP BY event_type) w JOIN (SELECT event_type, row_number() OVER (ORDER BY count(*) DESC, event_type) AS rn FROM (SELECT event_type, row_number() OVER (PARTITION BY d ORDER BY v DESC, event_type) AS r FROM ({_DAYS}) b) c WHERE r = 1 GROUP BY event_type) f ON w.rn = 1 AND f.rn = 1", "events")
 both("r08_diagnostics", "SELECT concat('labels: ', CAST(count(*) AS VARCHAR(20)), '; good: ', CAST(sum(quality) AS VARCHAR(20)), '; toxic: ', CAST(sum(toxic) AS VARCHAR(20))) AS summary FROM [labels]", "labels")
-both("r09_pair_table", "SELECT a.s_suppkey AS left_id, b.s_suppkey AS right_id, a.s_suppkey % 5 AS fold_left, b.s_suppkey % 5 AS fold_right, a.s_suppkey % 5 <> b.s_suppkey % 5 AS crosses FROM [supplier] a JOIN [supplier] b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey", "supplier")
 both("r10_split_condition", "SELECT split_part(p_type, ' ', 1) AS first, split_part(p_type, ' ', 2) AS second, CASE split_part(p_type, ' ', 1) WHEN 'PROMO' THEN 0 WHEN 'ECONOMY' THEN 1 ELSE 2 END AS place, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM [part] GROUP BY p_type", "part")
 both("r11_balancing", "SELECT b.quality, b.n, m.least AS down_sampled, m.greatest - b.n AS top_up, round(CAST(m.total AS DOUBLE) / (m.classes * b.n), 9) AS weight FROM (SELECT quality, count(*) AS n FROM [labels] GROUP BY quality) b CROSS JOIN (SELECT min(n) AS least, max(n) AS greatest, sum(n) AS total, count(*) AS classes FROM (SELECT quality, count(*) AS n FROM [labels] GROUP BY quality) c) m", "labels")
-both("r13_protocols", "SELECT 'ungrouped' AS protocol, count(*) AS units, count(DISTINCT role) AS classes FROM [conversations] UNION ALL SELECT 'grouped', count(DISTINCT conv_id), count(DISTINCT role) FROM [conversations]", "conversations")
 both("r14_facts", "SELECT (SELECT count(*) FROM [documents]) AS documents, (SELECT count(DISTINCT md5(text)) FROM [documents]) AS texts, (SELECT count(*) FROM (SELECT md5(text) AS h FROM [documents] GROUP BY md5(text) HAVING count(*) > 1) g) AS groups_of_copies, (SELECT max(n_chars) FROM [documents]) AS longest", "documents")
 both("r20_training_composition", "SELECT l.quality, d.lang, count(*) AS instances FROM [labels] l JOIN [documents] d ON d.doc_id = l.doc_id WHERE d.doc_id % 5 <> 0 GROUP BY l.quality, d.lang", "labels documents")
 both("r21_sentence", "SELECT printf('%d of %d orders (%.1f%%) are finished.', count(CASE WHEN o_orderstatus = 'F' THEN 1 END), count(*), round(CAST(100 AS DOUBLE) * count(CASE WHEN o_orderstatus = 'F' THEN 1 END) / count(*), 5)) AS sentence FROM [orders]", "orders")
 both("r22_population", "SELECT doc_id, source, 'development' AS part FROM [documents] WHERE source <> 'src1' UNION ALL SELECT doc_id, source, 'external' FROM [documents] WHERE source = 'src1'", "documents")
 both("a07_arm_summary", f"SELECT event_type, count(*) AS folds, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS least, max(v) AS greatest FROM ({_DAYS}) a GROUP BY event_type", "events")
-both("a09_factor_effects", "SELECT o_orderpriority AS setting, count(*) AS pairs, round(avg(x), 4) AS mean, round(min(x), 4) AS least, round(max(x), 4) AS greatest FROM (SELECT a.o_orderpriority, a.m, b.y - a.y AS x FROM (SELECT o_orderpriority, month(o_orderdate) AS m, avg(o_totalprice) AS y FROM [orders] WHERE o_orderstatus = 'F' GROUP BY o_orderpriority, month(o_orderdate)) a JOIN (SELECT o_orderpriority, month(o_orderdate) AS m, avg(o_totalprice) AS y FROM [orders] WHERE o_orderstatus = 'O' GROUP BY o_orderpriority, month(o_orderdate)) b ON a.o_orderpriority = b.o_orderpriority AND a.m = b.m) d GROUP BY o_orderpriority", "orders")
-both("a27_augmentation_summary", "SELECT quality, count(*) AS originals, 3000 AS target, 3000 - count(*) AS derivatives, 9 * count(*) AS pool FROM [labels] GROUP BY quality", "labels")
-both("j05_aligned_contrast", "SELECT count(*) AS keys, count(CASE WHEN a.d IS NULL OR b.d IS NULL THEN 1 END) AS unmatched, round(avg(b.v - a.v), 6) AS mean FROM (SELECT CAST(ts AS DATE) AS d, round(avg(value), 6) AS v FROM [events] WHERE event_type = 'click' GROUP BY CAST(ts AS DATE)) a FULL OUTER JOIN (SELECT CAST(ts AS DATE) AS d, round(avg(value), 6) AS v FROM [events] WHERE event_type = 'error' GROUP BY CAST(ts AS DATE)) b ON a.d = b.d", "events")
 both("j07_lookup", "SELECT s.s_suppkey, n.n_name, r.r_name FROM [supplier] s LEFT JOIN [nation] n ON s.s_nationkey = n.n_nationkey LEFT JOIN [region] r ON n.n_regionkey = r.r_regionkey", "supplier nation region")
-both("j08_align_to_manifest", "SELECT (SELECT count(*) FROM [labels] l LEFT JOIN [documents] d ON l.doc_id = d.doc_id WHERE d.doc_id IS NULL) AS not_in_manifest, (SELECT count(DISTINCT doc_id) FROM [labels]) AS labelled, (SELECT count(*) FROM [documents]) AS manifest", "labels documents")
 both("j20_default_decision", "SELECT s.s_suppkey, CASE WHEN s.decision = 'confirmed_near_duplicate' THEN 'exclude' WHEN s.decision IS NOT NULL THEN 'retain_both' ELSE 'pending_visual_review' END AS action FROM (SELECT a.s_suppkey, d.decision FROM [supplier] a LEFT JOIN (SELECT 1 AS k, 'confirmed_near_duplicate' AS decision UNION ALL SELECT 2, 'distinct') d ON a.s_suppkey = d.k) s", "supplier")
 both("w12_average_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) + (count(*) OVER (PARTITION BY o_custkey, o_orderpriority) - 1) / CAST(2 AS DOUBLE) AS average_rank FROM [orders]", "orders")
-both("w14_exactly_once", "SELECT conv_id, count(DISTINCT conv_id % 5) AS folds, count(DISTINCT conv_id % 5) = 1 AS once FROM [conversations] GROUP BY conv_id", "conversations")
 both("w10_last_name_wins", f"SELECT d, max(event_type) AS event_type FROM (SELECT d, event_type, rank() OVER (PARTITION BY d ORDER BY v DESC) AS r FROM ({_DAYS}) a) b WHERE r = 1 GROUP BY d", "events")
-both("m02_leakage", "SELECT 'copies across folds' AS name, count(*) AS violations FROM (SELECT md5(text) AS h FROM [documents] GROUP BY md5(text) HAVING min(doc_id % 5) <> max(doc_id % 5)) g UNION ALL SELECT 'items across folds', count(*) FROM (SELECT doc_id FROM [documents] GROUP BY doc_id HAVING min(doc_id % 5) <> max(doc_id % 5)) i", "documents")
-both("m15_fixed_rule", "SELECT d.source, count(CASE WHEN d.lang = 'en' AND l.quality = 1 THEN 1 END) AS tp, count(CASE WHEN d.lang <> 'en' AND l.quality = 1 THEN 1 END) AS fn, count(CASE WHEN d.lang <> 'en' AND l.quality = 0 THEN 1 END) AS tn, count(CASE WHEN d.lang = 'en' AND l.quality = 0 THEN 1 END) AS fp FROM [documents] d JOIN [labels] l ON d.doc_id = l.doc_id GROUP BY d.source", "documents labels")
-both("m27_frame_reproduction", "SELECT count(*) AS different FROM (SELECT o_orderkey, o_orderstatus FROM [orders] EXCEPT SELECT o_orderkey, o_orderstatus FROM [orders] WHERE o_totalprice >= 1000) x", "orders")
-both("p17_log_columns", "SELECT p_partkey, round(ln(1 + p_size), 9) AS log_size, round(ln(1 + p_retailprice * p_size), 9) AS log_area FROM [part]", "part")
 both("p19_stratum", "SELECT p_partkey, concat_ws('|', p_brand, CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'medium' ELSE 'large' END, CASE WHEN p_retailprice <= 1000 THEN 'low' WHEN p_retailprice <= 1500 THEN 'middle' ELSE 'high' END) AS stratum FROM [part]", "part")
-both("p25_feature_text", "SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_quantity) >= 30 THEN printf('%.1f', l_quantity) ELSE printf('%.4f', l_tax) END AS shown FROM [lineitem]", "lineitem")
 both("p29_renumbered", "SELECT p.p_partkey, m.number FROM [part] p JOIN (SELECT p_brand, row_number() OVER (ORDER BY first) AS number FROM (SELECT p_brand, min(p_partkey) AS first FROM [part] GROUP BY p_brand) f) m ON p.p_brand = m.p_brand", "part")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
+import os
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,30 +16,46 @@ from pyspark.sql import functions as F
 from ledgerframe.functions import text
 
 
+def below(path: Column, root: str) -> Column:
+    """What of a scanned path comes after root; an error for a path that isn't under it."""
+    clean = F.regexp_replace(path, "^file:/+", "/")
+    top = root.rstrip("/")
+    top = "/" + top[5:].lstrip("/") if top.startswith("file:") else top if "://" in top else os.path.abspath(top)
+    return F.when(clean.startswith(top + "/"), F.substring(clean, len(top) + 2, 1 << 20)).otherwise(F.raise_error(F.concat(F.lit(f"not under {top}: "), clean)))
+
+
 def labelled_files(spark: SparkSession, root: str, classes: tuple[str, ...], source_set: str) -> DataFrame:
-    """Images in root/<class>/**: source_id, path, class, subtype, sha256, bytes, extension, source_set. An unknown class is an error."""
+    """Images in root/<class>/**: source_id, path, class, subtype, sha256, bytes, extension, source_set. A class that is unknown, or of which there are no files, is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", r"^file:/+", "/")
-    relative = F.regexp_replace(path, rf"^.*?{root.rstrip('/').rsplit('/', 1)[-1]}/", "")
-    rows = files.select(relative.alias("path"), "content", "length").where(text.is_image(F.col("path")))
+    rows = files.select(below(F.col("path"), root).alias("path"), "content", "length").where(text.is_image(F.col("path")))
     parts = F.split("path", "/")
+    cls = text.checked_class(F.get(parts, F.lit(0)), classes)
+    there = {r[0] for r in rows.select(text.class_name(F.get(parts, F.lit(0))).alias("c")).distinct().limit(len(classes) + 1).collect()}
+    if missing := sorted(set(classes) - there):
+        raise ValueError(f"no files of class {', '.join(missing)}") if there <= set(classes) else ValueError(f"unknown class: {', '.join(sorted(there - set(classes)))}")
     sub = F.when(F.size(parts) > 2, F.element_at(parts, 2)).otherwise(text.subtype(F.regexp_replace(text.file_name(F.col("path")), r"\.[^.]+$", "")))
-    return rows.select(text.stable_id(F.col("path")).alias("source_id"), "path", text.checked_class(F.get(parts, F.lit(0)), classes).alias("class"), sub.alias("subtype"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), text.suffix(F.col("path")).alias("extension"), F.lit(source_set).alias("source_set"))
+    return rows.select(text.stable_id(F.col("path")).alias("source_id"), "path", cls.alias("class"), sub.alias("subtype"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), text.suffix(F.col("path")).alias("extension"), F.lit(source_set).alias("source_set"))
 
 
-def with_image_size(manifest: DataFrame, images: DataFrame) -> DataFrame:
-    """manifest with readable, width and height from an image scan (image.origin, which ends with the path); unreadable is 0 by 0."""
-    sizes = images.select(F.regexp_replace("image.origin", r"^file:/+", "/").alias("_origin"), "image.width", "image.height")
-    met = manifest.join(sizes, F.col("_origin").endswith(F.col("path")), "left")
+def with_image_size(manifest: DataFrame, images: DataFrame, root: str) -> DataFrame:
+    """manifest (path below root) with readable, width and height from an image scan of root; unreadable is 0 by 0."""
+    origin = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))  # an image's origin is an encoded URI, a path is not
+    sizes = images.select(below(origin, root).alias("_path"), "image.width", "image.height")
+    met = manifest.join(sizes, F.col("path") == F.col("_path"), "left")
     ok = F.coalesce(F.col("height") > 0, F.lit(False))
     return met.select(*manifest.columns, ok.alias("readable"), F.when(ok, F.col("width")).otherwise(0).alias("width"), F.when(ok, F.col("height")).otherwise(0).alias("height"))
 
 
-def inventory(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:
-    """expected (path) with exists, bytes and sha256 of what is under root."""
+def outputs(spark: SparkSession, root: str) -> DataFrame:
+    """The files under root in order of path: path, bytes, modified, sha256."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    there = files.select(F.regexp_replace("path", rf"^.*?{root.rstrip('/').rsplit('/', 1)[-1]}/", "").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return expected.select("path").distinct().join(there, "path", "left").withColumn("exists", F.col("sha256").isNotNull())
+    return files.select(below(F.col("path"), root).alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256")).orderBy("path")
+
+
+def inventory(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:
+    """expected (path), each once and in order, with exists, bytes, modified and sha256 of what is under root."""
+    met = expected.select("path").distinct().join(outputs(spark, root), "path", "left")
+    return met.withColumn("exists", F.col("sha256").isNotNull()).orderBy("path")
 
 
 def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -45,11 +63,45 @@ def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     return spark.read.csv(path, header=True, schema=", ".join(f"`{c}` string" for c in columns)).fillna("")
 
 
-def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
+def write_table(df: DataFrame, path: str, form: str = "parquet", digits: int | None = None) -> None:
+    """Overwrites path. With digits, a CSV's doubles have so many significant ones."""
+    if form == "csv" and digits:
+        shown = {f.name: text.significant(F.col(f"`{f.name}`"), digits) for f in df.schema if f.dataType.simpleString() in ("double", "float")}
+        df = df.withColumns(shown)
     writer = df.write.mode("overwrite")
     writer.csv(path, header=True) if form == "csv" else writer.parquet(path)
 
 
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON document as a row, or a list of them as rows."""
+    return spark.read.json(path, multiLine=True)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Overwrites path with a JSON object a row."""
+    df.write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+def markdown(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
+    """A Markdown table of at most `most` rows (more is an error): doubles with `digits` decimals, nulls empty."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows are no table to read")
+    shown = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [df.columns, ["---"] * len(df.columns), *([shown(v) for v in r] for r in rows)]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def cached(spark: SparkSession, top: str, key: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of a key under top: read if it was written whole, else made and written. top must be a folder that all machines share."""
+    path = f"{top.rstrip('/')}/{hashlib.sha256(json.dumps(key, sort_keys=True).encode()).hexdigest()[:24]}"
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def complete_parts(spark: SparkSession, pattern: str, schema: str, key: str, wanted: list) -> DataFrame:
     """The union of the CSV files that match; an error unless `key` takes just the wanted values."""
     parts = spark.read.csv(pattern, header=True, schema=schema)
@@ -91,7 +143,7 @@ def upload_problem(size: Column, width: Column, height: Column) -> Column:
     return (
         F.when(size == 0, "empty")
         .when(size > MOST_BYTES, "too large")
-        .when(F.coalesce(width, height, F.lit(0)) <= 0, "unreadable")
+        .when((F.coalesce(width, F.lit(0)) <= 0) | (F.coalesce(height, F.lit(0)) <= 0), "unreadable")
         .when(F.least(width, height) < LEAST_SIDE, "too small")
         .when(width.cast("long") * height > MOST_PIXELS, "too many pixels")
     )
