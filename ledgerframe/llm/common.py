@@ -18,6 +18,10 @@ BATCH_ROWS = 500
 BROADCAST_ROWS = 400_000
 
 
+#: Tables that this session has written for its steps.
+_WRITTEN: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,9 +55,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, for wide rows that later steps read by column."""
     path = f"{shared_dir(df.sparkSession)}/ledgerframe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that written() made in this session, and says how many: for a caller who has stored what it read from them."""
+    gone = 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if it has at most `most` rows; otherwise left to a shuffle join. df must be cheap to count."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

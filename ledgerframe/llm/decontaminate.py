@@ -10,7 +10,8 @@ chosen, by enumeration, so that each such run has a hit wherever its substitutio
 Null and empty texts have no tokens and no leaks. Items of fewer than LEAST tokens are too short to
 tell and match nothing; those shorter than WINDOW have masks by their length. Repeated rows of a
 document or an item are one. A document is told by doc_id and text, so null or repeated ids don't
-mix texts. Extra columns are not read.
+mix texts. Very long texts are read whole, a row a word in turn. Of several windows with the same overlap the first in the
+document is the best. Extra columns are not read; an empty table of documents or items gives no leaks.
 """
 
 from __future__ import annotations

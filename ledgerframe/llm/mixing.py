@@ -6,7 +6,8 @@ document's place in its source's stream gives the document's training position,
 
 Null texts have size 0; a null source is a source of its own, last in order; rows of size 0 are taken
 0 times and have no position. Repeated rows each count. An empty table gives an empty result. Ties of
-the stream order (the hash of doc_id) go by doc_id and size; rows alike in both are interchangeable.
+the stream order (the hash of doc_id) go by doc_id and size; rows alike in both are interchangeable. A very long text
+counts with all its words. Extra columns are not read (with_texts() adds those that mix() has no column of that name for).
 """
 
 from __future__ import annotations

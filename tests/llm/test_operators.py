@@ -750,6 +750,34 @@ def test_mixing_keeps_texts_and_clashing_columns(spark):
     assert all(isinstance(r.target, float) for r in got.collect())
 
 
+CASES = {
+    "quality": lambda d, s: quality.judged(d, s.createDataFrame([(1, 1), (3, 0), (5, 0), (6, 1)], "doc_id long, quality int")),
+    "fingerprints": lambda d, s: fingerprints.digests(d),
+    "secrets": lambda d, s: secrets.secret_spans(d),
+    "jaccard": lambda d, s: jaccard.near_duplicates(d),
+    "lm": lambda d, s: lm.scored(d),
+    "decontaminate": lambda d, s: decontaminate.leaks(d, s.createDataFrame([(1, "plain words here and there")], "item_id long, text string")).drop("_key"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_clashing_columns_change_nothing(spark, odd, name):
+    bare = odd.select("doc_id", "text")
+    columns = ("score", "predicted", "fingerprint", "class_id", "n_chars", "spans", "sid", "n", "unit", "chunk", "body", "tokens", "words", "at", "seed", "tie", "bucket", "held_out", "_key", "kind")
+    wide = bare.select("*", *(F.lit("clash").alias(c) for c in columns))
+    got, want = (CASES[name](d, spark) for d in (wide, bare))
+    assert got.columns == want.columns and rows(got, *got.columns) == rows(want, *want.columns)
+    assert want.count() == (len(ODD) if name != "decontaminate" else 2)  # repeated rows of a document are one
+    assert CASES[name](bare.limit(0), spark).count() == 0
+
+
+def test_written_tables_can_be_forgotten(spark):
+    from ledgerframe.llm import common
+
+    df = common.written(spark.range(3), "test")
+    assert df.count() == 3 and common.forget(spark) >= 1 and common.forget(spark) == 0
+
+
 def test_pipeline_keeps_its_stages_promises(spark):
     import corpus_pipeline
 
