@@ -37,10 +37,17 @@ def grouped_folds(df: DataFrame, group: str, label: str, k: int, seed: int) -> D
     return numbered(major, ["stratum"], seed, group).select(group, "stratum", F.pmod("_i", F.lit(k)).cast("int").alias("fold"))
 
 
+def _first(df: DataFrame, keys: list[str], order: list[str | Column], cut: Column, n: Column) -> DataFrame:
+    """The first n rows of each key by `order`. A key may hold most rows: first the n of each of its cuts are taken, which are many tasks, then of these."""
+    inner = Window.partitionBy(*keys, "_cut").orderBy(*order)
+    kept = df.withColumn("_cut", cut).withColumn("_rn", F.row_number().over(inner)).where(F.col("_rn") <= n)
+    return kept.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn", "_cut")
+
+
 def sample_per(df: DataFrame, keys: list[str], item: str, n: int | str, seed: int) -> DataFrame:
     """The first n rows of each key in hash order; n may be a column."""
-    w = Window.partitionBy(*keys).orderBy(draw_key(seed, item), item)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= (F.col(n) if isinstance(n, str) else F.lit(n))).drop("_rn")
+    hashed = df.withColumn("_h", draw_key(seed, item))
+    return _first(hashed, keys, ["_h", item], F.substring("_h", 1, 2), F.col(n) if isinstance(n, str) else F.lit(n)).drop("_h")
 
 
 def down_sampled(df: DataFrame, label: str, item: str, seed: int) -> DataFrame:
@@ -64,10 +71,11 @@ def balanced_match(df: DataFrame, stratum: list[str], label: str, item: str) ->
 
 def diverse(df: DataFrame, cls: str, subtype: str, item: str, n: int, seed: int) -> DataFrame:
     """n rows of each class: one of each subtype first, then others, in hash order."""
-    inner = Window.partitionBy(cls, subtype).orderBy(draw_key(seed, item), item)
-    df = df.withColumn("_first", (F.row_number().over(inner) > 1).cast("int"))
-    outer = Window.partitionBy(cls).orderBy("_first", draw_key(seed, item), item)
-    return df.withColumn("_rn", F.row_number().over(outer)).where(F.col("_rn") <= n).drop("_first", "_rn")
+    hashed = df.withColumn("_h", draw_key(seed, item)).withColumn("_at", F.struct("_h", item))
+    least = hashed.groupBy(F.col(cls).alias("_c"), F.col(subtype).alias("_s")).agg(F.min("_at").alias("_least"))
+    met = hashed.join(least, F.col(cls).eqNullSafe(F.col("_c")) & F.col(subtype).eqNullSafe(F.col("_s"))).withColumn("_later", (F.col("_at") != F.col("_least")).cast("int"))
+    out = _first(met, [cls], ["_later", "_h", item], F.concat(F.col("_later").cast("string"), F.substring("_h", 1, 2)), F.lit(n))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def top_up(df: DataFrame, cls: str, item: str, target: int, seed: int, transforms: int = 9) -> DataFrame:
