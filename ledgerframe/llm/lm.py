@@ -492,7 +492,8 @@ class Lookup:
             at[left] = (at[left] + 1) % size
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
-        return (kernels.mixed(keys.view(np.uint64)) >> self.shift).astype(np.int64)
+        # not the hash that buckets are cut by: a bucket's keys have its first bits in common
+        return ((keys.view(np.uint64) * kernels.ODD ^ (keys.view(np.uint64) >> np.uint64(17))) * np.uint64(0xD6E8FEB86659FD93) >> self.shift).astype(np.int64)
 
     def __getitem__(self, keys: np.ndarray) -> np.ndarray:
         at = self._place(keys)

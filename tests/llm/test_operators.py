@@ -532,6 +532,18 @@ def test_lm_tells_texts_that_occur_twice(spark):
     assert len(twice) > 20 and np.mean(np.array(twice) > np.quantile(once, 0.9)) > 0.75
 
 
+def test_lookup_spreads_the_keys_of_a_bucket():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 400_000))
+    spread = kernels.mixed(keys.view(np.uint64)) >> np.uint64(59)
+    for mine in (keys[spread == 3], keys[:0], keys):
+        table = lm.Lookup(mine, mine.astype(np.float64))
+        assert (table[mine] == mine).all()
+        # few keys are far from their place
+        assert not len(mine) or (table.keys[table._place(mine)] == mine).mean() > 0.6
+    with pytest.raises(KeyError):
+        lm.Lookup(keys[:10], keys[:10])[keys[10:20]]
+
+
 def test_packed_arrays_come_back():
     rng = np.random.default_rng(2)
     keys, n = np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)), rng.integers(0, 1 << 31, 1000).astype(np.uint32)
