@@ -98,3 +98,16 @@ def condition_key(*parts: Column, between: str = "+") -> Column:
 
 def condition_parts(c: Column, between: str = "+") -> Column:
     return F.split(c, "\\" + between if len(between) == 1 else between)
+
+
+def map_cell(pairs: Column, key: str, value: str) -> Column:
+    """A JSON object of an array of structs of a key and a value, both numbers, in order of the keys."""
+    shown = F.transform(F.sort_array(pairs), lambda p: F.concat(F.lit('"'), p[key].cast("string"), F.lit('":'), p[value].cast("string")))
+    return F.concat(F.lit("{"), F.array_join(shown, ","), F.lit("}"))
+
+
+def map_sums(cell: Column) -> tuple[Column, Column]:
+    """Of such an object the sum of its values and that of keys times values."""
+    pairs = F.map_entries(F.from_json(cell, "map<string,bigint>"))
+    add = lambda f: F.aggregate(pairs, F.lit(0).cast("long"), lambda a, p: a + f(p))
+    return add(lambda p: p["value"]), add(lambda p: p["key"].cast("long") * p["value"])

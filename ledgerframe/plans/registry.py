@@ -68,6 +68,7 @@ _SQL_METRICS = {
     "recall_positive": _D("tp", "tp + fn"),
     "recall_negative": _D("tn", "tn + fp"),
 }
+F1 = _SQL_METRICS["f1_macro"]
 _SQL_ALL = ", ".join(f"round({v}, 12) AS {k}" for k, v in _SQL_METRICS.items())
 
 
@@ -336,17 +337,17 @@ def _drawn(r: str, c: str, j: str, n: str) -> str:
     return made
 
 
-_CELLS = f"""{PRED}, sizes AS (SELECT label, count(*) AS n, [{', '.join(f'count(*) FILTER (WHERE predicted * 2 + predicted_b < {k})' for k in (1, 2, 3, 4))}] AS cut FROM p GROUP BY label),
+CELLS = f"""{PRED}, sizes AS (SELECT label, count(*) AS n, [{', '.join(f'count(*) FILTER (WHERE predicted * 2 + predicted_b < {k})' for k in (1, 2, 3, 4))}] AS cut FROM p GROUP BY label),
 slots AS (SELECT label, n, cut, r.replicate, unnest(range(0, n)) AS slot FROM sizes CROSS JOIN (SELECT unnest(range(0, {REPLICATES})) AS replicate) r),
 drawn AS ({_drawn('replicate', 'label', 'slot', 'n')}),
 cells AS (SELECT replicate, label, count(*) FILTER (WHERE x < cut[1]) AS n00, count(*) FILTER (WHERE x >= cut[1] AND x < cut[2]) AS n01, count(*) FILTER (WHERE x >= cut[2] AND x < cut[3]) AS n10, count(*) FILTER (WHERE x >= cut[3]) AS n11 FROM drawn GROUP BY ALL),
 c AS (SELECT 'a' AS model, replicate, coalesce(sum(n10 + n11) FILTER (WHERE label = 1), 0)::BIGINT AS tp, coalesce(sum(n00 + n01) FILTER (WHERE label = 1), 0)::BIGINT AS fn, coalesce(sum(n00 + n01) FILTER (WHERE label = 0), 0)::BIGINT AS tn, coalesce(sum(n10 + n11) FILTER (WHERE label = 0), 0)::BIGINT AS fp FROM cells GROUP BY replicate
 UNION ALL SELECT 'b', replicate, coalesce(sum(n01 + n11) FILTER (WHERE label = 1), 0)::BIGINT, coalesce(sum(n00 + n10) FILTER (WHERE label = 1), 0)::BIGINT, coalesce(sum(n00 + n10) FILTER (WHERE label = 0), 0)::BIGINT, coalesce(sum(n01 + n11) FILTER (WHERE label = 0), 0)::BIGINT FROM cells GROUP BY replicate),
 mt AS (SELECT model, replicate, {', '.join(f'{v} AS {k}' for k, v in _SQL_METRICS.items() if k in INTERVALS)} FROM c)"""
-_LONG = " UNION ALL ".join(f"SELECT model, replicate, '{k}' AS metric, {k} AS v FROM mt" for k in INTERVALS)
+LONG = " UNION ALL ".join(f"SELECT model, replicate, '{k}' AS metric, {k} AS v FROM mt" for k in INTERVALS)
 
 
-def _replicates(t):
+def replicates(t):
     """Metrics of both predictors over the replicates: a row for each model and replicate."""
     drawn = sampling.bootstrap_cells(predictions(t).select("label", "predicted", "predicted_b"), "label", ["predicted", "predicted_b"], REPLICATES)
     long = drawn.select("replicate", "label", "n", F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.col(c).alias("predicted")) for m, c in (("a", "predicted"), ("b", "predicted_b"))))))
@@ -357,15 +358,15 @@ def _by_metric(df: DataFrame) -> DataFrame:
     return df.select("model", "replicate", F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).alias("v")) for k in INTERVALS))))
 
 
-@query(f"WITH {_CELLS}, lg AS ({_LONG}) SELECT model, metric, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, round(avg(v), 9) AS mean, count(*) AS replicates FROM lg GROUP BY model, metric")
+@query(f"WITH {CELLS}, lg AS ({LONG}) SELECT model, metric, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, round(avg(v), 9) AS mean, count(*) AS replicates FROM lg GROUP BY model, metric")
 def m20_bootstrap_intervals(t):
     at = lambda q: F.round(F.percentile("v", q), 9)
-    return _by_metric(_replicates(t)).groupBy("model", "metric").agg(at(0.025).alias("low"), at(0.975).alias("high"), F.round(F.avg("v"), 9).alias("mean"), F.count("*").alias("replicates"))
+    return _by_metric(replicates(t)).groupBy("model", "metric").agg(at(0.025).alias("low"), at(0.975).alias("high"), F.round(F.avg("v"), 9).alias("mean"), F.count("*").alias("replicates"))
 
 
-@query(f"WITH {_CELLS}, lg AS ({_LONG}), d AS (SELECT a.metric, b.v - a.v AS x FROM lg a JOIN lg b ON a.replicate = b.replicate AND a.metric = b.metric AND a.model = 'a' AND b.model = 'b') SELECT metric, round(avg(x), 9) AS mean, round(quantile_cont(x, 0.025), 9) AS low, round(quantile_cont(x, 0.975), 9) AS high, count(*) FILTER (WHERE x > 0) AS above FROM d GROUP BY metric")
+@query(f"WITH {CELLS}, lg AS ({LONG}), d AS (SELECT a.metric, b.v - a.v AS x FROM lg a JOIN lg b ON a.replicate = b.replicate AND a.metric = b.metric AND a.model = 'a' AND b.model = 'b') SELECT metric, round(avg(x), 9) AS mean, round(quantile_cont(x, 0.025), 9) AS low, round(quantile_cont(x, 0.975), 9) AS high, count(*) FILTER (WHERE x > 0) AS above FROM d GROUP BY metric")
 def m21_paired_bootstrap(t):
-    both = _by_metric(_replicates(t)).groupBy("metric", "replicate").agg((F.max(F.when(F.col("model") == "b", F.col("v"))) - F.max(F.when(F.col("model") == "a", F.col("v")))).alias("x"))
+    both = _by_metric(replicates(t)).groupBy("metric", "replicate").agg((F.max(F.when(F.col("model") == "b", F.col("v"))) - F.max(F.when(F.col("model") == "a", F.col("v")))).alias("x"))
     x = F.col("x")
     return both.groupBy("metric").agg(F.round(F.avg(x), 9).alias("mean"), F.round(F.percentile(x, 0.025), 9).alias("low"), F.round(F.percentile(x, 0.975), 9).alias("high"), F.count_if(x > 0).alias("above"))
 

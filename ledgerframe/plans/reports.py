@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerframe.functions import text as text_functions
-from ledgerframe.operators import compare, graph, images, joins, sampling, similarity
-from ledgerframe.plans.registry import FOLDED, MOST, TWO, both, candidate_pairs, query
+from ledgerframe.operators import compare, dedupe, graph, images, joins, metrics, sampling, similarity
+from ledgerframe.plans.registry import CELLS, F1, FOLDED, LONG, MOST, PRED, TWO, both, candidate_pairs, predictions, query, replicates
 
 PIXELS = """im AS (SELECT vec_id, [coalesce(floor(255.0::DOUBLE * (v::DOUBLE - list_min(embedding)::DOUBLE) / nullif(list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE, 0))::INTEGER, 0) FOR v IN embedding] AS g FROM embeddings),
 px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, g[i + 1] AS v FROM im, (SELECT unnest(range(0, 64)) AS i))"""
@@ -172,3 +172,70 @@ both("w12_average_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey
 both("w10_last_name_wins", f"SELECT d, max(event_type) AS event_type FROM (SELECT d, event_type, rank() OVER (PARTITION BY d ORDER BY v DESC) AS r FROM ({_DAYS}) a) b WHERE r = 1 GROUP BY d", "events")
 both("p19_stratum", "SELECT p_partkey, concat_ws('|', p_brand, CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'medium' ELSE 'large' END, CASE WHEN p_retailprice <= 1000 THEN 'low' WHEN p_retailprice <= 1500 THEN 'middle' ELSE 'high' END) AS stratum FROM [part]", "part")
 both("p29_renumbered", "SELECT p.p_partkey, m.number FROM [part] p JOIN (SELECT p_brand, row_number() OVER (ORDER BY first) AS number FROM (SELECT p_brand, min(p_partkey) AS first FROM [part] GROUP BY p_brand) f) m ON p.p_brand = m.p_brand", "part")
+
+
+@query("""WITH n AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality), r AS (SELECT quality, doc_id, row_number() OVER (PARTITION BY quality ORDER BY sha256('42:' || doc_id), doc_id) - 1 AS i FROM labels),
+s AS (SELECT quality, n, unnest(range(0, 6000 - n)) AS slot FROM n), d AS (SELECT CASE WHEN s.slot < 4000 - s.n THEN 'final' ELSE 'pool' END AS part, s.quality, r.doc_id, s.slot, (s.slot % 9)::INTEGER AS transform FROM s JOIN r ON r.quality = s.quality AND r.i = s.slot % s.n)
+SELECT part, quality, count(*) AS n, count(DISTINCT doc_id) AS sources, count(transform) AS derivatives, coalesce(max(slot), -1) AS last FROM (SELECT * FROM d UNION ALL SELECT 'final', quality, doc_id, NULL, NULL FROM labels) GROUP BY part, quality""")
+def m06_partitions(t):
+    made = sampling.partitions(t("labels").select("quality", "doc_id"), "quality", "doc_id", 4000, 2000, 42)
+    return made.groupBy("part", "quality").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("sources"), F.count("transform").alias("derivatives"), F.coalesce(F.max("slot"), F.lit(-1)).alias("last"))
+
+
+@query(f"""WITH {TWO}, d(left_id, right_id, decision) AS (SELECT left_id, right_id, CASE WHEN left_id % 2 = 0 THEN 'confirmed_near_duplicate' ELSE 'distinct' END FROM p2 WHERE median_bits <= {MOST} AND left_id % 3 = 0 AND left_id < 300)
+SELECT p.left_id, p.right_id, d.decision, CASE WHEN d.decision = 'confirmed_near_duplicate' THEN 'exclude' WHEN d.decision IS NOT NULL THEN 'retain_both' ELSE 'pending_visual_review' END AS action FROM p2 p LEFT JOIN d ON d.left_id = p.left_id AND d.right_id = p.right_id WHERE p.median_bits <= {MOST} OR p.difference_bits <= {MOST}""")
+def j20_composite_decision(t):
+    """Candidate pairs with a decision table that lists some of them by both members."""
+    pairs = candidate_pairs(t)
+    listed = pairs.where(f"median_bits <= {MOST} AND left_id % 3 = 0 AND left_id < 300").select("left_id", "right_id", F.when(F.col("left_id") % 2 == 0, dedupe.CONFIRMED).otherwise("distinct").alias("decision"))
+    return dedupe.decided(pairs.select("left_id", "right_id"), listed, ["left_id", "right_id"])
+
+
+@query(f"""WITH {CELLS}, lg AS ({LONG}), i AS (SELECT model, metric, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM lg WHERE metric = 'f1_macro' GROUP BY model, metric),
+o AS (SELECT 'a' AS model, label, predicted AS g FROM p UNION ALL SELECT 'b', label, predicted_b FROM p), k AS (SELECT model, count(*) FILTER (WHERE label = 1 AND g = 1) AS tp, count(*) FILTER (WHERE label = 1 AND g = 0) AS fn, count(*) FILTER (WHERE label = 0 AND g = 0) AS tn, count(*) FILTER (WHERE label = 0 AND g = 1) AS fp FROM o GROUP BY model)
+SELECT k.model, printf('%.3f', round({F1}, 9)) AS f1_text, printf('[%.3f, %.3f]', round(i.low, 9), round(i.high, 9)) AS interval_text FROM k JOIN i ON i.model = k.model""")
+def r03_audited_table(t):
+    """Macro-F1 of both predictors with its bootstrap interval, as shown."""
+    p = predictions(t)
+    long = p.select("label", F.inline(F.array(F.struct(F.lit("a").alias("model"), F.col("predicted").alias("predicted")), F.struct(F.lit("b").alias("model"), F.col("predicted_b").alias("predicted")))))
+    made = metrics.with_metrics(long.groupBy("model").agg(*metrics.counts()), 9).select("model", F.format_string("%.3f", "f1_macro").alias("f1_text"))
+    at = lambda q: F.round(F.percentile("f1_macro", q), 9)
+    spans = replicates(t).groupBy("model").agg(F.format_string("[%.3f, %.3f]", at(0.025), at(0.975)).alias("interval_text"))
+    return joins.left_one_to_one(made, spans, ["model"])
+
+
+@query(f"WITH {PRED}, a AS (SELECT lang, count(*) FILTER (WHERE label = predicted) / count(*)::DOUBLE AS v FROM p WHERE lang IS NOT NULL GROUP BY lang) SELECT 'accuracy' AS value, count(*) AS compared, 0::BIGINT AS unmatched, 0.0::DOUBLE AS largest, true AS within FROM a")
+def m24_reproduction(t):
+    """Accuracies by language from confusion counts against means over rows: the same to 1e-9."""
+    p = predictions(t).where("lang IS NOT NULL")
+    again = p.groupBy("lang").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
+    return joins.reconciled(metrics.evaluate(p, ["lang"]).select("lang", "accuracy"), again, ["lang"], ["accuracy"], 1e-9).withColumn("largest", F.round("largest", 9))
+
+
+@query("""WITH c AS (SELECT role, conv_id, count(*) AS n FROM conversations GROUP BY ALL), h AS (SELECT role, n, count(*) AS k FROM c GROUP BY ALL)
+SELECT role, '{' || string_agg('"' || n || '":' || k, ',' ORDER BY n) || '}' AS cell, sum(k)::BIGINT AS values_sum, sum(n * k)::BIGINT AS weighted_sum, sum(n * k) = (SELECT count(*) FROM conversations x WHERE x.role = h.role) AS agrees FROM h GROUP BY role""")
+def p34_map_cell(t):
+    """Histograms of turns a conversation as JSON maps, written in order of their keys, read back and held against the counts."""
+    rows = t("conversations")
+    hist = rows.groupBy("role", "conv_id").agg(F.count("*").alias("n")).groupBy("role", "n").agg(F.count("*").alias("k"))
+    cells = hist.groupBy("role").agg(text_functions.map_cell(F.collect_list(F.struct("n", "k")), "n", "k").alias("cell"))  # a pair for each distinct count
+    whole, weighted = text_functions.map_sums(F.col("cell"))
+    counts = rows.groupBy("role").agg(F.count("*").alias("_rows"))
+    return cells.select("role", "cell", whole.alias("values_sum"), weighted.alias("weighted_sum")).join(counts, "role").select("role", "cell", "values_sum", "weighted_sum", (F.col("weighted_sum") == F.col("_rows")).alias("agrees"))
+
+
+@query()
+def k13_diagnostics(t):
+    made = images.diagnostics(_pictures(t), "vec_id")
+    return made.select("vec_id", "level", F.round("light_share", 9).alias("light_share"), "shapes", F.sha2("spectrum.data", 256).alias("spectrum"))
+
+
+@query()
+def k25_resized(t):
+    made = images.resized(_pictures(t), "vec_id", side=4)
+    return made.select("vec_id", F.hex("image.data").alias("pixels"))
+
+
+@query()
+def s15_encoded(t):
+    return images.encoded(_pictures(t), "vec_id", side=64).select("vec_id", F.length("payload").alias("bytes"), "sha256")

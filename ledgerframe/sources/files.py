@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import logging
 import os
 import zipfile
 from collections.abc import Callable, Iterator
@@ -92,6 +93,32 @@ def markdown(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
 
 
+def write_report(spark: SparkSession, path: str, title: str, sections: list[tuple[str, DataFrame | str]], digits: int = 3) -> str:
+    """Overwrites path with a Markdown report of headed texts and tables (of at most 1,000 rows each), on any file system that Spark knows; gives its text."""
+    parts = [f"# {title}"]
+    for head, body in sections:
+        parts += [f"## {head}", body if isinstance(body, str) else markdown(body, digits)]
+    said = "\n\n".join(parts) + "\n"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(said.encode()))
+    finally:
+        out.close()
+    return said
+
+
+def tee_logger(name: str, path: str) -> logging.Logger:
+    """A logger of the driver that says each line on the screen and, with its time, in a file."""
+    logger = logging.getLogger(name)
+    logger.setLevel(logging.INFO)
+    for handler, form in ((logging.StreamHandler(), "%(message)s"), (logging.FileHandler(path, encoding="utf-8"), "%(asctime)s %(levelname)s %(message)s")):
+        handler.setFormatter(logging.Formatter(form))
+        logger.addHandler(handler)
+    return logger
+
+
 def cached(spark: SparkSession, top: str, key: dict, make: Callable[[], DataFrame]) -> DataFrame:
     """The table of a key under top: read if it was written whole, else made and written. top must be a folder that all machines share."""
     path = f"{top.rstrip('/')}/{hashlib.sha256(json.dumps(key, sort_keys=True).encode()).hexdigest()[:24]}"

@@ -122,3 +122,20 @@ def test_balanced_takes_derivatives_of_its_own_sources(spark):
         with pytest.raises(ValueError, match="rows asked for"):
             sampling.balanced(originals, pool, "y", "g", n, 1)
     assert expect.disjoint(originals.select("g"), pool.where("g > 'g9'").select("g"), "g").count() == 0
+
+
+def test_partitions_and_decisions(spark):
+    from ledgerframe.operators import dedupe
+
+    rows = spark.createDataFrame([(i % 2, i) for i in range(10)], "y int, k long")
+    got = sampling.partitions(rows, "y", "k", 8, 12, 1).toPandas()
+    assert got.groupby(["part", "y"]).size().to_dict() == {("final", 0): 8, ("final", 1): 8, ("pool", 0): 12, ("pool", 1): 12}
+    made = got[got["transform"].notna()]
+    assert not made.duplicated(["y", "k", "slot"]).any() and not made.duplicated(["y", "k", "transform"]).any()
+    with pytest.raises(ValueError, match="originals for 4 rows"):
+        sampling.partitions(rows, "y", "k", 4, 1, 1)
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a int, b int")
+    listed = spark.createDataFrame([(1, 2, dedupe.CONFIRMED), (2, 3, "distinct")], "a int, b int, decision string")
+    assert sorted(tuple(r)[::3] + (r["b"],) for r in dedupe.decided(pairs, listed, ["a", "b"]).collect()) == [(1, "exclude", 2), (1, "pending_visual_review", 3), (2, "retain_both", 3)]
+    with pytest.raises(ValueError, match="more than once"):
+        dedupe.decided(pairs, listed.unionAll(listed), ["a", "b"])

@@ -124,3 +124,12 @@ def test_upload_checks(spark):
     rows = spark.createDataFrame([("a", 0, 100, 100), ("b", 11 << 20, 100, 100), ("c", 10, 20, 100), ("d", 10, 9000, 9000), ("e", 10, 100, 100), ("f", 10, None, None), ("g", 10, 100, None), ("h", 10, None, 100)], "k string, bytes long, width int, height int")
     got = dict(rows.select("k", files.upload_problem(rows["bytes"], rows["width"], rows["height"])).collect())
     assert got == {"a": "empty", "b": "too large", "c": "too small", "d": "too many pixels", "e": None, "f": "unreadable", "g": "unreadable", "h": "unreadable"}
+
+
+def test_reports_and_loggers(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5)], "a int, x double")
+    said = files.write_report(spark, str(tmp_path / "r" / "report.md"), "Audit", [("Counts", df), ("Notes", "none")])
+    assert (tmp_path / "r" / "report.md").read_text() == said == "# Audit\n\n## Counts\n\n| a | x |\n| --- | --- |\n| 1 | 0.500 |\n\n## Notes\n\nnone\n"
+    log = files.tee_logger("ledgerframe-test", str(tmp_path / "log.txt"))
+    log.info("a line")
+    assert (tmp_path / "log.txt").read_text().endswith("INFO a line\n")
