@@ -3,8 +3,8 @@
 A text is its words (lower-case A-Z, split at ASCII white space) with one space between, then the end. States are
 contexts, in two ranks. A byte state is 0 to ORDER - 1 bytes; it has an arc for each byte seen after it, with the
 Witten-Bell probability, and a failure arc to its longest proper suffix, with the backoff weight. A word state is
-WORDS words that the training texts have, of every THINNED such runs the one that its hash names, with a word after
-them (with the space or end that follows it) that comes CUTOFF times or more; it has an arc for each such word, with the Witten-Bell probability of their counts, and a failure
+WORDS words that the training texts have, with a word after them (with the space or end that follows it) that comes
+CUTOFF times or more; it has an arc for each such word, with the Witten-Bell probability of their counts, and a failure
 arc, with the weight that is left, to the byte state, from which the word is read byte by byte. A word that comes after no
 word state is read so too. Probabilities of what may follow sum to 1 in each state; a text's score is the sum of log10
 probabilities along one traversal from left to right.
@@ -42,20 +42,21 @@ from ledgerframe.llm.common import groups, remainder, tune, written
 ORDER = 5
 END = 0xFF  # no byte of UTF-8
 SEGMENT = 256
-#: Words of a word state, how often a word after it must come, and one in how many runs of words, by hash, can be a state.
+#: Words of a word state, and how often a word after it must come.
 WORDS = 3
 CUTOFF = 2
-THINNED = 2
 #: Bits of hashes.
 CONTEXT_BITS, AFTER_BITS = 20, 24
 #: Bytes of text of a unit, about; a longer text is a unit alone.
-UNIT = 4_000_000
+UNIT = 3_000_000
 #: Bytes of a bucket's share of all texts, about, and the fewest and most buckets.
-BUCKET_BYTES, FEWEST, MOST = 16_000_000, 32, 65_536
+BUCKET_BYTES, FEWEST, MOST = 4_000_000, 32, 65_536
 #: Distinct runs or words that a task holds before it passes them on.
 HELD = 1_500_000
 #: Words whose bytes are worked on together; a longer text is worked on alone.
 PORTION = 100_000
+#: Texts that are compressed together.
+TOGETHER = 100
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -279,8 +280,8 @@ def _gaps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=keys[:1] * np.uint64(0))
 
 
-def word_grams(words: np.ndarray, begins: np.ndarray, bits: int, thinned: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the word hashes of texts: the place of each word that has WORDS before it in its text that can be a state, `bits` bits of the hash of these, and AFTER_BITS of its own, other ones if it is the last."""
+def word_grams(words: np.ndarray, begins: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the word hashes of texts: the place of each word that has WORDS before it in its text, `bits` bits of the hash of these, and AFTER_BITS of its own, other ones if it is the last."""
     n = len(words) - WORDS
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
@@ -289,7 +290,7 @@ def word_grams(words: np.ndarray, begins: np.ndarray, bits: int, thinned: int) -
         context = kernels.mixed(context) * kernels.ODD + words[j : n + j]
     context = kernels.mixed(context)
     owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    at = np.flatnonzero((owner[WORDS:] == owner[:-WORDS]) & (context % np.uint64(thinned) == 0)) + WORDS
+    at = np.flatnonzero((owner[WORDS:] == owner[:-WORDS])) + WORDS
     own = words.copy()
     own[begins[1:][np.diff(begins) > 0] - 1] ^= np.uint64(0x9E3779B97F4A7C15)
     return at, context[at - WORDS] >> np.uint64(64 - bits), (kernels.mixed(own[at]) >> np.uint64(64 - AFTER_BITS)).astype(np.uint32)
@@ -314,7 +315,7 @@ def _pairs(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.nda
 
 @dataclass
 class Unit:
-    """What a unit's texts are made of. docs: their words; train: which of them are learnt from; bits: of a context; thinned: as THINNED.
+    """What a unit's texts are made of. docs: their words; train: which of them are learnt from; bits: of a context.
 
     words, runs and contexts (with after) are distinct and sorted; *_n are their counts in training texts, *_at by place the number of the distinct one.
     """
@@ -322,7 +323,6 @@ class Unit:
     docs: list[list[bytes]]
     train: np.ndarray
     bits: int = 64
-    thinned: int = 1
 
     def __post_init__(self) -> None:
         joined = [b" ".join(x) for x in self.docs]
@@ -335,7 +335,7 @@ class Unit:
         learnt = np.repeat(self.train, np.diff(self.begins))
         self.words, self.words_at = np.unique(hashes, return_inverse=True)
         self.words_n = np.bincount(self.words_at[learnt], minlength=len(self.words))
-        self.grams_place, context, after = word_grams(hashes, self.begins, self.bits, self.thinned)
+        self.grams_place, context, after = word_grams(hashes, self.begins, self.bits)
         self.contexts, self.after, self.grams_n, self.grams_at = _pairs(context, after, learnt[self.grams_place].astype(float))
 
 
@@ -360,15 +360,18 @@ def _docs_of(rows: list[pa.RecordBatch]) -> tuple[list[list[bytes]], np.ndarray]
     return [words_of(t) for t in texts], ~np.array([h for b in rows for h in b.column(1).to_pylist()], bool)
 
 
+#: The kind of rows that have a bucket's sums of byte runs.
+SUMMED = 3
 SENT = "kind int, bucket int, unit long, body binary"
 
 
-def sent(chunked: DataFrame, bits: int, context_bits: int, most: int, thinned: int) -> DataFrame:
-    """What units send: kind (0: words, 1: word runs), bucket, unit and body, the bucket's part of the unit's keys and counts."""
+def sent(chunked: DataFrame, bits: int, context_bits: int, most: int) -> DataFrame:
+    """What units send: kind (0: words, 1: word runs, 2: byte runs), bucket, unit and body, the bucket's part of the unit's keys and counts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, number, rows in _units(batches, most):
-            unit = Unit(*_docs_of(rows), context_bits, thinned)
+            docs, train = _docs_of(rows)
+            unit = Unit(docs, train, context_bits)
             out: list[tuple[int, int, bytes]] = []
             for kind, keys, wide in ((0, unit.words, 64), (1, unit.contexts, context_bits)):
                 cuts = _bucket_cuts(keys, bits, wide)
@@ -379,6 +382,11 @@ def sent(chunked: DataFrame, bits: int, context_bits: int, most: int, thinned: i
                     else:
                         body = pack(_gaps(keys[i:j]), unit.after[i:j], unit.grams_n[i:j].astype(np.uint32))
                     out.append((kind, int(k), body))
+            keys, n = byte_runs(docs, train)
+            spread = kernels.mixed(keys.view(np.uint64))
+            order = np.argsort(spread)
+            keys, n, cuts = keys[order].view(np.uint64), n[order].astype(np.uint32), _bucket_cuts(spread[order], bits)
+            out += [(2, int(k), pack(keys[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]])) for k in np.flatnonzero(np.diff(cuts))]
             own = unit_number(chunk, number)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([own] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["kind", "bucket", "unit", "body"])
 
@@ -413,52 +421,47 @@ def _summed_grams(bodies: list[bytes]) -> list[bytes]:
 
 
 def answered(rows: DataFrame) -> DataFrame:
-    """Of sent() rows, what goes back to units: unit, kind, bucket and body, with distinct and total of a bucket's words, once a bucket."""
+    """Of sent() rows, what goes back to units: unit, kind, bucket and body, with distinct and total of a bucket's words, once a bucket.
+    Byte runs stay as they were sent; a row of kind SUMMED has a bucket's sums of them."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, bucket), group in groups(batches, ["kind", "bucket"]):
             bodies = group["body"].to_pylist()
             distinct = total = 0
+            units, kinds = group["unit"].to_pylist(), [kind] * len(bodies)
             if kind == 0:
                 made, distinct, total = _summed_words(bodies)
-            else:
+            elif kind == 1:
                 made = _summed_grams(bodies)
+            else:  # these wait for all counts
+                made, units, kinds = [*bodies, _summed_runs(bodies)], [*units, None], [*kinds, SUMMED]
             n = len(made)
             stats = lambda v: pa.array([v] + [0] * (n - 1), pa.int64())
-            yield pa.RecordBatch.from_arrays([group["unit"].combine_chunks(), pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(made, pa.binary()), stats(distinct), stats(total)], ["unit", "kind", "bucket", "body", "distinct", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(kinds, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(made, pa.binary()), stats(distinct), stats(total)], ["unit", "kind", "bucket", "body", "distinct", "total"])
 
     return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "unit").mapInArrow(task, "unit long, kind int, bucket int, body binary, distinct long, total long")
 
 
-def sent_runs(chunked: DataFrame, bits: int, most: int) -> DataFrame:
-    """Of units, their distinct byte runs and counts in training texts: bucket, unit and body."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, number, rows in _units(batches, most):
-            keys, n = byte_runs(*_docs_of(rows))
-            spread = kernels.mixed(keys.view(np.uint64))
-            order = np.argsort(spread)
-            keys, n, cuts = keys[order].view(np.uint64), n[order].astype(np.uint32), _bucket_cuts(spread[order], bits)
-            there = np.flatnonzero(np.diff(cuts))
-            bodies = [pack(keys[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]]) for k in there]
-            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([unit_number(chunk, number)] * len(there), pa.int64()), pa.array(bodies, pa.binary())], ["bucket", "unit", "body"])
-
-    return chunked.mapInArrow(task, "bucket int, unit long, body binary")
+def _summed_runs(bodies: list[bytes]) -> bytes:
+    """The distinct byte runs that units sent, and their counts in all training texts."""
+    keys, n = _merged([(k.view(np.int64), m) for k, m in (unpack(x, np.uint64, np.uint32) for x in bodies)])
+    return pack(keys, n)
 
 
-def summed_runs(rows: DataFrame) -> DataFrame:
-    """Of sent_runs() rows: bucket, run, n, each run once."""
+def run_counts(back: DataFrame) -> DataFrame:
+    """Of answered() rows: bucket, run, n, each byte run once."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket,), group in groups(batches, ["bucket"]):
-            keys, n = _merged([(k.view(np.int64), m) for k, m in (unpack(x, np.uint64, np.uint32) for x in group["body"].to_pylist())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), bucket, np.int32)), pa.array(keys), pa.array(n)], ["bucket", "run", "n"])
+        for b in batches:
+            for bucket, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys, n = unpack(body, np.int64, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), bucket, np.int32)), pa.array(keys), pa.array(n)], ["bucket", "run", "n"])
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, "bucket int, run long, n long")
+    return back.where(f"kind = {SUMMED}").select("bucket", "body").mapInArrow(task, "bucket int, run long, n long")
 
 
 def answered_runs(rows: DataFrame, logs: DataFrame) -> DataFrame:
-    """Of sent_runs() rows and logs (bucket, run, log): unit, bucket and body, the unit's runs with their logs."""
+    """Of byte runs that units sent (bucket, unit, body) and logs (bucket, run, log): unit, bucket and body, the unit's runs with their logs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), group in groups(batches, ["bucket"]):
@@ -531,8 +534,9 @@ def _texts(chunked: DataFrame, most: int) -> DataFrame:
     kind = to_arrow_type(chunked.schema["doc_id"].dataType)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=5)
+        press = zstandard.ZstdCompressor(level=3)
         for chunk, number, rows in _units(batches, most):
+            rows = [b.slice(i, TOGETHER) for b in rows for i in range(0, b.num_rows, TOGETHER)]
             bodies = [press.compress(b"\n".join(b" ".join(words_of(t)) for t in b.column(2).to_pylist())) for b in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([unit_number(chunk, number)] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array([b.column(3).to_pylist() for b in rows], pa.list_(kind)), pa.array([b.column(1).to_pylist() for b in rows], pa.list_(pa.bool_())), pa.array(bodies, pa.binary())],
@@ -562,7 +566,7 @@ def word_logs(unit: Unit, logs: np.ndarray, last: np.ndarray, owner: np.ndarray,
     return np.bincount(of, steps, len(unit.docs))
 
 
-def scored(docs: DataFrame, *, unit: int = UNIT, thinned: int = THINNED) -> DataFrame:
+def scored(docs: DataFrame, *, unit: int = UNIT) -> DataFrame:
     """The contract's rows for documents (doc_id, text)."""
     tune(docs.sparkSession)
     chunked = _chunked(docs)
@@ -570,11 +574,10 @@ def scored(docs: DataFrame, *, unit: int = UNIT, thinned: int = THINNED) -> Data
     bits = int(np.clip(size[0] // BUCKET_BYTES, FEWEST, MOST)).bit_length() - 1
     ends = size[1]
     context_bits = min(64, CONTEXT_BITS + int(size[0]).bit_length())
-    back = written(answered(sent(chunked, bits, context_bits, unit, thinned)), "sums")
+    back = written(answered(sent(chunked, bits, context_bits, unit)), "sums")
     known = back.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).head()
     n, v = known["n"] + ends, known["v"] + (ends > 0)
-    asked = written(sent_runs(chunked, bits, unit), "runs")
-    counted = written(summed_runs(asked), "run-counts")
+    asked, counted = back.where("kind = 2").select("bucket", "unit", "body"), run_counts(back)
     logs = run_logs(counted.select("run", "n")).join(counted.select("run", "bucket"), "run")
     id_type = chunked.schema["doc_id"].dataType
     blank = {"kind": "int", "bucket": "int", "body": "binary", "doc_id": f"array<{id_type.simpleString()}>", "held_out": "array<boolean>"}
@@ -583,7 +586,7 @@ def scored(docs: DataFrame, *, unit: int = UNIT, thinned: int = THINNED) -> Data
         df = df if kind is None else df.withColumn("kind", F.lit(kind))
         return df.select("unit", *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in blank.items()))
 
-    rows = shaped(back).unionByName(shaped(answered_runs(asked, logs), 2)).unionByName(shaped(_texts(chunked, unit), 3))
+    rows = shaped(back.where("kind < 2")).unionByName(shaped(answered_runs(asked, logs), 2)).unionByName(shaped(_texts(chunked, unit), 3))
     rows = rows.repartition("unit").sortWithinPartitions("unit", "kind", "bucket")
     norm = float(np.log10(n + v + 1))
 
@@ -596,7 +599,7 @@ def scored(docs: DataFrame, *, unit: int = UNIT, thinned: int = THINNED) -> Data
             texts = [t.split() for x in part[3]["body"].to_pylist() for t in unpress.decompress(x).split(b"\n")]
             held_out = np.array([h for x in part[3]["held_out"].to_pylist() for h in x], bool)
             ids = [d for x in part[3]["doc_id"].to_pylist() for d in x]
-            mine = Unit(texts, ~held_out, context_bits, thinned)
+            mine = Unit(texts, ~held_out, context_bits)
             totals = np.concatenate([np.zeros(0, np.uint64), *(unpack(x, np.uint64)[0] for x in part[0]["body"].to_pylist())])
             found = [unpack(x, np.uint64, np.uint64, np.uint32) for x in part[1]["body"].to_pylist()]
             sums = np.stack([np.concatenate([np.zeros(0, np.uint64), *(x[k].astype(np.uint64) for x in found)]) for k in range(3)])
