@@ -42,12 +42,6 @@ def m28_hash_candidates(t):
     return similarity.either_pairs(made, "vec_id", "phash", "dhash", 16)
 
 
-@query()
-def k12_six_features(t):
-    made = images.features(_pictures(t), "vec_id")
-    return made.select("vec_id", *(F.round(c, 6).alias(c) for c in made.columns[1:]))
-
-
 @query()
 def k14_augmentations(t):
     made = images.augmentations(_pictures(t), "vec_id", originals=True)
