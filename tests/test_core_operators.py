@@ -55,8 +55,9 @@ def test_contrasts_need_their_counterparts(spark):
         compare.paired(rows.where("NOT (a = 1 AND b = 1)"), "a", 0, 1, ["b"], "v").collect()
 
 
-@pytest.mark.parametrize("most", [0, 2, 5, 10, 15, 20])
-def test_hamming_pairs_are_all_pairs(spark, most):
+@pytest.mark.parametrize(("most", "few"), [(0, 0), (2, 0), (5, 0), (10, 0), (15, 0), (20, 0), (10, 1000)])
+def test_hamming_pairs_are_all_pairs(spark, monkeypatch, most, few):
+    monkeypatch.setattr(similarity, "FEW", few)
     rng = np.random.default_rng(most)
     bits = rng.integers(-(1 << 63), 1 << 63, 40, dtype=np.int64).tolist()
     bits += [int(np.int64(b) ^ np.int64(sum(1 << int(k) for k in rng.choice(63, int(rng.integers(0, 22)), replace=False)))) for b in bits for _ in range(2)]
