@@ -87,17 +87,18 @@ def top_up(df: DataFrame, cls: str, item: str, target: int, seed: int, transform
     return slots.join(ranked, [cls, "_i"]).select(cls, item, "slot", F.pmod("slot", F.lit(transforms)).alias("transform"))
 
 
-def partitions(df: DataFrame, cls: str, item: str, final: int, pool: int, seed: int, transforms: int = 9) -> DataFrame:
+def partitions(df: DataFrame, cls: str, item: str, final: int, pool: int, seed: int, transforms: int = 9, strict: bool = True) -> DataFrame:
     """Two sets of `final` and `pool` rows a class: part, the item, its slot and transform (null for an original).
 
     The final set has all originals first, then derivatives as top_up() makes them; the pool goes on where they end, so
-    no derivative is in both while sources and transforms last. A class with more originals than `final` is an error.
+    no derivative is in both while sources and transforms last. A class with more originals than `final` is an error, or if
+    not strict keeps them all there; its pool has what is left of both sizes together, none if originals alone fill them.
     """
-    if over := df.groupBy(cls).count().where(F.col("count") > final).limit(1).collect():
+    if strict and (over := df.groupBy(cls).count().where(F.col("count") > final).limit(1).collect()):
         raise ValueError(f"{over[0][0]}: {over[0][1]} originals for {final} rows")
     ranked = numbered(df.select(cls, item), [cls], seed, item)
     sizes = df.groupBy(cls).agg(F.count("*").alias("_n"))
-    slots = sizes.select(cls, "_n", F.explode(F.sequence(F.lit(0), F.lit(final + pool - 1) - F.col("_n"))).alias("slot"))
+    slots = sizes.where(F.col("_n") < final + pool).select(cls, "_n", F.explode(F.sequence(F.lit(0), F.lit(final + pool - 1) - F.col("_n"))).alias("slot"))
     made = slots.withColumn("_i", F.pmod("slot", "_n")).join(ranked, [cls, "_i"])
     part = F.when(F.col("slot") < F.lit(final) - F.col("_n"), "final").otherwise("pool")
     made = made.select(part.alias("part"), cls, item, F.col("slot").cast("long").alias("slot"), F.pmod("slot", F.lit(transforms)).cast("int").alias("transform"))

@@ -140,3 +140,13 @@ def test_partitions_and_decisions(spark):
     assert sorted(tuple(r)[::3] + (r["b"],) for r in dedupe.decided(pairs, listed, ["a", "b"]).collect()) == [(1, "exclude", 2), (1, "pending_visual_review", 3), (2, "retain_both", 3)]
     with pytest.raises(ValueError, match="more than once"):
         dedupe.decided(pairs, listed.unionAll(listed), ["a", "b"])
+
+
+def test_partitions_keep_all_originals_if_not_strict(spark):
+    rows = spark.createDataFrame([(min(i // 3, 2), i) for i in range(20)], "y int, k long")  # 3, 3 and 14 rows
+    for final, pool, want in ((2, 3, {0: (0, 2), 1: (0, 2), 2: (0, 0)}), (4, 10, {0: (1, 10), 1: (1, 10), 2: (0, 0)}), (4, 11, {0: (1, 11), 1: (1, 11), 2: (0, 1)})):
+        got = sampling.partitions(rows, "y", "k", final, pool, 1, strict=False).toPandas()
+        originals = got[got["transform"].isna()]
+        assert (originals.part == "final").all() and sorted(originals.k) == list(range(20))
+        made = got[got["transform"].notna()].groupby(["y", "part"]).size()
+        assert {y: (made.get((y, "final"), 0), made.get((y, "pool"), 0)) for y in range(3)} == want
