@@ -6,7 +6,9 @@ a tree: a node samples BRANCHES shared tokens, and a set goes to the child of ea
 sampled token is a place of the set's min-hash values with the value there, so two sets have it in common
 with the probability of their Jaccard similarity. A node of at most LEAF sets is a leaf, and so is one
 whose sets stay together in a child, since they are alike; all other nodes are split again, to any depth.
-All pairs of a leaf are compared, exactly.
+All pairs of a leaf are compared: by size and by sketches, then, if these let them through, exactly. A sketch
+is a few bits of each min-hash value; a pair at the threshold has fewer than AGREE of them in common with a
+probability under 1e-11. Only sets that have such a pair go on to a leaf with their shingles.
 
 Two sets at similarity s are parted in a tree with the probability q = (1 - s + s q)^BRANCHES, whatever its
 depth. Runs are repeated, trees with other tokens, until a pair at the threshold is met with TARGET.
@@ -48,6 +50,8 @@ CLOSE = 0.7
 #: Min-hash values of a set: those of the roots, then FEW for each level, used by turns.
 FIRST, FEW, TURNS = 8, 4, 6
 VALUES = FIRST + FEW * TURNS
+#: Bits of a min-hash value in a sketch, and how many of its VALUES two sets must have in common to be compared exactly.
+BITS, AGREE = 7, 8
 _SEEDS = kernels.mixed(np.arange(1, VALUES + 1, dtype=np.uint64) * kernels.ODD)
 
 
@@ -74,72 +78,76 @@ def _distinct(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
-def _digests(grams: np.ndarray, begins: np.ndarray) -> list[str]:
+def _digests(grams: np.ndarray, begins: np.ndarray) -> list[bytes]:
     """128 bits of each set, whatever its order: the sums of two hashes of its members."""
     out = []
     for salt in (1, 2):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(kernels.mixed(grams ^ np.uint64(salt * 0x632BE59BD9B4E019)), dtype=np.uint64)))
         out.append(sums[begins[1:]] - sums[begins[:-1]])
-    return [f"{a:016x}{b:016x}" for a, b in zip(*out, strict=True)]
+    flat = np.stack(out, 1).astype(">u8").tobytes()
+    return [flat[i : i + 16] for i in range(0, len(flat), 16)]
 
 
 def _values(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """By text the min-hash values of a set without repeats."""
-    out = np.zeros((len(begins) - 1, VALUES), np.uint64)
+    """By text the min-hash values of a set without repeats: 32 bits of each, so that few others seem equal."""
+    out = np.zeros((len(begins) - 1, VALUES), np.uint32)
     full = np.flatnonzero(np.diff(begins) > 0)
     if len(full):
         for k, seed in enumerate(_SEEDS):
             ranked = (grams ^ seed) * kernels.ODD
             ranked ^= ranked >> np.uint64(32)
-            out[full, k] = np.minimum.reduceat(ranked, begins[:-1][full])
+            out[full, k] = np.minimum.reduceat(ranked, begins[:-1][full]) & np.uint64(0xFFFFFFFF)
     return out
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, sid (the set's digest; null if it is empty), n, and its min-hash values."""
+    """Per row of docs (doc_id, text): doc_id, sid (the set's digest, binary; null if it is empty), n, and its min-hash values."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            sids: list[str | None] = []
+            sids: list[bytes | None] = []
             ns, values = [], []
             for i, j in kernels.chunks([(t or "").encode("utf-8", "replace") for t in texts]):
                 grams, begins = _distinct(texts[i:j])
                 size = np.diff(begins)
                 sids += [s if n else None for s, n in zip(_digests(grams, begins), size, strict=True)]
                 ns.append(size)
-                values.append(_values(grams, begins).view(np.int64))
-            flat = np.concatenate([*values, np.zeros((0, VALUES), np.int64)])
+                values.append(_values(grams, begins).view(np.int32))
+            flat = np.concatenate([*values, np.zeros((0, VALUES), np.int32)])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * VALUES), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sids, pa.string()), pa.array(np.concatenate([*ns, np.zeros(0, np.int64)]).astype(np.int64)), lists], ["doc_id", "sid", "n", "mins"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sids, pa.binary()), pa.array(np.concatenate([*ns, np.zeros(0, np.int64)]).astype(np.int64)), lists], ["doc_id", "sid", "n", "mins"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, sid string, n long, mins array<long>")
+    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, sid binary, n long, mins array<int>")
 
 
-def _child(node: Column, place: Column) -> Column:
+def _child(node: Column, place: Column, value: Column) -> Column:
     """The child of the token that is a set's value at a place."""
-    return F.xxhash64(node, place, F.get("mins", place))
+    return F.xxhash64(node, place, value)
 
 
-def _children(node: Column, depth: int) -> Column:
-    """The children that a node's set goes on to; the node's number samples their places among the level's."""
+def _children(node: Column, values: Column, begin: int) -> Column:
+    """The children that a node's set goes on to; the node's number samples their places among the level's, whose values are given."""
     first = F.pmod(F.xxhash64(node, F.lit(-1)), F.lit(FEW))
     step = F.pmod(F.xxhash64(node, F.lit(-2)), F.lit(FEW - 1)) + 1
-    begin = FIRST + FEW * (depth % TURNS)
-    return F.array(*(_child(node, (F.lit(begin) + F.pmod(first + step * k, F.lit(FEW))).cast("int")) for k in range(BRANCHES)))
+    places = [F.pmod(first + step * k, F.lit(FEW)).cast("int") for k in range(BRANCHES)]
+    return F.array(*(_child(node, F.lit(begin) + place, F.get(values, place)) for place in places))
 
 
 def _leaves(sets: DataFrame, leaf: int) -> DataFrame:
     """Of sets (sid, mins): sid, node and size, the sets of the node, for the leaves of two sets or more."""
-    roots = F.array(*(_child(F.lit(run).cast("long"), F.lit((run * BRANCHES + k) % FIRST)) for run in range(RUNS) for k in range(BRANCHES)))
+    places = [(run, (run * BRANCHES + k) % FIRST) for run in range(RUNS) for k in range(BRANCHES)]
+    roots = F.array(*(_child(F.lit(run).cast("long"), F.lit(place), F.get("mins", F.lit(place))) for run, place in places))
     level = sets.select("sid", F.explode(roots).alias("node"))
     sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
     at = stash(level.join(sizes, "node").select("sid", "node", "size"))
     found, depth = at.where(F.col("size") <= leaf), 0
     while (more := at.where(F.col("size") > leaf)).limit(1).count():
-        kids = more.join(sets.select("sid", "mins"), "sid").select("sid", F.col("node").alias("parent"), F.col("size").alias("whole"), F.explode(_children(F.col("node"), depth)).alias("node"))
+        begin = FIRST + FEW * (depth % TURNS)
+        values = sets.select("sid", F.slice("mins", begin + 1, FEW).alias("values"))  # a level's, not all: every set is dealt anew
+        kids = stash(more.join(values, "sid").select("sid", F.col("node").alias("parent"), F.col("size").alias("whole"), F.explode(_children(F.col("node"), F.col("values"), begin)).alias("node")))
         sizes = stash(kids.groupBy("parent", "whole", "node").agg(F.count("*").alias("size")))
         close = sizes.where(F.col("size") >= CLOSE * F.col("whole")).select("parent").distinct()
         found = found.unionByName(more.join(close, F.col("node") == F.col("parent"), "left_semi"))
@@ -166,23 +174,33 @@ def _met_before(rows: pa.Table, node: int) -> np.ndarray:
     return out
 
 
-def _verified(rows: pa.Table, node: int, two: bool) -> dict[str, list]:
-    """Links of a task's sets: sid, root (of its tree in the spanning forest), links (other sets, with their copies) and sets.
+def _candidates(rows: pa.Table, node: int, two: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a task's sets, by place, that may link and that no earlier leaf has compared.
 
-    rows: sid, n, copies, shingles (64-bit, sorted), leaves (all of the set's) and block; with `two`, only
-    pairs of different blocks count.
+    rows: n, leaves (all of the set's), block and sketch; with `two`, only pairs of different blocks count.
+    A pair is told from its own two rows, so it is one among fewer rows, too.
     """
-    n, copies = rows["n"].to_numpy(), rows["copies"].to_numpy()
-    blocks = rows["block"].to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
-    # pairs that may link and that no earlier leaf has compared
+    n, blocks = rows["n"].to_numpy(), rows["block"].to_numpy()
     new = np.triu(~_met_before(rows, node), 1)
     if two:
         new &= blocks[:, None] != blocks[None, :]
     new &= (np.minimum(n[:, None], n[None, :]) * BELOW >= np.maximum(n[:, None], n[None, :]) * ABOVE)
     left, right = np.nonzero(new)
+    sketch = rows["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, VALUES)
+    alike = (sketch[left] == sketch[right]).sum(1) >= AGREE
+    return left[alike], right[alike]
+
+
+def _verified(rows: pa.Table, node: int, two: bool) -> dict[str, list]:
+    """Links of a task's sets: sid, root (of its tree in the spanning forest), links (other sets, with their copies) and sets.
+
+    rows: as for _candidates, and sid, copies and shingles (64-bit, sorted).
+    """
+    n, copies = rows["n"].to_numpy(), rows["copies"].to_numpy()
+    left, right = _candidates(rows, node, two)
     if not len(left):
         return {}
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
     if len(left) <= 4 * len(n) or len(n) < 12:
         shared = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left, right, strict=True)])
     else:
@@ -238,27 +256,45 @@ def _shingle_rows(docs: DataFrame) -> DataFrame:
                 grams, begins = _distinct(texts[i:j])
                 sids += _digests(grams, begins)
                 shingles += [grams[x:y].tobytes() for x, y in zip(begins[:-1], begins[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sids, pa.string()), pa.array(shingles, pa.binary())], ["doc_id", "sid", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sids, pa.binary()), pa.array(shingles, pa.binary())], ["doc_id", "sid", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, sid string, shingles binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, sid binary, shingles binary")
+
+
+def _needed(members: DataFrame, leaf: int) -> DataFrame:
+    """Of members (sid, at: node and size of its leaves, leaves, n, sketch): sid, and node, i, j and block of the tasks where it has a candidate."""
+    rows = members.select("sid", "n", "leaves", "sketch", F.explode("at").alias("at")).select("sid", "n", "leaves", "sketch", "at.node", "at.size")
+    block = max(leaf, BLOCK) if leaf >= LEAF else max(1, leaf // 2)
+    blocks = F.when(F.col("size") <= leaf, F.lit(1)).otherwise(F.ceil(F.col("size") / F.lit(block))).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j"))))
+    rows = rows.withColumn("tile", tile).select("node", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "sid", "n", "leaves", "block", "sketch")
+    keys, out = ["node", "i", "j"], ["sid", "node", "i", "j", "block"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in groups(batches, keys):
+            if len(group) > 1:
+                some = np.unique(np.concatenate(_candidates(group, key[0], key[1] != key[2])))
+                if len(some):
+                    yield from group.take(some).select(out).combine_chunks().to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "sid binary, node long, i int, j int, block int")
 
 
 def links(docs: DataFrame, sets: DataFrame, *, leaf: int = LEAF) -> DataFrame:
     """Of sets (sid, doc_id of a text, n, copies, mins): sid, root, links, sets for each task's share of the join."""
     members = _leaves(sets, leaf).groupBy("sid").agg(F.collect_list(F.struct("node", "size")).alias("at"))
-    members = stash(members.select("sid", "at", F.sort_array("at.node").alias("leaves")).join(sets.select("sid", "doc_id", "n", "copies"), "sid"))
-    # only the texts of members go on: one for each set, told by its doc_id and digest
+    sketch = F.transform("mins", lambda x: x.bitwiseAND((1 << BITS) - 1).cast("tinyint"))
+    members = stash(members.select("sid", "at", F.sort_array("at.node").alias("leaves")).join(sets.select("sid", "doc_id", "n", "copies", sketch.alias("sketch")), "sid"))
+    needed = _needed(members, leaf).groupBy("sid").agg(F.collect_list(F.struct("node", "i", "j", "block")).alias("at"))
+    members = stash(needed.join(members.drop("at"), "sid"))
+    # only the texts of these go on: one for each set, told by its doc_id and digest
     wanted = members.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(if_small(wanted), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     shingles = _shingle_rows(texts).alias("t")
     rows = members.alias("m").join(shingles, F.expr("m.sid = t.sid AND m.doc_id <=> t.doc_id")).select("m.*", "t.shingles")
-    rows = rows.withColumn("at", F.explode("at")).select("sid", "n", "copies", "shingles", "leaves", "at.node", "at.size")
-    block = max(leaf, BLOCK) if leaf >= LEAF else max(1, leaf // 2)
-    blocks = F.when(F.col("size") <= leaf, F.lit(1)).otherwise(F.ceil(F.col("size") / F.lit(block))).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j"))))
-    rows = rows.withColumn("tile", tile).select("node", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "sid", "n", "copies", "leaves", "block", "shingles")
+    rows = rows.withColumn("at", F.explode("at")).select("at.node", "at.i", "at.j", "sid", "n", "copies", "leaves", "at.block", "sketch", "shingles")
     keys = ["node", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +311,8 @@ def links(docs: DataFrame, sets: DataFrame, *, leaf: int = LEAF) -> DataFrame:
                 held = {k: [] for k in held}
         yield pa.RecordBatch.from_pydict(held, schema)
 
-    schema = pa.schema([("sid", pa.string()), ("root", pa.string()), ("links", pa.int64()), ("sets", pa.int64())])
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(run, "sid string, root string, links long, sets long")
+    schema = pa.schema([("sid", pa.binary()), ("root", pa.binary()), ("links", pa.int64()), ("sets", pa.int64())])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(run, "sid binary, root binary, links long, sets long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -311,7 +347,7 @@ def near_duplicates(docs: DataFrame, *, leaf: int = LEAF) -> DataFrame:
     classes = classes.join(least, "label").join(counts, "sid", "left").select("sid", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
     out = signed.select("doc_id", "sid").join(classes, "sid", "left")
     class_id = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", "sid", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("is_kept"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+    return out.select("doc_id", F.lower(F.hex("sid")).alias("sid"), class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("is_kept"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -330,7 +366,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     if not several.limit(1).count():
         return single.select(*(F.col(f"`{c}`") for c in docs.columns))
     rows = docs.join(if_small(several), same, "left_semi").withColumn("_all", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    signed = signatures(rows.select(F.struct("doc_id", "_all").alias("doc_id"), "text")).select("doc_id.doc_id", "doc_id._all", "sid")
+    signed = signatures(rows.select(F.struct("doc_id", "_all").alias("doc_id"), "text")).select("doc_id.doc_id", "doc_id._all", F.lower(F.hex("sid")).alias("sid"))
     winners = signed.join(judged.where("is_kept AND sid IS NOT NULL").select(F.col("sid").alias("_sid"), F.col("class_id").alias("_class")).distinct(), (F.col("sid") == F.col("_sid")) & F.col("doc_id").eqNullSafe(F.col("_class")))
     winners = winners.groupBy("_class").agg(F.min(F.struct("sid", "_all")).alias("w")).select(F.col("w._all").alias("_won"))
     empty = signed.where("sid IS NULL").select(F.col("_all").alias("_won"))

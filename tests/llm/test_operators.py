@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -319,6 +320,41 @@ def test_jaccard_recall_on_documents(spark):
         assert sum(got.values()) >= 0.995 * sum(want.values())
 
 
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    time.sleep(0.3)
+    spark.sparkContext.parallelize([1], 1).count()  # a finished task brings the figures up to date
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_sets_without_a_candidate_are_not_shuffled(spark):
+    # texts that share a tenth of their words meet in leaves, but none is near another
+    rng = np.random.default_rng(11)
+    common = [f"c{x}" for x in range(300)]
+    docs = [(i, " ".join(common + [f"w{x}" for x in rng.integers(0, 10**9, 2700)])) for i in range(400)]
+    near = " ".join([*docs[7][1].split()[:-1], "other"])
+    frame = spark.createDataFrame([*docs, (400, near)], "doc_id long, text string").localCheckpoint()
+    before = shuffled(spark)
+    got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(frame).collect()}
+    assert {d for d, n in got.items() if n} == {7, 400} and got[7] == got[400] == 1
+    assert shuffled(spark) - before < 0.5 * sum(len(t) for _, t in docs)
+
+
+def test_sketches_pass_pairs_at_the_threshold():
+    rng = np.random.default_rng(12)
+    alike = []
+    for shared, left, right in [(4, 1, 0), (4, 0, 1), (8, 1, 1), (16, 2, 2), (80, 20, 0), (80, 10, 10)]:
+        for _ in range(3000):
+            grams = rng.integers(0, 1 << 63, shared + left + right, dtype=np.uint64)
+            a, b = np.sort(grams[: shared + left]), np.sort(np.concatenate((grams[:shared], grams[shared + left :])))
+            values = jaccard._values(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])) & np.uint32((1 << jaccard.BITS) - 1)
+            alike.append((values[0] == values[1]).sum())
+    assert min(alike) >= jaccard.AGREE and abs(np.mean(alike) - 0.8 * jaccard.VALUES) < 0.3
+
+
 def test_pairs_count_in_their_first_leaf():
     import pyarrow as pa
 
